@@ -45,17 +45,3 @@ def keep(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give executors that lack this package a zip of it (once a session)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_rankforge_shipped", False):
-        return
-    import shutil
-
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="rankforge-zip-")
-    made = shutil.make_archive(os.path.join(folder, "rankforge_pkg"), "zip", root, "rankforge")
-    sc.addPyFile(made)
-    sc._rankforge_shipped = True
