@@ -11,11 +11,31 @@ from rankforge.llm.encode import encode
 from rankforge.llm.group_split import assign_splits, related_groups, split_report
 from rankforge.llm.mixing import mix, mix_report, source_rates
 from rankforge.llm.name_mapping import map_names, unmatched_values
+from rankforge.llm.pivot_clusters import cluster_links
+from rankforge.llm.segment_join import overlap_report, overlaps
 from rankforge.llm.sentences import split_sentences
 from rankforge.llm.top_bands import top_per_group
 from rankforge.runtime import keep, table
 
 
+def _p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    splits = {t: table(spark, d, t) for t in ("eval_c_unseen_species", "unseen")}
+    return overlaps(splits, table(spark, d, "supervised_train"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    a, b = F.col("eval_processid"), F.col("train_processid")
+    return _p1_pairs(spark, d).select(F.least(a, b).alias("processid_a"), F.greatest(a, b).alias("processid_b")).distinct()
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap_report(_p1_pairs(spark, d))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return cluster_links(table(spark, d, "supervised_train"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return map_names(table(spark, d, "zero_shot_queries"), table(spark, d, "candidate_species"))
 
@@ -67,7 +87,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_unmatched, p5_found, p6_found, p6_assignment, p6_report, p7_ids, p8_found, p8_mix, p8_report, p9_found)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_unmatched, p5_found, p6_found, p6_assignment, p6_report, p7_ids, p8_found, p8_mix, p8_report, p9_found)
 }
 
 ORACLE = {
