@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.name_trie import GenusReader, Resolver
-from rankforge.runtime import shuffle_partitions
+from rankforge.runtime import keep, shuffle_partitions
 
 #: Entries of the list that one trie, and so one broadcast, may hold. A longer list is refused.
 MAX_ENTRIES = 500_000
@@ -25,30 +25,27 @@ def list_entries(listed: DataFrame) -> list[tuple]:
     return [tuple(r) for r in listed.select(*_LIST).distinct().collect()]
 
 
-def map_texts(texts: DataFrame, listed: DataFrame) -> DataFrame:
-    """(text) to (text, label, genus, genus_if_genus).
+#: What map_texts can tell of a text: the entry it means, the genus it names as a species or label, the genus it names as a genus.
+READINGS = {"label": lambda r, t: r.of.species(t), "genus": lambda r, t: r.from_name(t), "genus_if_genus": lambda r, t: r.from_genus(t)}
 
-    `label` is the entry that the text means, null where it means none; `genus` the genus that the text names as a
-    species name or label, `genus_if_genus` the one it names as a genus. Each distinct text is resolved once, so that a
-    value with a third of all rows costs as much as any other. Null texts give no row.
+
+def map_texts(texts: DataFrame, listed: DataFrame, readings: tuple[str, ...] = ("label",)) -> DataFrame:
+    """(text, *readings): each distinct text is resolved once, so that a value with a third of all rows costs as much as any other.
+
+    A reading is null where the text tells nothing. Null texts give no row. The texts are spread by their hash over a fixed
+    number of tasks: few and small they may be, but each costs a search.
     """
     spark = texts.sparkSession
     entries = spark.sparkContext.broadcast(list_entries(listed))
+    n = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = GenusReader(Resolver(entries.value))
         for b in batches:
-            yield pd.DataFrame(
-                {
-                    "text": b["text"],
-                    "label": [reader.of.species(t) for t in b["text"]],
-                    "genus": [reader.from_name(t) for t in b["text"]],
-                    "genus_if_genus": [reader.from_genus(t) for t in b["text"]],
-                }
-            )
+            yield pd.DataFrame({"text": b["text"], **{k: [READINGS[k](reader, t) for t in b["text"]] for k in readings}})
 
     one = texts.select(F.col(texts.columns[0]).alias("text")).where(F.col("text").isNotNull()).distinct()
-    return one.repartition(shuffle_partitions(spark), "text").mapInPandas(resolve, "text string, label string, genus string, genus_if_genus string")
+    return one.repartition(n, F.xxhash64("text")).mapInPandas(resolve, "text string, " + ", ".join(f"{k} string" for k in readings))
 
 
 def latest_records(rows: DataFrame, key: str, fields: list[str], loaded: str = "loaded_at") -> DataFrame:
@@ -69,7 +66,7 @@ def map_names(records: DataFrame, listed: DataFrame) -> DataFrame:
     exact = listed.select(F.col("species_name")).where(F.col("species_name").isNotNull()).distinct()
     free = rec.join(exact, "species_name", "left_anti")
     texts = free.select(F.explode(F.array("species_name", "tree_label")).alias("text"))
-    known = map_texts(texts, listed).where(F.col("label").isNotNull()).select("text", "label")
+    known = keep(map_texts(texts, listed).where(F.col("label").isNotNull()))
     out = free.join(known.select(F.col("text").alias("species_name"), F.col("label").alias("by_name")), "species_name", "left")
     out = out.join(known.select(F.col("text").alias("tree_label"), F.col("label").alias("by_label")), "tree_label", "left")
     return out.select("processid", F.coalesce("by_name", "by_label", F.lit(UNMATCHED)).alias("candidate_label"))
