@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
 def ungapped(query: str | None, ref: str | None, least_fraction: float, least_bases: int) -> tuple | None:
@@ -45,13 +46,13 @@ def infix_identity(a: str | None, b: str | None) -> float | None:
     return 1.0 - float(row.min()) / len(x)
 
 
-@F.pandas_udf("struct<p_distance double, overlap int, offset int>")
+@F.pandas_udf(StructType([StructField("p_distance", DoubleType()), StructField("overlap", IntegerType()), StructField("offset", IntegerType())]))
 def best_ungapped(q: pd.Series, r: pd.Series) -> pd.DataFrame:
     got = [ungapped(a, b, 0.8, 20) or (None, None, None) for a, b in zip(q, r)]
     return pd.DataFrame(got, columns=["p_distance", "overlap", "offset"]).astype({"p_distance": "float64", "overlap": "Int32", "offset": "Int32"})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def edit_identity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([infix_identity(x, y) for x, y in zip(a, b)], dtype="float64")
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.plans import candidate_queries, record_queries, skew_queries
+from rankforge.plans import candidate_queries, evidence_queries, record_queries, skew_queries
 
-MODULES = [skew_queries, record_queries, candidate_queries]
+MODULES = [skew_queries, record_queries, candidate_queries, evidence_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return skew_queries.p4_value_profile(spark, d)
+    """Share of right calls of the rank policy, method by method: search results, consensus, margins, policy, summary."""
+    return candidate_queries.a_policy_summary(spark, d)
