@@ -67,22 +67,20 @@ def r_lsh_recall(spark, d):
     return V.recall_at(V.lsh_topk(q, c, 10), V.cosine_topk(q, c, 10))
 
 
-def _profiles(spark, d):
-    q = _clean(spark, d, "unseen").where("seq_len >= 500").groupBy(F.col("processid").alias("id")).agg(F.max("nucleotides").alias("s"))
-    c = q.where(F.pmod(F.crc32("id"), F.lit(4)) != 0)
-    return V.kmer_profile(q.where(F.pmod(F.crc32("id"), F.lit(4)) == 0), "id", "s", 6).withColumnRenamed("n", "w"), V.kmer_profile(c, "id", "s", 6).withColumnRenamed("n", "w")
+def _sequences(spark, d):
+    q = keep(_clean(spark, d, "unseen").where("seq_len >= 500").groupBy(F.col("processid").alias("id")).agg(F.max("nucleotides").alias("s")))
+    mine = F.pmod(F.crc32("id"), F.lit(4)) == 0
+    return q.where(mine), q.where(~mine)
 
 
 def r_kmer_cosine(spark, d):
-    q, c = _profiles(spark, d)
-    return V.weighted_topk(q, c, 3).select("query_id", "place", "candidate_id", F.round("score", 6).alias("score"))
+    q, c = _sequences(spark, d)
+    return V.kmer_topk(q, c, 6, 3).select("query_id", "place", "candidate_id", F.round("score", 6).alias("score"))
 
 
 def r_tfidf(spark, d):
-    q, c = _profiles(spark, d)
-    w = V.idf_weights(q.unionByName(c))
-    ids = q.select("id").distinct()
-    return V.weighted_topk(w.join(ids, "id", "left_semi"), w.join(ids, "id", "left_anti"), 3).select("query_id", "place", "candidate_id", F.round("score", 6).alias("score"))
+    q, c = _sequences(spark, d)
+    return V.kmer_topk(q, c, 6, 3, True).select("query_id", "place", "candidate_id", F.round("score", 6).alias("score"))
 
 
 def j_kmer_blocking(spark, d):

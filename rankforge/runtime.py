@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -45,3 +47,23 @@ def keep(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over at least as many tasks as there are cores, for work that costs far more than moving them.
+
+    Only an input of few partitions, so a small one, is shuffled; a large one stays as it is read.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *keys)
+
+
+_BUILT: dict[str, Any] = {}
+
+
+def built_once(token: str, make: Callable[[], Any]) -> Any:
+    """What `make` gives, built once a worker process for a token, not once a task; only the last token's is held."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = make()
+    return _BUILT[token]
