@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.byte_bpe import DEFAULT_VOCABULARY, WORDS, ByteBpe, load_ranks
+from rankforge.runtime import spread
 
 #: Texts handed to the encoder at once; bounds a task's memory, not what is encoded.
 CHUNK = 256
@@ -37,7 +38,7 @@ def _mapped(docs: DataFrame, key: str, text: str, vocabulary: str, words: str, c
                 yield pd.DataFrame({"key": part["key"].to_numpy(), **value})
 
     small = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    out = small.mapInPandas(run, f"key {kind}, " + ("n_tokens long" if count_only else "ids array<int>"))
+    out = spread(small, "text").mapInPandas(run, f"key {kind}, " + ("n_tokens long" if count_only else "ids array<int>"))
     return out.withColumnRenamed("key", key)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.name_trie import GenusReader, Resolver
-from rankforge.runtime import keep, shuffle_partitions
+from rankforge.runtime import built_once, keep, shuffle_partitions
 
 #: Entries of the list that one trie, and so one broadcast, may hold. A longer list is refused.
 MAX_ENTRIES = 500_000
@@ -37,10 +38,10 @@ def map_texts(texts: DataFrame, listed: DataFrame, readings: tuple[str, ...] = (
     """
     spark = texts.sparkSession
     entries = spark.sparkContext.broadcast(list_entries(listed))
-    n = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+    token, n = uuid.uuid4().hex, max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = GenusReader(Resolver(entries.value))
+        reader = built_once(token, lambda: GenusReader(Resolver(entries.value)))
         for b in batches:
             yield pd.DataFrame({"text": b["text"], **{k: [READINGS[k](reader, t) for t in b["text"]] for k in readings}})
 

@@ -8,6 +8,7 @@ verified by comparison on the diagonal and, failing that, by banded dynamic prog
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from rankforge.llm.barcode_kernels import (
     shifted,
     unpack,
 )
-from rankforge.runtime import keep
+from rankforge.runtime import built_once, keep, spread
 
 EDITS = 5
 LEAST_BASES = 300
@@ -188,16 +189,17 @@ def sequence_pairs(evaluation: DataFrame, train: DataFrame) -> DataFrame:
     spark = train.sparkSession
     n = evaluation.count()
     parts = max(1, -(-n // QUERY_BLOCK))
-    usable = train.select("processid", "nucleotides").where("processid is not null and nucleotides is not null")
+    usable = spread(train.select("processid", "nucleotides").where("processid is not null and nucleotides is not null"), "processid")
     found = None
     for k in range(parts):
         block = evaluation if parts == 1 else evaluation.where(F.pmod("sid", F.lit(parts)) == k)
         got = block.select("sid", "seq").toPandas()
         shipped = spark.sparkContext.broadcast((got["sid"].to_numpy(np.int64), list(got["seq"])))
 
-        def search(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            sids, packed = shipped.value
-            index = segment_index([unpack(bytes(x)) for x in packed])
+        token = uuid.uuid4().hex
+
+        def search(batches: Iterator[pd.DataFrame], shipped=shipped, token=token) -> Iterator[pd.DataFrame]:
+            sids, index = built_once(token, lambda: (shipped.value[0], segment_index([unpack(bytes(x)) for x in shipped.value[1]])))
             for b in batches:
                 pids, rows, seqs, seen = [], [], [], {}
                 for p, text in zip(b["processid"], b["nucleotides"]):

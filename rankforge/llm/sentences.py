@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.sentence_rules import sentences
+from rankforge.runtime import spread
 
 
 def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -30,7 +31,7 @@ def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", la
             yield pd.DataFrame({"key": keys, "start_pos": starts, "end_pos": ends})
 
     small = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    return small.mapInPandas(run, f"key {kind}, start_pos int, end_pos int").withColumnRenamed("key", key)
+    return spread(small, "key").mapInPandas(run, f"key {kind}, start_pos int, end_pos int").withColumnRenamed("key", key)
 
 
 def sentence_texts(docs: DataFrame, cuts: DataFrame) -> DataFrame:
