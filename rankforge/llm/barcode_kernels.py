@@ -46,12 +46,18 @@ def matrix(seqs: list[bytes], width: int = 0) -> np.ndarray:
     return CODES[np.frombuffer(joined, np.uint8)].reshape(len(seqs), width)
 
 
-def blocks(seqs: list[bytes], rows: int = 512) -> list[np.ndarray]:
-    """Index arrays of sequences of similar length, each block of at most `rows` rows and CELLS cells (one row at least)."""
-    order, out, at = np.argsort([len(s) for s in seqs], kind="stable"), [], 0
+def blocks(seqs: list[bytes], rows: int = 512, others: list[bytes] | None = None) -> list[np.ndarray]:
+    """Index arrays of sequences of similar length, each block of at most `rows` rows and CELLS cells (one row at least).
+
+    With `others`, of pairs: the longer of the two counts.
+    """
+    length = np.array([len(s) for s in seqs], np.int64)
+    if others is not None:
+        length = np.maximum(length, [len(s) for s in others])
+    order, out, at = np.argsort(length, kind="stable"), [], 0
     while at < len(order):
         end = min(len(order), at + rows)
-        while end - at > 1 and (end - at) * len(seqs[order[end - 1]]) > CELLS:
+        while end - at > 1 and (end - at) * int(length[order[end - 1]]) > CELLS:
             end = at + (end - at) // 2
         out.append(order[at:end])
         at = end

@@ -68,11 +68,9 @@ def segment_index(seqs: list[bytes]) -> dict:
     table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
     for probe in _probes(h):
         np.bitwise_or.at(table, (probe >> np.uint64(3)).astype(np.int64), np.left_shift(1, (probe & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-    # clean segments that begin before each segment number, to count those inside an overlap
-    longest = max((len(x) for x in both), default=0) // SEGMENT + 2
-    clean = np.zeros((len(both), longest), np.int32)
-    np.add.at(clean, (who, pos // SEGMENT + 1), 1)
-    return {"seqs": both, "hash": h, "who": who[order], "pos": pos[order], "table": table, "clean": np.cumsum(clean, axis=1), "length": np.array([len(x) for x in both], np.int64)}
+    # sequence and number of each clean segment in one key, to count those inside an overlap
+    clean = np.sort((who.astype(np.int64) << 32) | (pos // SEGMENT))
+    return {"seqs": both, "hash": h, "who": who[order], "pos": pos[order], "table": table, "clean": clean, "length": np.array([len(x) for x in both], np.int64)}
 
 
 def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +140,8 @@ def candidates(seqs: list[bytes], index: dict) -> tuple[np.ndarray, np.ndarray,
     start = np.maximum(0, seed)
     end = np.minimum(index["length"][e], seed + lt[t])
     first, last = -(-start // SEGMENT), np.maximum(end // SEGMENT, -(-start // SEGMENT))
-    top = index["clean"].shape[1] - 1
-    whole = index["clean"][e, np.minimum(last, top)] - index["clean"][e, np.minimum(first, top)]
+    at = lambda n: np.searchsorted(index["clean"], (e << 32) | n)
+    whole = at(last) - at(first)
     # an overlap may be EDITS longer or shorter than the seed's: one segment at its end
     good = (end - start >= LEAST_BASES - EDITS) & (hits >= whole - 1 - EDITS - lost[t])
     return t[good], e[good], seed[good]
@@ -154,9 +152,10 @@ def verify(seqs: list[bytes], index: dict, t: np.ndarray, e: np.ndarray, g: np.n
     ok = np.zeros(len(t), bool)
     for at in range(0, len(t), PAIRS_AT_ONCE):
         names = [index["seqs"][i] for i in e[at : at + PAIRS_AT_ONCE]]
-        for part in blocks(names, PAIRS_AT_ONCE):
+        facing = [seqs[i] for i in t[at : at + PAIRS_AT_ONCE]]
+        for part in blocks(names, PAIRS_AT_ONCE, facing):
             a, rows = [names[i] for i in part], part + at
-            b = [seqs[i] for i in t[rows]]
+            b = [facing[i] for i in part]
             ma, mb = matrix(a), matrix(b)
             n, d = compared(ma, shifted(mb, g[rows], ma.shape[1]))
             good = (n >= LEAST_BASES) & (d <= EDITS)

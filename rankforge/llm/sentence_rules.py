@@ -132,6 +132,10 @@ _MARKS = re.compile(rf"[{re.escape(TERMINATORS)}]+|(?<=\p{{Greek}})[{GREEK_QUEST
 _WORD_RUN = re.compile(r"\s*(?:[^\W\d]+['’\-]?[^\W\d]*[,;:]?\s+){3}[^\W\d]", re.UNICODE)
 
 
+_CLOSERS = set(PAIRS.values())
+_PAIRED = {'"', *PAIRS, *_CLOSERS}
+
+
 @lru_cache(maxsize=64)
 def cascade(lang: str) -> tuple:
     """Tables for a document's language, first its own, then the others', then the default."""
@@ -148,6 +152,10 @@ def spans(s: str, reach: int = 600) -> tuple[dict[int, int], list[tuple[int, int
     stack: list[tuple[str, int]] = []
     closes: dict[int, int] = {}
     for i, c in enumerate(s):
+        if c not in _PAIRED:
+            continue
+        while stack and i - stack[0][1] > reach:
+            stack.pop(0)
         if c == '"':
             if any(o == '"' for o, _ in stack):
                 while stack[-1][0] != '"':
@@ -156,7 +164,7 @@ def spans(s: str, reach: int = 600) -> tuple[dict[int, int], list[tuple[int, int
             elif i + 1 < len(s) and not s[i + 1].isspace():
                 stack.append(('"', i))
             continue
-        wanted = [k for k in range(len(stack) - 1, -1, -1) if PAIRS.get(stack[k][0]) == c]
+        wanted = [k for k in range(len(stack) - 1, -1, -1) if PAIRS.get(stack[k][0]) == c] if c in _CLOSERS else []
         if wanted and not (c == "“" and stack[wanted[0]][0] != "„"):
             del stack[wanted[0] + 1 :]
             closes[i] = stack.pop()[1]
@@ -195,7 +203,7 @@ def _decide(rules: tuple, before: str, after: str) -> bool:
 
 def _paragraph(s: str, base: int, rules: tuple, out: list[tuple[int, int]]) -> None:
     closes, outer = spans(s) if any(c in s for c in '("（[【«„“「『‹《') else ({}, [])
-    start, k = 0, 0
+    start, k, first = 0, 0, -1
     for m in _MARKS.finditer(s):
         at = m.end()
         if at <= start:
@@ -233,10 +241,11 @@ def _paragraph(s: str, base: int, rules: tuple, out: list[tuple[int, int]]) -> N
             continue
         if _CONTINUES.match(after):
             continue
-        first = start
-        while first < len(s) and (s[first].isspace() or s[first] in INVISIBLE):
-            first += 1
         if closed is not None:
+            if first < start:
+                first = start
+                while first < len(s) and (s[first].isspace() or s[first] in INVISIBLE):
+                    first += 1
             follows = _FOLLOWS.match(after)
             cased = follows is not None and _CASED.match(follows[1])
             if closed == first and s[closed] not in "(（[【":
