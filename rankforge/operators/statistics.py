@@ -41,30 +41,34 @@ def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> DataFr
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, n, n_a, n_b) of pairs that are both not null."""
-    g = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    na, nb = g.groupBy(a).agg(F.sum("n").alias("n_a")), g.groupBy(b).agg(F.sum("n").alias("n_b"))
-    return g.join(na, a).join(nb, b)
+    """(label_a, label_b, n, n_a, n_b) of pairs that are both not null."""
+    x = df.select(F.col(a).alias("label_a"), F.col(b).alias("label_b")).where("label_a is not null and label_b is not null")
+    g = x.groupBy("label_a", "label_b").agg(F.count(F.lit(1)).alias("n"))
+    na, nb = g.groupBy("label_a").agg(F.sum("n").alias("n_a")), g.groupBy("label_b").agg(F.sum("n").alias("n_b"))
+    return g.join(na, "label_a").join(nb, "label_b")
 
 
 def clustering_agreement(df: DataFrame, truth: str, cluster: str) -> DataFrame:
-    """(n, homogeneity, completeness, mutual_information, adjusted_rand) of two labellings, all from the contingency table."""
+    """(n, homogeneity, completeness, mutual_information, adjusted_rand) of two labellings, all from the contingency table.
+
+    One row; measures are null for no pairs, and where a labelling has one value only.
+    """
     c = contingency(df, truth, cluster)
     two = lambda x: F.col(x) * (F.col(x) - 1) / 2
-    total = c.agg(F.sum("n").alias("t"))
-    cells = c.join(F.broadcast(total), F.lit(True))
-    mi = F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("n_a") * F.col("n_b")))).alias("mi")
-    m = cells.agg(mi, F.sum(two("n")).alias("cc"), F.max("t").alias("n"))
-    side = lambda x, k: c.groupBy(k).agg(F.sum("n").alias("s")).join(F.broadcast(total), F.lit(True)).agg(F.sum(entropy_term("s", "t")).alias(f"h{x}"), F.sum(two("s")).alias(f"c{x}"))
-    j = m.join(side("a", truth), F.lit(True)).join(side("b", cluster), F.lit(True))
-    expected = F.col("ca") * F.col("cb") / F.nullif(F.col("n") * (F.col("n") - 1) / 2, F.lit(0.0))
-    return j.select(
-        "n",
-        (F.col("mi") / F.nullif("ha", F.lit(0.0))).alias("homogeneity"),
-        (F.col("mi") / F.nullif("hb", F.lit(0.0))).alias("completeness"),
-        F.col("mi").alias("mutual_information"),
-        ((F.col("cc") - expected) / F.nullif((F.col("ca") + F.col("cb")) / 2 - expected, F.lit(0.0))).alias("adjusted_rand"),
-    )
+    total = c.agg(F.sum("n")).first()[0] or 0
+    t = F.lit(float(max(total, 1)))
+    mi, pairs = c.agg(F.sum(F.col("n") / t * F.ln(F.col("n") * t / (F.col("n_a") * F.col("n_b")))), F.sum(two("n"))).first()
+
+    def side(k: str):
+        return c.groupBy(k).agg(F.sum("n").alias("s")).agg(F.sum(entropy_term("s", t)), F.sum(two("s"))).first()
+
+    (ha, ca), (hb, cb) = side("label_a"), side("label_b")
+    row = [total, None, None, None, None]
+    if total:
+        expected = ca * cb / (total * (total - 1) / 2) if total > 1 else 0.0
+        most = (ca + cb) / 2
+        row = [total, mi / ha if ha else None, mi / hb if hb else None, mi, (pairs - expected) / (most - expected) if most != expected else None]
+    return df.sparkSession.createDataFrame([row], "n long, homogeneity double, completeness double, mutual_information double, adjusted_rand double")
 
 
 def adjusted_mutual_information(df: DataFrame, truth: str, cluster: str, most_labels: int = 20_000) -> float | None:
@@ -73,8 +77,8 @@ def adjusted_mutual_information(df: DataFrame, truth: str, cluster: str, most_la
     The expectation needs the two marginals only; labellings with more than `most_labels` values are refused.
     """
     c = contingency(df, truth, cluster)
-    a = c.groupBy(truth).agg(F.sum("n").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("m")).limit(most_labels).collect()
-    b = c.groupBy(cluster).agg(F.sum("n").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("m")).limit(most_labels).collect()
+    a = c.groupBy("label_a").agg(F.sum("n").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("m")).limit(most_labels).collect()
+    b = c.groupBy("label_b").agg(F.sum("n").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("m")).limit(most_labels).collect()
     n = sum(r["s"] * r["m"] for r in a)
     if not n:
         return None
@@ -127,6 +131,9 @@ def bootstrap(df: DataFrame, unit: str, value: str, group: Sequence[str], resamp
 
     Rows are summed per unit first; only sums per group and resample are shuffled after that.
     """
+    out_group = list(group)
+    group = out_group or ["__all"]
+    df = df if out_group else df.withColumn("__all", F.lit(1))
     u = df.where(finite(value).isNotNull()).groupBy(*group, unit).agg(F.sum(finite(value)).alias("s"), F.count(F.lit(1)).alias("c"))
     b = u.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     x = F.xxhash64(F.lit(salt), F.col(unit), F.col("b")).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
@@ -139,7 +146,7 @@ def bootstrap(df: DataFrame, unit: str, value: str, group: Sequence[str], resamp
     r = b.withColumn("w", weight).groupBy(*group, "b").agg((F.sum(F.col("s") * F.col("w")) / F.nullif(F.sum(F.col("c") * F.col("w")), F.lit(0))).alias("m"))
     out = r.groupBy(*group).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     mean = u.groupBy(*group).agg((F.sum("s") / F.sum("c")).alias("mean"))
-    return (mean.join(out, list(group)) if group else mean.join(out, F.lit(True))).select(*group, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return mean.join(out, list(group)).select(*out_group, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def strata(df: DataFrame, stratum: str, aggs: Sequence[Column]) -> DataFrame:

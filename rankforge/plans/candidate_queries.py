@@ -248,7 +248,7 @@ def a_bootstrap(spark, d):
 def a_repeat_percentiles(spark, d):
     f = _first(spark, d).groupBy("method", "sample_id").agg(F.avg("candidate_score").alias("m"))
     x = S.repeat_summary(f, ["method"], "m")
-    return x.select("method", "n", *[F.round(c, 5).alias(c) for c in ("mean", "std", "least", "most", "p05", "p95")])
+    return x.select("method", "n", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("mean", "std", "least", "most", "p05", "p95")])
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and len(k) > 2 and k[1] == "_" and k[0] in "awctexpu"}
@@ -372,6 +372,6 @@ ORACLE = {
     "a_regression_residual": f"""WITH o AS (SELECT {_F1.format('sequence_only_score')} AS x, {_F1.format('candidate_score')} AS y FROM {_ECO}), p AS (SELECT * FROM o WHERE x IS NOT NULL AND y IS NOT NULL), l AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM p)
         SELECT CAST(CASE WHEN x <= 0.2 THEN 0 WHEN x <= 0.4 THEN 1 WHEN x <= 0.6 THEN 2 WHEN x <= 0.8 THEN 3 ELSE 4 END AS BIGINT) AS bin, count(*) AS n, round(avg(x), 5) AS mean_x, round(avg(y), 5) AS mean_y, round(avg(y - (a * x + b)), 5) AS mean_residual FROM p, l GROUP BY ALL""",
     "a_repeat_percentiles": f"""WITH {_T}, g AS (SELECT method, sample_id, avg(s) AS m FROM f GROUP BY ALL)
-        SELECT method, count(m) AS n, round(avg(m), 5) AS mean, round(CASE WHEN count(m) = 1 THEN 0.0 ELSE stddev_samp(m) END, 5) AS std, round(min(m), 5) AS least, round(max(m), 5) AS most,
-        round(quantile_cont(m, 0.05), 5) AS p05, round(quantile_cont(m, 0.95), 5) AS p95 FROM g GROUP BY method""",
+        SELECT method, count(m) AS n, round(avg(m) + 1e-9::DOUBLE, 5) AS mean, round(CASE WHEN count(m) = 1 THEN 0.0 ELSE stddev_samp(m) END + 1e-9::DOUBLE, 5) AS std, round(min(m) + 1e-9::DOUBLE, 5) AS least, round(max(m) + 1e-9::DOUBLE, 5) AS most,
+        round(quantile_cont(m, 0.05) + 1e-9::DOUBLE, 5) AS p05, round(quantile_cont(m, 0.95) + 1e-9::DOUBLE, 5) AS p95 FROM g GROUP BY method""",
 }

@@ -25,23 +25,39 @@ QUERY_ALIASES = {
 }
 
 
+def record_numbers(df: DataFrame, name: str) -> DataFrame:
+    """Rows numbered from 1 in the order they are read; only the counts of the partitions go to the driver."""
+    x = df.withColumn("__id", F.monotonically_increasing_id())
+    part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted((r["p"], r["n"]) for r in x.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, start = 0, []
+    for p, n in counts:
+        start += [F.lit(p), F.lit(before)]
+        before += n
+    first = F.create_map(*start)[part] if start else F.lit(0)
+    return x.withColumn(name, (first + at + 1).cast("long")).drop("__id")
+
+
+def unique_ids(df: DataFrame, base: str, order: str) -> DataFrame:
+    """Column `id`: the base, and from its second row on with _2, _3 and so on."""
+    again = F.row_number().over(Window.partitionBy(base).orderBy(order))
+    return df.withColumn("__k", again).withColumn("id", F.when(F.col("__k") == 1, F.col(base)).otherwise(F.concat_ws("_", base, F.col("__k").cast("string")))).drop("__k")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(id, description, sequence) of FASTA files, records of any number of lines.
 
-    The id is the header's first word. An empty header is named query_ and the record's number in its file; an id
-    that comes again gets _2, _3 and so on, by file and place. Records without sequence are kept with an empty one. Files are cut at
-    the record mark, so one large file is read by many tasks.
+    The id is the header's first word. An empty header is named query_ and the record's number; an id that comes again
+    gets _2, _3 and so on. Records without sequence are kept with an empty one. Files are cut at the record mark, so one
+    large file is read by many tasks.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    rec = raw.where(F.trim("value") != "").select("file", "at", F.regexp_replace("value", "^\\s*>", "").alias("v"))
+    raw = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
+    rec = record_numbers(raw.select(F.regexp_replace("value", "^\\s*>", "").alias("v")), "n")
     head = F.trim(F.regexp_extract("v", r"^([^\r\n]*)", 1))
     body = F.regexp_replace(F.regexp_extract("v", r"(?s)^[^\r\n]*(.*)$", 1), r"\s+", "")
-    w = Window.partitionBy("file").orderBy("at")
-    named = rec.select("file", "at", head.alias("h"), body.alias("sequence")).withColumn("n", F.row_number().over(w))
     first = F.regexp_extract("h", r"^(\S+)", 1)
-    base = named.withColumn("base", F.when(first == "", F.format_string("query_%06d", "n")).otherwise(first))
-    again = F.row_number().over(Window.partitionBy("base").orderBy("file", "at"))
-    return base.withColumn("k", again).select(F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("k").cast("string"))).alias("id"), F.trim(F.regexp_replace("h", r"^\S+", "")).alias("description"), "sequence")
+    named = rec.select("n", head.alias("h"), body.alias("sequence")).withColumn("base", F.when(first == "", F.format_string("query_%06d", "n")).otherwise(first))
+    return unique_ids(named, "base", "n").select("id", F.trim(F.regexp_replace("h", r"^\S+", "")).alias("description"), "sequence")
 
 
 def write_fasta(df: DataFrame, path: str, key: str, seq: str, width: int = 80) -> None:
@@ -51,17 +67,18 @@ def write_fasta(df: DataFrame, path: str, key: str, seq: str, width: int = 80) -
 
 
 def read_queries(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A query table whose columns go by any of their known names, in any case; missing columns are null, missing ids numbered."""
+    """A query table whose columns go by any of their known names, in any case.
+
+    Missing columns are null; a missing id is query_ and the record's number, one that comes again gets _2, _3 and so on.
+    """
     df = spark.read.csv(path, header=True, sep=sep)
     have = {c.lower().strip(): c for c in df.columns}
     out = []
     for name, aliases in QUERY_ALIASES.items():
         hit = next((have[a] for a in aliases if a in have), None)
         out.append((F.col(f"`{hit}`") if hit else F.lit(None)).cast("string").alias(name))
-    x = df.select(*out, F.monotonically_increasing_id().alias("__at"))
-    n = F.row_number().over(Window.orderBy("__at"))
-    blank = x.where(clean_taxon("processid").isNull()).withColumn("processid", F.format_string("query_%06d", n))
-    return x.where(clean_taxon("processid").isNotNull()).unionByName(blank).drop("__at")
+    x = record_numbers(df.select(*out), "n").withColumn("base", F.coalesce(clean_taxon("processid"), F.format_string("query_%06d", "n")))
+    return unique_ids(x, "base", "n").select(F.col("id").alias("processid"), *[c for c in QUERY_ALIASES if c != "processid"])
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
