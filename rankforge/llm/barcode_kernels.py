@@ -176,16 +176,17 @@ def compared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both.view(np.uint8).sum(axis=1, dtype=np.uint32).astype(np.int64), differ.view(np.uint8).sum(axis=1, dtype=np.uint32).astype(np.int64)
 
 
-def shift_tolerant(a: np.ndarray, b: np.ndarray, diag: np.ndarray, reach: int = 3, piece: int = 32) -> np.ndarray:
-    """Differences when each piece of columns may lie up to `reach` places off: at most the edits but for those next to a shift."""
-    width = a.shape[1]
-    cuts = np.arange(0, width, piece)
-    best = None
+def touched_pieces(a: np.ndarray, b: np.ndarray, diag: np.ndarray, reach: int, piece: int = 8) -> np.ndarray:
+    """Pieces of `piece` columns of `a` that differ from `b` wherever they are laid within `reach` of the diagonal.
+
+    An edit touches one piece, so this is no more than the edits of any alignment that stays within `reach`.
+    """
+    cuts = np.arange(0, a.shape[1], piece)
+    touched = np.ones((len(a), len(cuts)), bool)
     for d in range(-reach, reach + 1):
-        s = shifted(b, diag + d, width)
-        diff = np.add.reduceat((((a | s) < UNKNOWN) & (a != s)).view(np.uint8), cuts, axis=1, dtype=np.int32)
-        best = diff if best is None else np.minimum(best, diff)
-    return best.sum(axis=1)
+        s = shifted(b, diag + d, a.shape[1])
+        touched &= np.logical_or.reduceat(((a | s) < UNKNOWN) & (a != s), cuts, axis=1)
+    return touched.sum(axis=1)
 
 
 def banded_edits(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, diag: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
