@@ -109,7 +109,7 @@ DEFAULT: list[Rule] = [
     # chains of single letters such as p.s.u. or U.S.B.
     (False, r"(?<!\p{L})(?:\p{L}\.){2,}$", r"\s*\p{Ll}"),
     # a word that starts with a small letter by its nature (pH, eDNA) opens a sentence
-    (True, r"\p{L}{2,}[.!?]+[\p{Pe}\p{Pf}\"]*$", CAMEL_NEXT),
+    (True, r"[.!?…][\p{Pe}\p{Pf}\"]*$", CAMEL_NEXT),
     # a small letter goes on with the sentence
     (False, r"", LOWER_NEXT),
     # white space before anything else parts sentences
