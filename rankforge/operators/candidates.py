@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankforge.functions.exprs import RANKS, deepest, finite, hash_fraction, meets, wilson
+from rankforge.operators.ordering import running_sums
 from rankforge.operators.records import keep_first
 
 KEYS = ("method", "sample_id", "query_processid")
@@ -122,12 +123,12 @@ def set_scores(pred: DataFrame, true: DataFrame, key: str, value: str) -> DataFr
 def precision_curve(df: DataFrame, group: Sequence[str], confidence: str, correct: str) -> DataFrame:
     """(group, confidence, n, k): rows and right rows with at least each confidence. Equal confidences are one point.
 
-    Values are aggregated before the running sums, so a window sees distinct confidences, not rows.
+    Values are aggregated before the running sums, which see distinct confidences, spread over the tasks by range.
     """
     ok = df.where(finite(confidence).isNotNull() & F.col(correct).isNotNull())
     g = ok.groupBy(*group, finite(confidence).alias("confidence")).agg(F.count(F.lit(1)).alias("n1"), F.sum(F.col(correct).cast("int")).alias("k1"))
-    w = Window.partitionBy(*group).orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.select(*group, "confidence", F.sum("n1").over(w).alias("n"), F.sum("k1").over(w).alias("k"))
+    r = running_sums(g, list(group), "confidence", ["n1", "k1"], descending=True)
+    return r.select(*group, "confidence", F.col("run_n1").alias("n"), F.col("run_k1").alias("k"))
 
 
 def fit_thresholds(df: DataFrame, group: Sequence[str], confidence: str, correct: str, targets: Sequence[float], least_n: int = 1, use_wilson: bool = False) -> DataFrame:

@@ -5,27 +5,25 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.functions.exprs import entropy_term, finite
+from rankforge.operators.ordering import running_sums
 
 
 def average_ranks(df: DataFrame, value: str, group: Sequence[str], name: str) -> DataFrame:
-    """(group, value, name, n): average rank of each distinct value; windows see distinct values, not rows."""
+    """(group, value, name, n): average rank of each distinct value, by running sums over distinct values."""
     g = df.where(finite(value).isNotNull()).groupBy(*group, finite(value).alias(value)).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    below = F.sum("n").over(w) - F.col("n")
-    return g.select(*group, value, (below + (F.col("n") + 1) / 2).alias(name), "n")
+    r = running_sums(g, list(group), value, ["n"])
+    return r.select(*group, value, (F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2).alias(name), "n")
 
 
 def auroc(df: DataFrame, score: str, positive: str, group: Sequence[str] = ()) -> DataFrame:
     """(group, n_positive, n_negative, auroc) by average ranks; null where a class lacks. Null or non-finite scores and null classes go."""
     ok = df.where(finite(score).isNotNull() & F.col(positive).isNotNull())
     g = ok.groupBy(*group, finite(score).alias("s")).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    part = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
-    w = part.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    r = g.withColumn("rank", F.sum("n").over(w) - F.col("n") + (F.col("n") + 1) / 2)
+    r = running_sums(g, list(group), "s", ["n"]).withColumn("rank", F.col("run_n") - F.col("n") + (F.col("n") + 1) / 2)
     t = r.groupBy(*group).agg(F.sum("p").alias("n_positive"), F.sum(F.col("n") - F.col("p")).alias("n_negative"), F.sum(F.col("rank") * F.col("p")).alias("rs"))
     p, q = F.col("n_positive"), F.col("n_negative")
     return t.select(*group, "n_positive", "n_negative", ((F.col("rs") - p * (p + 1) / 2) / F.nullif(p * q, F.lit(0))).alias("auroc"))

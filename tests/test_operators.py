@@ -256,3 +256,16 @@ def test_kmer_search_dense_and_sparse_agree(spark):
     a, b = (V.kmer_profile(x.where("s is not null"), "id", "s", 4).withColumnRenamed("n", "w") for x in (q, c))
     sparse = [(r["query_id"], r["place"], round(r["score"], 6)) for r in V.weighted_topk(a, b, 3).orderBy("query_id", "place").collect()]
     assert dense == sparse and dense
+
+
+def test_running_sums_over_ranges(spark):
+    from pyspark.sql import Window
+
+    from rankforge.operators.ordering import global_places, running_sums
+
+    df = spark.range(500).select(F.when(F.col("id") % 7 == 0, None).otherwise((F.col("id") % 2).cast("string")).alias("g"), ((F.col("id") * 37) % 501).alias("v"), F.lit(2).alias("n"))
+    for desc in (False, True):
+        w = Window.partitionBy("g").orderBy(F.desc("v") if desc else F.asc("v")).rowsBetween(Window.unboundedPreceding, 0)
+        assert rows(running_sums(df, ["g"], "v", ["n"], desc)) == rows(df.withColumn("run_n", F.sum("n").over(w)))
+    assert running_sums(df.limit(0), ["g"], "v", ["n"]).count() == 0
+    assert [(r["place"], r["v"]) for r in global_places(df, ["v"]).orderBy("place").collect()] == [(i + 1, v) for i, v in enumerate(sorted(r["v"] for r in df.collect()))]
