@@ -88,6 +88,20 @@ def j_kmer_blocking(spark, d):
     return V.rare_kmer_pairs(V.kmer_profile(q, "id", "s", 12), 4)
 
 
+def _barcodes(spark, d):
+    return _clean(spark, d).select(F.col("processid").alias("id"), F.col("nucleotides").alias("s"))
+
+
+def j_kmer_similar(spark, d):
+    """All pairs of the whole barcode table with a 12-mer Jaccard of 0.8 or more, over classes of exact copies."""
+    return V.similar_classes(_barcodes(spark, d), 0.8)
+
+
+def j_kmer_classes(spark, d):
+    """The class of each record of j_kmer_similar."""
+    return V.sequence_classes(_barcodes(spark, d))
+
+
 def r_negative_control(spark, d):
     m = V.shuffled_labels(table(spark, d, "candidate_species"), "tree_label", "control-1")
     t = _top(spark, d).where("place = 1 and truth is not null").join(m, F.col("candidate_tree_label") == F.col("tree_label"))

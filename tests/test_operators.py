@@ -258,6 +258,33 @@ def test_kmer_search_dense_and_sparse_agree(spark):
     assert dense == sparse and dense
 
 
+def test_similar_classes_are_all_pairs(spark):
+    """Groups of more than 4 copies, conserved stretches and short sequences: as by comparing all sets."""
+    import random
+
+    r = random.Random(3)
+    base = ["".join(r.choice("ACGT") for _ in range(300)) for _ in range(6)]
+    recs = [(f"copy{i}", base[0]) for i in range(7)] + [(None, base[0]), ("short", "ACGT"), ("short2", "ACGT"), ("gone", None), ("n", "N" * 40)]
+    for g, b in enumerate(base):
+        for i in range(12):
+            s = list(b)
+            for at in r.sample(range(300), i % 4):
+                s[at] = r.choice("ACGTN")
+            recs.append((f"r{g}-{i}", "".join(s)[: 300 - 3 * (i % 5)]))
+    kept = [(i, s) for i, s in recs if i and s]
+    sets = [{s[a : a + 12] for a in range(len(s) - 11) if "N" not in s[a : a + 12]} for _, s in kept]
+    want = {(a, b) for a in range(len(kept)) for b in range(a) if kept[a][1] == kept[b][1] or (sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))}
+    df = spark.createDataFrame(recs, "id string, s string")
+    got = rows(V.similar_classes(df, 0.8))
+    assert got == rows(V.similar_classes(df, 0.8, block=10))
+    assert sum(x[4] for x in got) == len(want) > 200
+    cls = dict(map(tuple, V.sequence_classes(df).collect()))
+    assert {tuple(sorted((cls[kept[a][0]], cls[kept[b][0]]))) for a, b in want} == {x[:2] for x in got}
+    old = {tuple(sorted(x[:2])) for x in rows(V.rare_kmer_pairs(V.kmer_profile(df.where("id is not null"), "id", "s", 12), 4))}
+    assert not any(a.startswith("copy") and b.startswith("copy") for a, b in old)  # the capped way loses them
+    assert V.similar_classes(df.limit(0), 0.8).count() == 0
+
+
 def test_running_sums_over_ranges(spark):
     from pyspark.sql import Window
 
