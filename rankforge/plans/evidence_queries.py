@@ -29,16 +29,42 @@ def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0")
 
 
+def _all_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A twentieth as queries, every row as the catalogue."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return e.where("vec_id % 20 = 0"), e
+
+
 def r_cosine_topk(spark, d):
     q, c = _vectors(spark, d)
-    return V.cosine_topk(q, c, 10).select("query_id", "place", "candidate_id", F.round("score", 4).alias("score"))
+    return _places(V.cosine_topk(q, c, 10))
+
+
+def r_cosine_topk_all(spark, d):
+    """Against every row but the query's own."""
+    q, c = _all_vectors(spark, d)
+    return _places(V.cosine_topk(q, c, 10, own=False))
+
+
+def _places(n: DataFrame) -> DataFrame:
+    return n.select("query_id", "place", "candidate_id", F.round("score", 4).alias("score"))
 
 
 def r_knn_labels(spark, d):
     """1-nearest-neighbour labels against the true ones."""
     q, c = _vectors(spark, d)
+    return _label_counts(spark, d, V.cosine_topk(q, c, 1))
+
+
+def r_knn_labels_all(spark, d):
+    """As r_knn_labels, against every row but the query's own."""
+    q, c = _all_vectors(spark, d)
+    return _label_counts(spark, d, V.cosine_topk(q, c, 1, own=False))
+
+
+def _label_counts(spark, d, nearest: DataFrame) -> DataFrame:
     lab = table(spark, d, "embeddings").select("vec_id", "label")
-    n = V.cosine_topk(q, c, 1).join(lab.withColumnRenamed("vec_id", "query_id").withColumnRenamed("label", "truth"), "query_id")
+    n = nearest.join(lab.withColumnRenamed("vec_id", "query_id").withColumnRenamed("label", "truth"), "query_id")
     n = n.join(lab.withColumnRenamed("vec_id", "candidate_id"), "candidate_id")
     return n.groupBy("truth").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("truth") == F.col("label"), 1)).alias("n_right"))
 
@@ -63,8 +89,8 @@ def r_nearest_prototype(spark, d):
 
 
 def r_lsh_recall(spark, d):
-    q, c = _vectors(spark, d)
-    return V.recall_at(V.lsh_topk(q, c, 10), V.cosine_topk(q, c, 10))
+    q, c = _all_vectors(spark, d)
+    return V.recall_at(V.lsh_topk(q, c, 10, own=False), V.cosine_topk(q, c, 10, own=False))
 
 
 def _sequences(spark, d):

@@ -258,6 +258,20 @@ def test_kmer_search_dense_and_sparse_agree(spark):
     assert dense == sparse and dense
 
 
+def test_cosine_search_without_own_id(spark, small):
+    from rankforge.plans import evidence_queries as E
+    from rankforge.runtime import table
+
+    e = spark.createDataFrame([(i, [float(i % 4), 1.0]) for i in range(8)], "id long, v array<float>")
+    got = rows(V.cosine_topk(e, e, 7, own=False).select("query_id", "candidate_id"))
+    assert got == rows(V.cosine_topk(e, e, 7, 6, own=False).select("query_id", "candidate_id")) and got == [(a, b) for a in range(8) for b in range(8) if a != b]
+    n = table(spark, small, "embeddings").where("vec_id % 20 = 0").count()
+    whole = E.r_cosine_topk_all(spark, small)
+    assert whole.count() == 10 * n and whole.where("candidate_id % 5 = 0").count() > 0 and whole.where("candidate_id = query_id").count() == 0
+    assert E.r_lsh_recall(spark, small).first()["n_exact"] == 10 * n
+    assert E.r_knn_labels_all(spark, small).agg(F.sum("n")).first()[0] == n
+
+
 def test_similar_classes_are_all_pairs(spark):
     """Groups of more than 4 copies, conserved stretches and short sequences: as by comparing all sets."""
     import random
