@@ -93,20 +93,19 @@ def r_lsh_recall(spark, d):
     return V.recall_at(V.lsh_topk(q, c, 10, own=False), V.cosine_topk(q, c, 10, own=False))
 
 
-def _sequences(spark, d):
-    q = keep(_clean(spark, d, "unseen").where("seq_len >= 500").groupBy(F.col("processid").alias("id")).agg(F.max("nucleotides").alias("s")))
-    mine = F.pmod(F.crc32("id"), F.lit(4)) == 0
-    return q.where(mine), q.where(~mine)
+def _species_hits(spark, d, idf: bool) -> DataFrame:
+    """The three nearest species of every usable evaluation record, over all usable training records."""
+    q = _clean(spark, d, "eval_c_unseen_species").unionByName(_clean(spark, d, "unseen")).select("processid", "nucleotides")
+    n = V.kmer_topk_groups(q, _clean(spark, d).select("processid", "nucleotides", "species_name"), 6, 3, idf)
+    return n.select("query_id", "place", F.col("group").alias("species_name"), "candidate_id", F.round("score", 6).alias("score"))
 
 
 def r_kmer_cosine(spark, d):
-    q, c = _sequences(spark, d)
-    return V.kmer_topk(q, c, 6, 3).select("query_id", "place", "candidate_id", F.round("score", 6).alias("score"))
+    return _species_hits(spark, d, False)
 
 
 def r_tfidf(spark, d):
-    q, c = _sequences(spark, d)
-    return V.kmer_topk(q, c, 6, 3, True).select("query_id", "place", "candidate_id", F.round("score", 6).alias("score"))
+    return _species_hits(spark, d, True)
 
 
 def j_kmer_blocking(spark, d):

@@ -272,6 +272,45 @@ def test_cosine_search_without_own_id(spark, small):
     assert E.r_knn_labels_all(spark, small).agg(F.sum("n")).first()[0] == n
 
 
+@pytest.mark.parametrize("idf", [False, True])
+def test_kmer_search_by_groups(spark, idf):
+    """The best of each group, whatever the number of its copies, as by brute force."""
+    import random
+
+    r = random.Random(5)
+    base = ["".join(r.choice("ACGT") for _ in range(80)) for _ in range(5)]
+    change = lambda s, n: "".join(r.choice("ACGTN") if r.random() < n else x for x in s)
+    q = [(f"q{i}", change(base[i % 5], 0.1)) for i in range(8)] + [("q0", base[3]), ("none", "NNNN"), (None, base[0])]
+    c = [(f"c{i:02}", change(base[i % 5], 0.05), f"g{i % 5}" if i % 7 else None) for i in range(40)] + [(f"x{i}", base[1], "g1") for i in range(9)]
+    grams = lambda s: [s[i : i + 4] for i in range(len(s) - 3) if set(s[i : i + 4]) <= set("ACGT")]
+    cc = [x for x in c if x[2]]
+    docs = {(i, s) for i, s in q if i} | {x[:2] for x in cc}
+    w = lambda m: math.log((1 + len(docs)) / (1 + sum(m in grams(s) for _, s in docs))) + 1 if idf else 1.0
+    weight = {m: w(m) for m in {m for _, s in docs for m in grams(s)}}
+
+    def cosine(a, b):
+        x, y = ({m: grams(s).count(m) * weight[m] for m in set(grams(s))} for s in (a, b))
+        return sum(v * y.get(m, 0) for m, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    want = []
+    for i in sorted({i for i, s in q if i and grams(s)}):
+        best = {g: max(round(cosine(s, t), 9) for j, s in q if j == i for _, t, h in cc if h == g) for g in {x[2] for x in cc}}
+        want += [(i, p + 1, g, round(v, 6)) for p, (g, v) in enumerate(sorted(best.items(), key=lambda e: (-e[1], e[0]))[:3])]
+    qd, cd = spark.createDataFrame(q, "id string, s string"), spark.createDataFrame(c, "id string, s string, g string")
+    for cells in (V.BLOCK_CELLS, 4**4 * 20):
+        got = V.kmer_topk_groups(qd, cd, 4, 3, idf, cells).collect()
+        assert sorted((x["query_id"], x["place"], x["group"], round(x["score"], 6)) for x in got) == want
+
+
+def test_species_hits_take_every_query(spark, small):
+    from rankforge.plans import evidence_queries as E
+
+    n = E._clean(spark, small, "unseen").unionByName(E._clean(spark, small, "eval_c_unseen_species")).where("processid is not null and nucleotides is not null").select("processid").distinct().count()
+    got = E.r_kmer_cosine(spark, small)
+    assert got.count() == 3 * n == got.select("query_id", "species_name").distinct().count()
+    assert E._clean(spark, small).join(got, F.col("processid") == F.col("candidate_id"), "left_semi").count() > 0
+
+
 def test_similar_classes_are_all_pairs(spark):
     """Groups of more than 4 copies, conserved stretches and short sequences: as by comparing all sets."""
     import random
