@@ -63,14 +63,14 @@ def near_pairs(points: DataFrame, key: str, lat: str, lon: str, km: float) -> Da
     return j.where(F.col("key_a") < F.col("key_b")).withColumn("distance_km", d).where(F.col("distance_km") <= km).groupBy("key_a", "key_b").agg(F.min("distance_km").alias("distance_km"))
 
 
-def shared_support(top: DataFrame, sample: str, query: str, label: str) -> DataFrame:
-    """(sample, query, label, support): how many other queries of the sample have the label among their candidates.
+def shared_support(top: DataFrame, sample: str, query: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, sample, query, label, support): how many other queries of the sample have the label among their candidates.
 
     Counts per sample and label less the query's own; no pair of queries is formed.
     """
-    own = top.where(F.col(label).isNotNull()).select(sample, query, label).distinct()
-    n = own.groupBy(sample, label).agg(F.count(F.lit(1)).alias("n"))
-    return own.join(n, [sample, label]).select(sample, query, label, (F.col("n") - 1).alias("support"))
+    own = top.where(F.col(label).isNotNull()).select(*by, sample, query, label).distinct()
+    n = own.groupBy(*by, sample, label).agg(F.count(F.lit(1)).alias("n"))
+    return own.join(n, [*by, sample, label]).select(*by, sample, query, label, (F.col("n") - 1).alias("support"))
 
 
 def prior_ranking(priors: DataFrame, site: str, label: str, count: str, k: int) -> DataFrame:

@@ -191,6 +191,11 @@ def e_cooccurrence(spark, d):
     return P.shared_support(t, "sample_id", "query_processid", "candidate_tree_label")
 
 
+def e_cooccurrence_all(spark, d):
+    """Support within each of the methods."""
+    return P.shared_support(_top(spark, d), "sample_id", "query_processid", "candidate_tree_label", ["method"])
+
+
 def e_overlap_audit(spark, d):
     return P.reference_overlap(_map(spark, d), "true_tree_label", table(spark, d, "candidate_species"), "tree_label", "has_reference_sequence")
 
@@ -224,7 +229,15 @@ def g_nearest_reference(spark, d):
 
 
 def g_neighborhood(spark, d):
-    t = _top(spark, d).where("place <= 5 and method = 'ssm_plain'")
+    return _neighbourhood(spark, d, _top(spark, d).where("place <= 5 and method = 'ssm_plain'"))
+
+
+def g_neighborhood_all(spark, d):
+    """As g_neighborhood, of every method."""
+    return _neighbourhood(spark, d, _top(spark, d).where("place <= 5"))
+
+
+def _neighbourhood(spark, d, t: DataFrame) -> DataFrame:
     x = T.neighbourhood(t, K, "candidate_tree_label", _closure(spark, d))
     return x.select(*K, "n_pairs", "min_distance", F.round("mean_distance", 6).alias("mean_distance"), "max_distance", F.round("mean_to_top", 6).alias("mean_to_top"))
 

@@ -34,6 +34,17 @@ def w_equal_bins(spark, d):
     return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("right_genus"), 1)).alias("n_right"))
 
 
+def w_equal_bins_all(spark, d):
+    """Five bins of equal count by score within each method, ties in the order of the keys."""
+    f = _first(spark, d)
+    p = keep(global_places(f, ["method", "candidate_score", "sample_id", "query_processid"]))
+    # a method's rows follow one another, so its own places begin after the least
+    m = p.groupBy("method").agg((F.min("place") - 1).alias("before"), F.count(F.lit(1)).alias("in_method")).withColumnRenamed("method", "m")
+    x = p.join(m, F.col("method").eqNullSafe(F.col("m")))
+    b = x.withColumn("bin", F.floor((F.col("place") - F.col("before") - 1) * 5 / F.col("in_method").cast("double")).cast("long"))
+    return b.groupBy("method", "bin").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("right_genus"), 1)).alias("n_right"))
+
+
 def b_random_split(spark, d):
     """Species in three splits by ranked hash: 70, 15 and 15 in 100, cut at the shares of their places."""
     s = _clean(spark, d).where("species_name is not null").select("species_name").distinct()

@@ -338,6 +338,20 @@ def test_similar_classes_are_all_pairs(spark):
     assert V.similar_classes(df.limit(0), 0.8).count() == 0
 
 
+def test_every_method_has_its_rows(spark, small):
+    """The queries over all methods: ssm_plain as the SQL's queries, and the other methods' rows besides."""
+    from rankforge.plans import registry
+    from rankforge.plans.candidate_queries import _first, _top
+
+    methods = {x[0] for x in _top(spark, small).select("method").distinct().collect()}
+    q = registry.queries()
+    for n in ("g_neighborhood", "e_cooccurrence", "w_equal_bins"):
+        one, every = q[n](spark, small), q[f"{n}_all"](spark, small)
+        assert {x[0] for x in every.select("method").distinct().collect()} == methods and len(methods) > 1
+        assert rows(every.where("method = 'ssm_plain'").select(one.columns)) == rows(one)
+    assert q["w_equal_bins_all"](spark, small).agg(F.sum("n")).first()[0] == _first(spark, small).count()
+
+
 def test_running_sums_over_ranges(spark):
     from pyspark.sql import Window
 
