@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankforge.functions.exprs import clean_sequence, clean_taxon, count_of, first_value, genus_of_label, hash_fraction, n_fraction, tree_label
+from rankforge.runtime import keep
 
 
 def cleaned_records(df: DataFrame) -> DataFrame:
@@ -124,6 +125,20 @@ def unseen_groups(df: DataFrame, group: str, member: str, least: int, most: int,
     return g.where(F.col("n_members").between(least, most)).orderBy(hash_fraction(group, salt), group).limit(n_groups)
 
 
+def without_largest(df: DataFrame, group: str, n: int) -> DataFrame:
+    """The rows whose group is not one of the n with most rows, ties to the smaller group; rows without a group are left out."""
+    some = df.where(F.col(group).isNotNull())
+    most = some.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), F.asc(group)).limit(n)
+    return some.join(most, group, "left_anti")
+
+
+def unseen_groups_by_share(df: DataFrame, group: str, member: str, least: int, most: int, n_largest: int, share: float, salt: str, at_least: int = 20) -> DataFrame:
+    """As unseen_groups, without the n_largest groups; max(at_least, share of the candidates) are held out."""
+    rest = keep(without_largest(df, group, n_largest).select(group, member))
+    n = rest.groupBy(group).agg(F.countDistinct(member).alias("m")).where(F.col("m").between(least, most)).count()
+    return unseen_groups(rest, group, member, least, most, max(at_least, int(n * share)), salt)
+
+
 def held_out_members(df: DataFrame, group: str, member: str, per_group: int, salt: str) -> DataFrame:
     """(group, member) held out: by hash, up to per_group of each group, while one member at least stays."""
     pairs = df.where(F.col(group).isNotNull() & F.col(member).isNotNull()).select(group, member).distinct()

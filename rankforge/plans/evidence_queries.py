@@ -133,6 +133,13 @@ def r_negative_control(spark, d):
     return t.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("shuffled") == F.col("truth"), 1)).alias("n_right"))
 
 
+def r_random_control(spark, d):
+    """How often the truth is among five labels drawn at random for each query."""
+    t = _top(spark, d).where("place = 1 and truth is not null")
+    x = V.random_ranking(t, K, table(spark, d, "candidate_species"), "tree_label", 5, "control-1").join(t.select(*K, "truth"), K)
+    return x.groupBy("method").agg(F.count(F.when(F.col("place") == 1, 1)).alias("n"), F.count(F.when((F.col("place") == 1) & (F.col("tree_label") == F.col("truth")), 1)).alias("n_right"), F.count(F.when(F.col("tree_label") == F.col("truth"), 1)).alias("n_right_in_5"))
+
+
 def q_ungapped(spark, d):
     x = _clean(spark, d, "unseen").where("genus_name is not null").groupBy("genus_name", "processid").agg(F.max("nucleotides").alias("s"))
     lead = x.groupBy("genus_name").agg(F.min("processid").alias("lead_id"), F.min_by("s", "processid").alias("lead"))

@@ -127,6 +127,11 @@ def b_unseen_genera(spark, d):
     return R.unseen_groups(_clean(spark, d), "genus_name", "species_name", 2, 50, 20, "genera-1")
 
 
+def b_unseen_genera_share(spark, d):
+    """Genera held out as the reference does: without the genera of most rows, max(20, a share) of the candidates."""
+    return R.unseen_groups_by_share(_clean(spark, d), "genus_name", "species_name", 2, 50, 50, 0.1, "genera-1")
+
+
 def b_unseen_species(spark, d):
     return R.held_out_members(_clean(spark, d), "genus_name", "species_name", 2, "species-1")
 

@@ -338,6 +338,28 @@ def test_similar_classes_are_all_pairs(spark):
     assert V.similar_classes(df.limit(0), 0.8).count() == 0
 
 
+def test_largest_groups_stay_in_training(spark):
+    """A genus of a third of all rows is never held out, and the number held out grows with the candidates."""
+    data = [("big", f"s{i % 3}") for i in range(300)] + [(f"g{i:03}", f"s{j}") for i in range(300) for j in range(2)] + [(None, "x")]
+    df = spark.createDataFrame(data, "g string, s string")
+    got = R.unseen_groups_by_share(df, "g", "s", 2, 50, 1, 0.1, "t").collect()
+    assert len(got) == 30 and "big" not in {x["g"] for x in got}
+    assert "big" in {x["g"] for x in R.unseen_groups(df, "g", "s", 2, 50, 301, "t").collect()}
+    assert R.without_largest(df, "g", 1).count() == 600
+    assert R.unseen_groups_by_share(df, "g", "s", 2, 50, 1, 0.01, "t").count() == 20
+
+
+@pytest.mark.parametrize("n_labels", [0, 1, 4, 6, 24, 100])
+def test_random_ranking_without_replacement(spark, n_labels):
+    q = spark.createDataFrame([(f"q{i}", "m") for i in range(50)], "q string, m string")
+    labels = spark.createDataFrame([(f"l{i}",) for i in range(n_labels)] + [(None,)], "l string")
+    got = V.random_ranking(q, ["q", "m"], labels, "l", 5, "c").collect()
+    take = min(5, n_labels)
+    assert len(got) == 50 * take == len({(x["q"], x["l"]) for x in got})
+    assert {(x["place"], x["score"]) for x in got} == {(i + 1, 4 - i) for i in range(take)}
+    assert n_labels < 24 or len({x["l"] for x in got if x["place"] == 1}) > 10
+
+
 def test_every_method_has_its_rows(spark, small):
     """The queries over all methods: ssm_plain as the SQL's queries, and the other methods' rows besides."""
     from rankforge.plans import registry
