@@ -311,6 +311,16 @@ def test_species_hits_take_every_query(spark, small):
     assert E._clean(spark, small).join(got, F.col("processid") == F.col("candidate_id"), "left_semi").count() > 0
 
 
+def test_masked_query_in_a_large_cluster(spark, tmp_path):
+    """More than 200 nearer candidates of the query's own label do not take its row away."""
+    from rankforge.plans import evidence_queries as E
+
+    data = [(i, [1.0, i / 1000], 1) for i in range(400)] + [(401, [0.0, 1.0], 2), (402, [1.0, 0.0], None)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label long").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert rows(E.r_masked(spark, str(tmp_path))) == sorted([(i, 401) for i in range(0, 400, 5)], key=str)
+    assert rows(E.r_masked_all(spark, str(tmp_path))) == sorted([(i, 401) for i in range(0, 400, 20)], key=str)
+
+
 def test_similar_classes_are_all_pairs(spark):
     """Groups of more than 4 copies, conserved stretches and short sequences: as by comparing all sets."""
     import random
