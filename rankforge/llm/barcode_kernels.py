@@ -136,6 +136,28 @@ def sketches(codes: np.ndarray, k: int, odd: np.ndarray) -> tuple[np.ndarray, np
     return keys, places
 
 
+def syncmers(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, key) of the closed syncmers of 16 bases of each row: those whose least 8-mer is their first or their last.
+
+    Both strands give the same k-mers, and a k-mer is taken or not whatever lies round it. Of any 8 neighbours one is taken, so
+    that two rows which agree in 23 plain bases on end have one in common. Places are signed as in `sketches`.
+    """
+    found = {s: (v, r) for s, v, r in _doubled(codes, True)}
+    if len(codes) == 0 or 16 not in found:
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint64)
+    f, r = found[16]
+    small = mixed(np.minimum(*found[8]).astype(np.uint64))
+    least = small
+    for step in (1, 2, 4):
+        least = np.minimum(least[:, :-step], least[:, step:])
+    w = f.shape[1]
+    first, last = small[:, :w], small[:, 8 : 8 + w]
+    least = np.minimum(least[:, :w], last)
+    row, col = np.nonzero(((first == least) | (last == least)) & _clean(codes, 16))
+    back = r[row, col] < f[row, col]
+    return row, np.where(back, -col - 1, col).astype(np.int32), mixed(np.minimum(f, r)[row, col].astype(np.uint64))
+
+
 def segment_hashes(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each window of `size` bases, 33 to 64, forward strand; whether the window is clean)."""
     w = codes.shape[1] - size + 1

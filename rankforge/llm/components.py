@@ -1,45 +1,52 @@
-"""Connected groups: local union-find forests, merged hierarchically; beyond a bound, star contraction."""
+"""Connected groups by distributed union-find: local forests, merged round by round."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.runtime import cut, shuffle_partitions
 
-#: Links up to which forests are merged down to one; beyond it the rounds of stars take over.
-MERGE_BOUND = 2_000_000
-FAN_IN = 8
 
+class Forest:
+    """Union-find over links met so far; a tree's root is its smallest node."""
 
-def forest(links: list[tuple]) -> list[tuple]:
-    """Links from each node to the smallest node of its tree: a spanning forest of the given links."""
-    parent: dict = {}
+    def __init__(self) -> None:
+        self.parent: dict = {}
 
-    def root(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def root(self, x):
+        p = self.parent
+        top = x
+        while (up := p.setdefault(top, top)) != top:
+            top = up
+        while p[x] != top:
+            p[x], x = top, p[x]
+        return top
 
-    for a, b in links:
-        a, b = root(a), root(b)
+    def add(self, a, b) -> None:
+        a, b = self.root(a), self.root(b)
         if a != b:
-            parent[max(a, b)] = min(a, b)
-    return [(x, r) for x in list(parent) if (r := root(x)) != x]
+            self.parent[max(a, b)] = min(a, b)
+
+    def links(self) -> list[tuple]:
+        """Links from each node to the root of its tree."""
+        return [(x, r) for x in list(self.parent) if (r := self.root(x)) != x]
 
 
 def _local(kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[tuple] = []
+        f = Forest()
         for b in batches:
-            kept = forest([*kept, *zip(b["a"].tolist(), b["b"].tolist())])
-        out = pd.DataFrame(kept, columns=["a", "b"])
-        yield out.astype({"a": kind, "b": kind}) if kind == "int64" else out
+            for x, y in zip(b["a"].tolist(), b["b"].tolist()):
+                f.add(x, y)
+        kept = f.links()
+        for at in range(0, len(kept), 1 << 16):
+            out = pd.DataFrame(kept[at : at + (1 << 16)], columns=["a", "b"])
+            yield out.astype({"a": np.int64, "b": np.int64}) if kind == "long" else out
 
     return run
 
@@ -49,39 +56,29 @@ def connected(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     Nodes are strings (ordered by code point) or longs. Null ends and self-links link nothing; a self-link's node is still a
     node. Isolated nodes come from `nodes` (its first column). No links give the nodes alone, each its own root.
+
+    Each task grows the forest of its links. Trees with a common node are brought together by that node and merged in
+    the next round, until every node has one parent; parents are then followed by doubling. A task never holds more than its share of
+    the links, at any size.
     """
-    spark = links.sparkSession
     long = dict(links.dtypes)["a"] in ("bigint", "int")
-    type_, kind = ("long", "int64") if long else ("string", "object")
+    type_ = "long" if long else "string"
     e = links.select(F.col("a").cast(type_).alias("a"), F.col("b").cast(type_).alias("b")).where("a is not null and b is not null")
     named = e.select(F.explode(F.array("a", "b")).alias("node"))
     if nodes is not None:
         named = named.unionByName(nodes.select(F.col(nodes.columns[0]).cast(type_).alias("node")).where("node is not null"))
-    schema = f"a {type_}, b {type_}"
-    parts = max(1, shuffle_partitions(spark))
-    trees = cut(e.where("a <> b").distinct().mapInPandas(_local(kind), schema))
-    if trees.count() <= MERGE_BOUND:
-        while parts > 1:
-            parts = max(1, parts // FAN_IN)
-            trees = trees.coalesce(parts).mapInPandas(_local(kind), schema)
-        trees = cut(trees)
-    else:
-        trees = _stars(trees)
+    schema, parts = f"a {type_}, b {type_}", shuffle_partitions(links.sparkSession)
+    local = _local(type_)
+    trees = e.where("a <> b").mapInPandas(local, schema)
+    while True:
+        trees = cut(trees.repartition(parts, "a").mapInPandas(local, schema).distinct())
+        if trees.groupBy("a").count().where("count > 1").isEmpty():
+            break
+    while True:
+        up = trees.select(F.col("a").alias("b"), F.col("b").alias("__up"))
+        step = cut(trees.join(up, "b", "left").select("a", F.coalesce("__up", "b").alias("b"), F.col("__up").isNotNull().alias("moved")))
+        trees = step.select("a", "b")
+        if step.where("moved").isEmpty():
+            break
     lead = trees.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return named.distinct().join(lead, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-
-
-def _stars(e: DataFrame) -> DataFrame:
-    """Large-star and small-star rounds until nothing changes; every round is cut to the shared folder."""
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("s"))
-        new = cut(small.select(F.col("s.a").alias("a"), F.col("s.m").alias("b")).where("a <> b").distinct())
-        same = new.join(e.select("a", "b"), ["a", "b"], "left_anti").isEmpty() and e.join(new, ["a", "b"], "left_anti").isEmpty()
-        e = new
-        if same:
-            return e

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 import rankforge.llm.segment_join as J
 from rankforge.llm.barcode_kernels import banded_edits, canonical, matrix, pack, plain_bases, reverse_complement, sketches, unpack
 from rankforge.llm.cluster_profiles import describe_clusters
-from rankforge.llm.pivot_clusters import ODD, cluster_links
+from rankforge.llm.barcode_kernels import syncmers
+from rankforge.llm.pivot_clusters import ODD, cluster_links, similar
 from rankforge.llm.segment_join import overlap_report, overlaps
 
 RND = random.Random(11)
@@ -79,11 +80,21 @@ def test_banded_alignment_equals_the_whole_table():
 
 def test_sketch_is_the_same_on_both_strands():
     s = [dna(300).encode() for _ in range(20)] + [b"ACGT" * 4, b"N" * 50]
-    k1, _ = sketches(matrix(s), 32, ODD)
-    k2, _ = sketches(matrix([reverse_complement(x) for x in s]), 32, ODD)
+    k1, _ = sketches(matrix(s), 16, ODD)
+    k2, _ = sketches(matrix([reverse_complement(x) for x in s]), 16, ODD)
     assert (k1 == k2).all()
 
 
+def test_syncmers_lie_close_and_do_not_depend_on_the_strand():
+    s = [dna(300).encode() for _ in range(20)] + [b"ACGT" * 4, b"N" * 50, b"ACG"]
+    row, place, key = syncmers(matrix(s))
+    other, _, key2 = syncmers(matrix([reverse_complement(x) for x in s]))
+    assert sorted(zip(row.tolist(), key.tolist())) == sorted(zip(other.tolist(), key2.tolist()))
+    for i in range(20):
+        at = np.sort(np.where(place[row == i] < 0, -place[row == i] - 1, place[row == i]))
+        assert np.diff(at).max() <= 8 and at[0] <= 7 and at[-1] >= 300 - 16 - 7
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     rnd = random.Random(21)
@@ -161,6 +172,34 @@ def test_clusters_equal_the_planted_ones(spark, clustered):
     assert cluster_links(df.limit(0)).count() == 0
 
 
+def test_clusters_of_overlapping_reads_and_of_reads_with_unknown_bases(spark):
+    """Reads cut every 250 bases from one stretch hang together by their neighbours; unknown bases every 30 hide nothing."""
+    rnd = random.Random(77)
+    long = dna(640 + 5 * 250, rnd)
+    data = [(f"R{i}", long[250 * i : 250 * i + 640]) for i in range(6)]
+    s = dna(640, rnd)
+    holes = "".join("N" if i % 30 == 29 else c for i, c in enumerate(changed(s, 12, rnd, indels=False)))
+    data += [("S0", s), ("S1", reverse_complement(holes.encode()).decode())]
+    got = {(r["cluster_processid"], r["processid"]) for r in cluster_links(spark.createDataFrame(data, "processid string, nucleotides string")).collect()}
+    assert got == {*(("R0", f"R{i}") for i in range(1, 6)), ("S0", "S1")}
+
+
+def test_similar_pairs_at_the_limit_are_in_one_cluster(spark):
+    """300 bases in common, 12 of them different: of 300 such pairs at least 99 in 100 are found (all, here)."""
+    rnd = random.Random(78)
+    data = []
+    for i in range(300):
+        s = dna(300, rnd)
+        data += [(f"A{i:03d}", dna(150, rnd) + s), (f"B{i:03d}", changed(s, 12, rnd, indels=False) + dna(150, rnd))]
+    got = {(r["cluster_processid"], r["processid"]) for r in cluster_links(spark.createDataFrame(data, "processid string, nucleotides string")).collect()}
+    want = set()
+    for i in range(300):
+        a, b = data[2 * i][1], data[2 * i + 1][1]
+        ok, _, _ = similar([a.encode()], [b.encode()], np.array([1]), np.array([-150]))
+        want |= {(f"A{i:03d}", f"B{i:03d}")} if ok[0] else set()
+    assert len(want) > 250 and len(want & got) >= 0.99 * len(want) and got <= {(f"A{i:03d}", f"B{i:03d}") for i in range(300)}
+
+
 def test_typical_members(spark, clustered):
     df, truth = clustered
     d = describe_clusters(df).collect()
@@ -171,6 +210,26 @@ def test_typical_members(spark, clustered):
     assert all(r["mean_difference"] >= 0 for r in d) and describe_clusters(df.limit(0)).count() == 0
 
 
+def test_medoid_equals_brute_force(spark):
+    """The medoid of a chain of reads on either strand, of which the first and the last have nothing in common."""
+    rnd = random.Random(79)
+    long = dna(1100, rnd)
+    data, at = [], {}
+    for i in range(24):
+        left = rnd.randrange(0, 460)
+        s = changed(long, 6, rnd, indels=False)[left : left + 640]
+        at[f"M{i:02d}"] = (left, s)
+        data.append((f"M{i:02d}", s if i % 3 else reverse_complement(s.encode()).decode()))
+
+    def differ(a, b):
+        (x, s), (y, t) = at[a], at[b]
+        return sum(s[p - x] != t[p - y] for p in range(max(x, y), min(x, y) + 640))
+
+    want = sorted((sum(differ(a, b) for b in at), a) for a in at)[:3]
+    rows = sorted(describe_clusters(spark.createDataFrame(data, "processid string, nucleotides string")).collect(), key=lambda r: r["place"])
+    assert [(r["n_records"], r["processid"], round(r["mean_difference"] * 23)) for r in rows] == [(24, p, d) for d, p in want]
+
+
 def test_hot_copies_make_one_cluster(spark):
     s = dna(640)
     hot = spark.range(3000).select(F.format_string("P%05d", "id").alias("processid"), F.lit(s).alias("nucleotides"))

@@ -132,11 +132,7 @@ def test_shares_of_many_groups(spark, monkeypatch):
             assert abs(x["actual_share"] - x["target_share"]) < (0.001 if exact > 20 else 0.06)
 
 
-@pytest.mark.parametrize("bound", [2_000_000, 0])
-def test_connected_groups_by_forests_and_by_stars(spark, monkeypatch, bound):
-    import rankforge.llm.components as K
-
-    monkeypatch.setattr(K, "MERGE_BOUND", bound)
+def test_connected_groups_by_forests(spark):
     rnd = random.Random(4)
     links = [(f"n{rnd.randrange(300):03d}", f"n{rnd.randrange(300):03d}") for _ in range(180)] + [("n000", "n000"), (None, "n001"), ("c00", "c01")] + [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(60)]
     parent: dict = {}
