@@ -9,9 +9,10 @@ from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes up to which a lookup may be broadcast; larger ones take the shuffled way.
-BROADCAST_BOUND = 64 * 1024 * 1024
+BROADCAST_BOUND = 16 * 1024 * 1024
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -45,6 +46,13 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def bounded(df: DataFrame, wide: str) -> Callable[[DataFrame], DataFrame]:
+    """What broadcasts a side drawn from `df` where its rows, with the lengths of column `wide`, are within BROADCAST_BOUND; else leaves it to a
+    shuffled join. `df` must be cheap to read again."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(F.length(wide))).first()
+    return F.broadcast if (size or 0) + 64 * n <= BROADCAST_BOUND else lambda x: x
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
