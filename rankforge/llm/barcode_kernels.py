@@ -158,13 +158,19 @@ def syncmers(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, np.where(back, -col - 1, col).astype(np.int32), mixed(np.minimum(f, r)[row, col].astype(np.uint64))
 
 
-def segment_hashes(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each window of `size` bases, 33 to 64, forward strand; whether the window is clean)."""
-    w = codes.shape[1] - size + 1
-    if w <= 0:
-        return np.empty((len(codes), 0), np.uint64), np.empty((len(codes), 0), bool)
-    whole = _doubled(codes, False)[-1][1]
-    return mixed(whole[:, :w] * np.uint64(0xD6E8FEB86659FD93) ^ whole[:, size - 32 : size - 32 + w]), _clean(codes, size)
+def window_keys(codes: np.ndarray, size: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, signed place, whether it is clean) of each window of `size` bases, 4 to 64. Both strands of a window have one key."""
+    w = max(0, codes.shape[1] - size + 1)
+    if w == 0 or len(codes) == 0:
+        return np.empty((len(codes), w), np.uint64), np.empty((len(codes), w), np.int32), np.empty((len(codes), w), bool)
+    part, v, r = next(x for x in reversed(_doubled(codes, True)) if x[0] <= size)
+    gap = size - part
+    left, right = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F * (2 * salt + 1) & 0xFFFFFFFFFFFFFFFF)
+    v, r = v.astype(np.uint64, copy=False), r.astype(np.uint64, copy=False)
+    forth = v[:, :w] * left ^ v[:, gap : gap + w] * right
+    back = r[:, gap : gap + w] * left ^ r[:, :w] * right
+    place = np.broadcast_to(np.arange(w, dtype=np.int32), forth.shape)
+    return mixed(np.minimum(forth, back)), np.where(back < forth, -place - 1, place), _clean(codes, size)
 
 
 def flip(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -198,16 +204,20 @@ def compared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both.view(np.uint8).sum(axis=1, dtype=np.uint32).astype(np.int64), differ.view(np.uint8).sum(axis=1, dtype=np.uint32).astype(np.int64)
 
 
-def touched_pieces(a: np.ndarray, b: np.ndarray, diag: np.ndarray, reach: int, piece: int = 8) -> np.ndarray:
-    """Pieces of `piece` columns of `a` that differ from `b` wherever they are laid within `reach` of the diagonal.
+def touched_pieces(a: np.ndarray, b: np.ndarray, diag: np.ndarray, reach: int) -> np.ndarray:
+    """Pieces of 8 columns of `a` that differ from `b` wherever they are laid within `reach` of the diagonal.
 
     An edit touches one piece, so this is no more than the edits of any alignment that stays within `reach`.
     """
-    cuts = np.arange(0, a.shape[1], piece)
-    touched = np.ones((len(a), len(cuts)), bool)
-    for d in range(-reach, reach + 1):
-        s = shifted(b, diag + d, a.shape[1])
-        touched &= np.logical_or.reduceat(((a | s) < UNKNOWN) & (a != s), cuts, axis=1)
+    width = -(-a.shape[1] // 8) * 8
+    x = np.full((len(a), width), UNKNOWN, np.uint8)
+    x[:, : a.shape[1]] = a
+    wide = shifted(b, diag + reach, width + 2 * reach)
+    touched = np.ones((len(a), width // 8), bool)
+    for d in range(2 * reach + 1):
+        s = wide[:, d : d + width]
+        differ = ((x | s) < UNKNOWN) & (x != s)
+        touched &= differ.view(np.uint64) != 0
     return touched.sum(axis=1)
 
 

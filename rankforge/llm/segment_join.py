@@ -1,226 +1,335 @@
 """The same or almost the same records across splits, by an edit-distance segment join (p1).
 
-Evaluation sequences are cut into segments so short that any stretch of LEAST_BASES holds EDITS + 1 whole ones: at
-most EDITS edits leave one of them untouched in the training sequence. Training sequences are read once, where they lie; the hashes
-of all their windows are looked up among the segments, pairs with too few segments for their overlap are dropped, and the rest is
-verified by comparison on the diagonal and, failing that, by banded dynamic programming.
+A sequence is cut into segments so short that edits leave some of them untouched in any sequence almost the same. A scan of
+the other table looks up all windows of its sequences in a bit table of these segments and sends on those that may be one; the
+join of both by the segment counts them for each pair, pairs with too few for their overlap are dropped, and the rest is verified by
+comparison on the diagonal and, failing that, by banded dynamic programming.
+
+Unknown bases hide segments. A sequence is of the first class whose segments, laid between its stretches of unknown bases, leave enough of
+them in any LEAST_BASES known bases; the segments of each class are shorter than those of the class before. Of a pair, the
+sequence of the higher class is cut and the other one scanned: evaluation sequences are cut for the scan of the training table, and
+the training sequences of the higher classes for one of the evaluation table.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.barcode_kernels import (
-    banded_edits,
-    blocks,
-    canonical,
-    compared,
-    matrix,
-    pack,
-    plain_bases,
-    reverse_complement,
-    segment_hashes,
-    shifted,
-    unpack,
-)
-from rankforge.runtime import built_once, keep, spread
-
-EDITS = 5
+from rankforge.llm.barcode_kernels import UNKNOWN, banded_edits, blocks, canonical, compared, flip, matrix, pack, plain_bases, shifted, unpack, window_keys
+from rankforge.runtime import built_once, cut, keep, shuffle_partitions, spread
+
 LEAST_BASES = 300
-#: Longest segment of which any window of LEAST_BASES holds EDITS + 1 whole ones.
-SEGMENT = (LEAST_BASES + 1) // (EDITS + 2)
-#: Evaluation sequences whose segments are broadcast at once; more are taken in further blocks.
-QUERY_BLOCK = 65_536
-#: Bits of the first look-up table, as a power of two.
-TABLE_BITS = 26
+#: Segments that class 1 and class 2 leave besides those which edits can hit, for the unknown bases of the other sequence.
+SPARE = (0, 1, 2)
+#: Bits of the table of segments for each segment, and at most in all (64 MB); a fuller table lets more windows through, no fewer.
+BITS_EACH, MOST_BITS = 64, 1 << 29
+CHUNK_WORDS = 4_096
 PAIRS_AT_ONCE = 4_096
 
 
+@dataclass(frozen=True)
+class Nearness:
+    """What counts as almost the same: at least LEAST_BASES compared, at most `edits` + `share` of the compared bases edited."""
+
+    edits: int = 5
+    share: float = 0.0
+
+    @property
+    def tiers(self) -> tuple[tuple[int, int], ...]:
+        """(length, step) of the segments of each class. Of class 0, any LEAST_BASES bases hold one whole segment more than edits; the last is for the rest."""
+        at_least = self.edits + int(self.share * LEAST_BASES)
+        whole = (LEAST_BASES + 1) // (at_least + 2)
+        shorter = [max(14, int(whole * x)) for x in (0.7, 0.5)]
+        return (whole, whole), (shorter[0], shorter[0]), (shorter[1], shorter[1]), (14, 7)
+
+    def allowed(self, n):
+        return self.edits + self.share * n
+
+
+CROSS_SPLIT = Nearness()
+
+
 def same_id(processid: Column) -> Column:
     """One spelling of a process id: capitals, letters and digits only, without the marker after a full stop."""
     plain = F.regexp_replace(F.upper(processid), r"\..*$", "")
     return F.regexp_replace(plain, r"[^A-Z0-9]", "")
 
 
-def segment_index(seqs: list[bytes]) -> dict:
-    """Segments of both strands, sorted by hash, with sequence and position; sequence 2 i is number i, 2 i + 1 its other strand."""
-    both = [x for s in seqs for x in (s, reverse_complement(s))]
-    hs, who, pos = [], [], []
-    for part in blocks(both, 2048):
-        codes = matrix([both[i] for i in part])
-        h, ok = segment_hashes(codes, SEGMENT)
-        h, ok = h[:, ::SEGMENT], ok[:, ::SEGMENT]
-        r, c = np.nonzero(ok)
-        hs.append(h[r, c])
-        who.append(part[r].astype(np.int32))
-        pos.append((c * SEGMENT).astype(np.int32))
-    h = np.concatenate(hs) if hs else np.empty(0, np.uint64)
-    who = np.concatenate(who) if who else np.empty(0, np.int32)
-    pos = np.concatenate(pos) if pos else np.empty(0, np.int32)
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
-    for probe in _probes(h):
-        np.bitwise_or.at(table, (probe >> np.uint64(3)).astype(np.int64), np.left_shift(1, (probe & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-    # sequence and number of each clean segment in one key, to count those inside an overlap
-    clean = np.sort((who.astype(np.int64) << 32) | (pos // SEGMENT))
-    return {"seqs": both, "hash": h, "who": who[order], "pos": pos[order], "table": table, "clean": clean, "length": np.array([len(x) for x in both], np.int64)}
-
-
-def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << TABLE_BITS) - 1)
-    return h & mask, (h >> np.uint64(32)) & mask
-
-
-def _listed(h: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Whether each hash may be a segment's."""
-    a, b = _probes(h)
-    hit = (table[(a >> np.uint64(3)).astype(np.int64)] >> (a & np.uint64(7)).astype(np.uint8)) & 1
-    some = np.flatnonzero(hit)
-    b = b[some]
-    return some[((table[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1) > 0]
-
-
-def _lost_segments(seq: bytes) -> int:
-    """Segments that the unknown bases of a training sequence can hide."""
-    lost, run = 0, 0
+def class_of(seq: bytes, near: Nearness) -> int:
+    """First class of which any LEAST_BASES known bases of the sequence hold enough whole segments."""
     if b"N" not in seq:
         return 0
-    for piece in seq.split(b"N"):
-        if run and piece:
-            lost += -(-run // SEGMENT) + 1
-            run = 0
-        run += 1
-    return lost
+    known = np.frombuffer(seq, np.uint8) != 78
+    before = np.r_[0, np.cumsum(known)]
+    edges = np.flatnonzero(np.diff(np.r_[False, known, False].astype(np.int8)))
+    for c, (size, step) in enumerate(near.tiers[:-1]):
+        if c == 0:
+            continue
+        at = np.concatenate([np.arange(x, y - size + 1, step) for x, y in zip(edges[::2], edges[1::2])])
+        # the windows that hold least begin at the start or just after a segment's
+        first = np.r_[0, at + 1]
+        end = np.searchsorted(before, before[first] + LEAST_BASES)
+        whole = np.searchsorted(at, end - size, "right") - np.searchsorted(at, first)
+        whole = whole[end < len(before)]
+        if len(whole) == 0 or whole.min() >= near.edits + int(near.share * LEAST_BASES) + 1 + SPARE[c]:
+            return c
+    return len(near.tiers) - 1
+
+
+def _sid(seq: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(seq) - (1 << 63)
 
 
-def candidates(seqs: list[bytes], index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(training number, segment sequence, diagonal) of pairs with as many common segments as EDITS edits leave at least."""
+def segments(seqs: list[bytes], sid: np.ndarray, near: Nearness, classes: tuple[int, ...]) -> pd.DataFrame:
+    """(h, sid, place, n, len): segments of the sequences of the classes given, laid from the start of each stretch of known bases.
+
+    n is the number of segments of the sequence. h is the same for both strands; a place is negative where the other strand is the smaller.
+    """
+    cls = np.array([class_of(s, near) for s in seqs], np.int64)
     out = []
-    for part in blocks(seqs, 2048):
-        h, ok = segment_hashes(matrix([seqs[i] for i in part]), SEGMENT)
-        flat = np.flatnonzero(ok)
-        if len(flat) == 0:
-            continue
-        hv = h.reshape(-1)[flat]
-        maybe = _listed(hv, index["table"])
-        hv, flat = hv[maybe], flat[maybe]
-        lo, hi = np.searchsorted(index["hash"], hv, "left"), np.searchsorted(index["hash"], hv, "right")
-        n = hi - lo
-        if n.sum() == 0:
-            continue
-        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        where = np.repeat(flat, n)
-        t, q = part[where // h.shape[1]], where % h.shape[1]
-        out.append((t, index["who"][at].astype(np.int64), index["pos"][at].astype(np.int64) - q))
-    if not out:
-        return (np.empty(0, np.int64),) * 3
-    t, e, g = (np.concatenate(x) for x in zip(*out))
-    order = np.lexsort((g, e, t))
-    t, e, g = t[order], e[order], g[order]
-    new_pair = np.r_[True, (t[1:] != t[:-1]) | (e[1:] != e[:-1])]
-    new_diag = new_pair | np.r_[True, g[1:] != g[:-1]]
-    pair_at = np.flatnonzero(new_pair)
-    hits = np.diff(np.r_[pair_at, len(t)])
-    diag_at = np.flatnonzero(new_diag)
-    diag_hits = np.diff(np.r_[diag_at, len(t)])
-    of = np.cumsum(new_pair)[diag_at] - 1
-    best = np.lexsort((-diag_hits, of))
-    seed = g[diag_at][best[np.r_[True, of[best][1:] != of[best][:-1]]]]
-    t, e = t[pair_at], e[pair_at]
-    # position p of e lies at p - seed of t: whole clean segments of e inside the overlap
-    lt = np.array([len(s) for s in seqs], np.int64)
-    lost = np.array([_lost_segments(s) for s in seqs], np.int64)
-    start = np.maximum(0, seed)
-    end = np.minimum(index["length"][e], seed + lt[t])
-    first, last = -(-start // SEGMENT), np.maximum(end // SEGMENT, -(-start // SEGMENT))
-    at = lambda n: np.searchsorted(index["clean"], (e << 32) | n)
-    whole = at(last) - at(first)
-    # an overlap may be EDITS longer or shorter than the seed's: one segment at its end
-    good = (end - start >= LEAST_BASES - EDITS) & (hits >= whole - 1 - EDITS - lost[t])
-    return t[good], e[good], seed[good]
-
-
-def verify(seqs: list[bytes], index: dict, t: np.ndarray, e: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Whether each candidate has LEAST_BASES compared bases and at most EDITS edits."""
-    ok = np.zeros(len(t), bool)
-    for at in range(0, len(t), PAIRS_AT_ONCE):
-        names = [index["seqs"][i] for i in e[at : at + PAIRS_AT_ONCE]]
-        facing = [seqs[i] for i in t[at : at + PAIRS_AT_ONCE]]
-        for part in blocks(names, PAIRS_AT_ONCE, facing):
-            a, rows = [names[i] for i in part], part + at
-            b = [facing[i] for i in part]
-            ma, mb = matrix(a), matrix(b)
-            n, d = compared(ma, shifted(mb, g[rows], ma.shape[1]))
-            good = (n >= LEAST_BASES) & (d <= EDITS)
-            rest = np.flatnonzero(~good & (n >= LEAST_BASES - 2 * EDITS))
+    for c in classes:
+        size, step = near.tiers[c]
+        own = np.flatnonzero(cls == c)
+        for part in blocks([seqs[i] for i in own]):
+            part = own[part]
+            codes = matrix([seqs[i] for i in part])
+            h, place, ok = window_keys(codes, size, c)
+            if h.shape[1] == 0:
+                continue
+            col = np.arange(codes.shape[1])
+            start = np.maximum.accumulate(np.where(codes == UNKNOWN, col + 1, 0), axis=1)[:, : h.shape[1]]
+            row, at = np.nonzero(ok & ((col[: h.shape[1]] - start) % step == 0))
+            n = np.bincount(row, minlength=len(part))
+            length = np.array([len(seqs[i]) for i in part])
+            out.append(pd.DataFrame({"h": h[row, at].view(np.int64), "sid": sid[part[row]], "place": place[row, at], "tier": c, "n": n[row], "len": length[row]}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: np.empty(0, np.int64) for k in ("h", "sid", "place", "tier", "n", "len")})
+
+
+def _lost(seq: bytes, size: int, step: int) -> int:
+    """Segments of another sequence that the unknown bases of this one can hide."""
+    out = 0
+    if b"N" in seq:
+        run = 0
+        for piece in seq.split(b"N"):
+            if run and piece:
+                out += (run + size - 2) // step + 1
+                run = 0
+            run += 1
+    return out
+
+
+def listed_windows(seqs: list[bytes], sid: np.ndarray, near: Nearness, table: tuple[np.ndarray, frozenset[int]], above: int) -> pd.DataFrame:
+    """(h, sid, place, tier, lost, len): windows of the sequences that may be a segment of a sequence of class `above` more or higher."""
+    cls = np.array([class_of(s, near) for s in seqs], np.int64)
+    out = []
+    for c, (size, step) in enumerate(near.tiers):
+        own = np.flatnonzero(cls + above <= c) if c in table[1] else []
+        for part in blocks([seqs[i] for i in own]):
+            part = own[part]
+            h, place, ok = window_keys(matrix([seqs[i] for i in part]), size, c)
+            row, at = np.nonzero(ok)
+            hv = h[row, at]
+            some = np.flatnonzero(_marked(hv, table[0]))
+            row, at = row[some], at[some]
+            lost = np.array([_lost(seqs[i], size, step) for i in part])
+            length = np.array([len(seqs[i]) for i in part])
+            out.append(pd.DataFrame({"h": hv[some].view(np.int64), "sid": sid[part[row]], "place": place[row, at], "tier": c, "lost": lost[row], "len": length[row]}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: np.empty(0, np.int64) for k in ("h", "sid", "place", "tier", "lost", "len")})
+
+
+def _marked(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    mask = np.uint64(len(bits) * 64 - 1)
+    hit = np.ones(len(h), bool)
+    for probe in (h & mask, (h >> np.uint64(32)) & mask):
+        at = np.flatnonzero(hit)
+        p = probe[at]
+        hit[at] = (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+    return hit
+
+
+def bit_table(segs: DataFrame) -> tuple[np.ndarray, frozenset[int]]:
+    """(the bits of all segments, two each; the classes that occur). Words are combined on the executors, and only the table, of bounded size, comes to the driver."""
+    by_class = dict(segs.groupBy("tier").count().collect())
+    count, size = sum(by_class.values()), 1 << 16
+    while size < min(MOST_BITS, BITS_EACH * count):
+        size <<= 1
+    both = F.explode(F.array(F.col("h").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(size - 1))))
+    words = segs.select(both.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("w"))
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            chunk, at = b["word"].to_numpy() // CHUNK_WORDS, b["word"].to_numpy() % CHUNK_WORDS
+            for c in np.unique(chunk).tolist():
+                own = chunk == c
+                held.setdefault(c, np.zeros(CHUNK_WORDS, np.int64))[at[own]] |= b["w"].to_numpy()[own]
+        yield pd.DataFrame({"chunk": list(held), "bits": [x.tobytes() for x in held.values()]})
+
+    n = shuffle_partitions(segs.sparkSession)
+    out = np.zeros(size // 64, np.uint64)
+    for r in words.repartition(n, F.floor(F.col("word") / CHUNK_WORDS)).mapInPandas(packed, "chunk long, bits binary").toLocalIterator():
+        part = np.frombuffer(bytes(r["bits"]), np.uint64)
+        at = r["chunk"] * CHUNK_WORDS
+        out[at : at + CHUNK_WORDS] = part[: len(out) - at]
+    return out, frozenset(by_class)
+
+
+def verify(a: list[bytes], b: list[bytes], sign: np.ndarray, shift: np.ndarray, near: Nearness) -> np.ndarray:
+    """Whether each pair, position x of a at sign * x + shift of b, has LEAST_BASES compared bases and no more edits than allowed."""
+    ok = np.zeros(len(a), bool)
+    for at in range(0, len(a), PAIRS_AT_ONCE):
+        for part in blocks(a[at : at + PAIRS_AT_ONCE], PAIRS_AT_ONCE, b[at : at + PAIRS_AT_ONCE]):
+            part = part + at
+            x, y = [a[i] for i in part], [b[i] for i in part]
+            la, lb = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+            ma, mb = matrix(x), matrix(y)
+            back, diag = sign[part] < 0, shift[part].astype(np.int64)
+            if back.any():
+                ma[back] = flip(ma[back], la[back])
+                diag = np.where(back, diag - la + 1, diag)
+            n, d = compared(ma, shifted(mb, -diag, ma.shape[1]))
+            good = (n >= LEAST_BASES) & (d <= near.allowed(n))
+            reach = int(near.allowed(LEAST_BASES))
+            rest = np.flatnonzero(~good & (n >= LEAST_BASES - 2 * reach))
             if len(rest):
-                la, lb = np.array([len(a[i]) for i in rest]), np.array([len(b[i]) for i in rest])
-                edits, m = banded_edits(ma[rest], la, mb[rest], lb, g[rows][rest], EDITS)
-                good[rest] = (m >= LEAST_BASES) & (edits <= EDITS)
-            ok[rows] = good
+                edits, m = banded_edits(ma[rest], la[rest], mb[rest], lb[rest], -diag[rest], reach)
+                good[rest] = (m >= LEAST_BASES) & (edits <= near.allowed(m))
+            ok[part] = good
     return ok
 
 
-def _prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Canonical sequences of evaluation rows."""
-    import xxhash
+def candidates(scanned: DataFrame, cut_: DataFrame, near: Nearness) -> DataFrame:
+    """(a, b, sign, shift): pairs of a scanned sequence a and a cut one b with as many common segments as the edits leave at least.
+
+    `scanned` is (h, sid, place, tier, lost, len, copies), each sequence `copies` times; `cut_` (h, sid, place, tier, n, len), once.
+    Where a pair's segments lie on diagonals too far from each other for one band, the outermost are candidates too.
+    """
+    tiers = near.tiers
+    size, step = (F.element_at(F.array(*[F.lit(t[i]) for t in tiers]), F.col("tier") + 1) for i in (0, 1))
+    s = scanned.select("h", "tier", F.col("sid").alias("a"), F.col("place").alias("pa"), "lost", F.col("len").alias("la"))
+    c = cut_.select("h", F.col("sid").alias("b"), F.col("place").alias("pb"), "n", F.col("len").alias("lb"))
+    hit = s.join(c, "h")
+    xa, xb = F.when(F.col("pa") < 0, -F.col("pa") - 1).otherwise(F.col("pa")), F.when(F.col("pb") < 0, -F.col("pb") - 1).otherwise(F.col("pb"))
+    same = (F.col("pa") < 0) == (F.col("pb") < 0)
+    hit = hit.select("a", "b", "tier", "lost", "la", "n", "lb", F.when(same, 1).otherwise(-1).alias("sign"), F.when(same, xb - xa).otherwise(xb + size - 1 + xa).alias("shift"))
+    keys = ["a", "b", "tier", "sign", "lost", "la", "n", "lb"]
+    one = hit.groupBy(*keys, "shift").agg(F.count(F.lit(1)).alias("c"))
+    pair = one.groupBy(*keys).agg(F.sum("c").alias("hits"), F.max_by("shift", F.struct("c", "shift")).alias("best"), F.min("shift").alias("lo"), F.max("shift").alias("hi"))
+    first = F.when(F.col("sign") > 0, F.col("best")).otherwise(F.col("best") - F.col("la") + 1)
+    start, end = F.greatest(F.lit(0), first), F.least(F.col("lb"), first + F.col("la"))
+    touch = F.ceil(size / step)
+    outside = F.floor(start / step) + F.floor((F.col("lb") - end) / step) + 2 * touch
+    edits = F.lit(near.edits) + F.ceil(F.lit(near.share) * (end - start))
+    need = F.col("n") - outside - edits * touch - F.col("lost")
+    least = F.when(F.col("tier") == len(tiers) - 1, 2).otherwise(1)
+    far = 2 * int(near.allowed(LEAST_BASES))
+    pair = pair.where((end - start >= LEAST_BASES - edits) & (F.col("hits") >= F.greatest(need, least)))
+    shifts = F.when(F.col("hi") - F.col("lo") <= far, F.array("best")).otherwise(F.array_distinct(F.array("best", "lo", "hi")))
+    return pair.select("a", "b", "sign", F.explode(shifts).alias("shift"))
+
+
+#: kind 0: a record's sequence (processid, sid). 1: a window (h, sid, place, tier, lost, len). 2: a segment (h, sid, place, tier, n, len). 3: a sequence (sid, seq).
+_SCAN = "kind int, processid string, h long, sid long, place int, tier int, lost int, n int, len int, seq binary"
+_COLUMNS = [c.split()[0] for c in _SCAN.split(", ")]
+
+
+def _row_frame(df: pd.DataFrame, kind: int) -> pd.DataFrame:
+    out = df.assign(kind=kind).reindex(columns=_COLUMNS)
+    return out.astype({c: "Int64" for c in ("h", "sid", "place", "tier", "lost", "n", "len")} | {"processid": object, "seq": object, "kind": "int32"}).where(lambda x: x.notna(), None)
+
 
+def _prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Canonical sequences of rows; null where fewer than LEAST_BASES bases are plain."""
     for b in batches:
         seqs = [canonical(x if isinstance(x, str) else None) for x in b["nucleotides"]]
         fit = [plain_bases(s) >= LEAST_BASES for s in seqs]
-        ids = [xxhash.xxh64_intdigest(s) - (1 << 63) if f else None for s, f in zip(seqs, fit)]
-        yield pd.DataFrame({"processid": b["processid"], "sid": pd.array(ids, dtype="Int64"), "seq": [pack(s) if f else None for s, f in zip(seqs, fit)]})
+        yield pd.DataFrame({"processid": b["processid"], "sid": pd.array([_sid(s) if f else None for s, f in zip(seqs, fit)], dtype="Int64"), "seq": [pack(s) if f else None for s, f in zip(seqs, fit)]})
+
+
+def _cut_rows(near: Nearness):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield segments([unpack(x) for x in b["seq"]], b["sid"].to_numpy(np.int64), near, (0, 1, 2, 3))
 
+    return run
 
-def sequence_pairs(evaluation: DataFrame, train: DataFrame) -> DataFrame:
+
+def sequence_pairs(evaluation: DataFrame, train: DataFrame, near: Nearness = CROSS_SPLIT) -> DataFrame:
     """(sid, train_processid): evaluation sequences with the training records that are almost the same.
 
-    `evaluation` has distinct (sid, seq). It is taken in blocks of QUERY_BLOCK, whose segments are broadcast (a bound of about
-    60 MB); each block reads the training table once and shuffles none of it.
+    `evaluation` has distinct (sid, seq). Both tables are scanned once. Shuffled are the segments, and the windows that the bit table lets
+    through; nothing but this table, of at most MOST_BITS, is brought to the driver or broadcast.
     """
     spark = train.sparkSession
-    n = evaluation.count()
-    parts = max(1, -(-n // QUERY_BLOCK))
-    usable = spread(train.select("processid", "nucleotides").where("processid is not null and nucleotides is not null"), "processid")
-    found = None
-    for k in range(parts):
-        block = evaluation if parts == 1 else evaluation.where(F.pmod("sid", F.lit(parts)) == k)
-        got = block.select("sid", "seq").toPandas()
-        shipped = spark.sparkContext.broadcast((got["sid"].to_numpy(np.int64), list(got["seq"])))
-
-        token = uuid.uuid4().hex
-
-        def search(batches: Iterator[pd.DataFrame], shipped=shipped, token=token) -> Iterator[pd.DataFrame]:
-            sids, index = built_once(token, lambda: (shipped.value[0], segment_index([unpack(bytes(x)) for x in shipped.value[1]])))
-            for b in batches:
-                pids, rows, seqs, seen = [], [], [], {}
-                for p, text in zip(b["processid"], b["nucleotides"]):
-                    s = canonical(text)
-                    if plain_bases(s) < LEAST_BASES:
-                        continue
-                    at = seen.setdefault(s, len(seqs))
-                    if at == len(seqs):
-                        seqs.append(s)
+    context = spark.sparkContext
+    segs = keep(evaluation.mapInPandas(_cut_rows(near), "h long, sid long, place int, tier int, n int, len int"))
+    table, token = context.broadcast(bit_table(segs)), uuid.uuid4().hex
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = built_once(token, lambda: table.value)
+        for b in batches:
+            pids, rows, seen = [], [], {}
+            for p, text in zip(b["processid"], b["nucleotides"]):
+                s = canonical(text)
+                if plain_bases(s) >= LEAST_BASES:
                     pids.append(p)
-                    rows.append(at)
-                if not seqs:
-                    continue
-                t, e, g = candidates(seqs, index)
-                ok = verify(seqs, index, t, e, g)
-                hits = pd.DataFrame({"row": t[ok], "sid": sids[e[ok] // 2]}).drop_duplicates()
-                both = pd.DataFrame({"train_processid": pids, "row": rows}).drop_duplicates().merge(hits, on="row")
-                yield both[["sid", "train_processid"]]
+                    rows.append(seen.setdefault(s, len(seen)))
+            if not rows:
+                continue
+            seqs = list(seen)
+            sid = np.array([_sid(s) for s in seqs], np.int64)
+            windows = listed_windows(seqs, sid, near, bits, 0)
+            own = segments(seqs, sid, near, (1, 2, 3))
+            used = np.flatnonzero(np.isin(sid, np.r_[windows["sid"].to_numpy(), own["sid"].to_numpy()]))
+            if len(used) == 0:
+                continue
+            records = pd.DataFrame({"processid": pids, "sid": sid[rows]}).drop_duplicates()
+            yield _row_frame(records[np.isin(records["sid"], sid[used])], 0)
+            yield _row_frame(pd.DataFrame({"sid": sid[used], "seq": [pack(seqs[i]) for i in used]}), 3)
+            for part, kind in ((windows, 1), (own, 2)):
+                if len(part):
+                    yield _row_frame(part, kind)
 
-        pairs = usable.mapInPandas(search, "sid long, train_processid string")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
+    usable = spread(train.select("processid", "nucleotides").where("processid is not null and nucleotides is not null"), "processid")
+    read = keep(usable.mapInPandas(scan, _SCAN))
+    # a sequence met in several batches has its rows as often
+    seqs = keep(read.where("kind = 3").groupBy("sid").agg(F.first("seq").alias("seq")))
+    windows = read.where("kind = 1").select("h", "sid", "place", "tier", "lost", "len")
+    found = candidates(windows, segs, near).select(F.col("a").alias("t"), F.col("b").alias("e"), "sign", "shift")
+    other = keep(read.where("kind = 2").select("h", "sid", "place", "tier", "n", "len").distinct())
+    back, back_token = context.broadcast(bit_table(other)), uuid.uuid4().hex
+
+    def scan_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = built_once(back_token, lambda: back.value)
+        for b in batches:
+            yield listed_windows([unpack(x) for x in b["seq"]], b["sid"].to_numpy(np.int64), near, bits, 1)
+
+    turned = evaluation.mapInPandas(scan_back, "h long, sid long, place int, tier int, lost int, len int")
+    other_way = candidates(turned, other, near)
+    # position x of e at sign x + shift of t is position x of t at sign x - sign shift of e
+    other_way = other_way.select(F.col("b").alias("t"), F.col("a").alias("e"), "sign", (-F.col("sign") * F.col("shift")).cast("int").alias("shift"))
+    pairs = found.unionByName(other_way).distinct()
+    pairs = pairs.join(seqs.select(F.col("sid").alias("t"), F.col("seq").alias("ts")), "t").join(evaluation.select(F.col("sid").alias("e"), F.col("seq").alias("es")), "e")
+
+    def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), PAIRS_AT_ONCE):
+                x = b.iloc[at : at + PAIRS_AT_ONCE]
+                ok = verify([unpack(s) for s in x["ts"]], [unpack(s) for s in x["es"]], x["sign"].to_numpy(), x["shift"].to_numpy(), near)
+                yield pd.DataFrame({"t": x["t"].to_numpy()[ok], "sid": x["e"].to_numpy()[ok]})
+
+    good = pairs.mapInPandas(checked, "t long, sid long").distinct()
+    records = read.where("kind = 0").select("processid", F.col("sid").alias("t")).distinct()
+    return records.join(good, "t").select("sid", F.col("processid").alias("train_processid")).distinct()
 
 
 def overlaps(splits: dict[str, DataFrame], train: DataFrame) -> DataFrame:
@@ -237,7 +346,7 @@ def overlaps(splits: dict[str, DataFrame], train: DataFrame) -> DataFrame:
     records = rows.groupBy("split", "processid").agg(F.min("source").alias("source"))
     prepared = keep(rows.select("processid", "nucleotides").distinct().mapInPandas(_prepared, "processid string, sid long, seq binary"))
     usable = prepared.where("seq is not null")
-    near = sequence_pairs(usable.select("sid", "seq").dropDuplicates(["sid"]), train)
+    near = sequence_pairs(cut(usable.select("sid", "seq").dropDuplicates(["sid"])), train)
     by_sequence = usable.select("sid", "processid").distinct().join(near, "sid").select("processid", "train_processid", F.lit(False).alias("i"), F.lit(True).alias("s"))
     ids = train.where("processid is not null").select(F.col("processid").alias("train_processid"), same_id(F.col("processid")).alias("k")).where("k <> ''").distinct()
     by_id = records.select("processid").distinct().withColumn("k", same_id(F.col("processid"))).join(ids, "k").select("processid", "train_processid", F.lit(True).alias("i"), F.lit(False).alias("s"))

@@ -133,17 +133,45 @@ def test_overlaps_equal_brute_force(spark, tables):
     assert overlaps({"none": ev.limit(0)}, train).count() == 0 and overlaps({"eval": ev}, train.limit(0)).count() == 0
 
 
-def test_overlaps_in_several_query_blocks(spark, tables, monkeypatch):
+def test_overlaps_with_a_table_of_bits_that_is_full(spark, tables, monkeypatch):
+    """A table of too few bits lets windows through that are no segments; the pairs are the same."""
     train, ev, want = tables
-    monkeypatch.setattr(J, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(J, "MOST_BITS", 1 << 10)
     found = overlaps({"eval": ev}, train)
     assert {(r["eval_processid"], r["train_processid"]) for r in found.where("by_sequence").collect()} == want
 
 
+def test_overlaps_with_unknown_bases_equal_brute_force(spark):
+    """0 to 20 single unknown bases on each side and 0 to 5 edits, on either strand: no pair is lost, none is added."""
+    rnd = random.Random(61)
+    train, ev, want = [], [], set()
+
+    def holed(s, n):
+        s = list(s)
+        for p in rnd.sample(range(len(s)), n):
+            s[p] = "N"
+        return "".join(s)
+
+    for i in range(120):
+        s = dna(400, rnd)
+        t = holed(s, rnd.choice([0, 0, 1, 4, 8, 10, 15, 20]))
+        e = holed(changed(s, rnd.randrange(0, 7), rnd), rnd.choice([0, 0, 1, 4, 8, 10, 15, 20]))
+        train.append((f"T{i:03d}", t if i % 2 else reverse_complement(t.encode()).decode()))
+        ev.append((f"E{i:03d}", e, "sea"))
+        x, y = canonical(e).decode(), canonical(t).decode()
+        if plain_bases(x.encode()) >= 300 <= plain_bases(y.encode()) and overlap_edits(x, y) <= 5:
+            want.add((f"E{i:03d}", f"T{i:03d}"))
+    df = spark.createDataFrame(train, "processid string, nucleotides string")
+    found = overlaps({"eval": spark.createDataFrame(ev, "processid string, nucleotides string, source string")}, df)
+    got = {(r["eval_processid"], r["train_processid"]) for r in found.collect()}
+    assert got == want and len(want) > 80
+
+
 def test_segment_length_holds_the_guarantee():
     """Any window of LEAST_BASES holds one whole segment more than edits are allowed."""
-    worst = min(sum(1 for s in range(0, 2000, J.SEGMENT) if at <= s and s + J.SEGMENT <= at + J.LEAST_BASES) for at in range(0, 500))
-    assert worst >= J.EDITS + 1
+    size, step = J.CROSS_SPLIT.tiers[0]
+    worst = min(sum(1 for s in range(0, 2000, step) if at <= s and s + size <= at + J.LEAST_BASES) for at in range(0, 500))
+    assert worst >= J.CROSS_SPLIT.edits + 1
 
 
 @pytest.fixture(scope="module")
