@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.components import connected
 from rankforge.llm.name_mapping import latest_records, map_texts
+from rankforge.operators.ordering import global_places
 from rankforge.runtime import keep
 
-#: Groups assigned one by one, the largest first; smaller ones follow by hash with the shares that are left.
-EXACT_GROUPS = 20_000
 FIELDS = ["species_name", "tree_label", "genus_name"]
+READINGS = ("genus", "genus_if_met", "genus_if_genus")
 
 
 def record_genera(records: DataFrame, listed: DataFrame) -> DataFrame:
-    """(processid, genus): each genus that a record names, once."""
+    """(processid, genus): each genus that a record names, once.
+
+    Each distinct text is read once. Two words that may be an unlisted genus with its epithet, or just two words, count where
+    another text surely names the genus.
+    """
     rec = latest_records(records, "processid", ["processid", *FIELDS])
     long = rec.select("processid", F.explode(F.array(*[F.struct(F.lit(f == "genus_name").alias("is_genus"), F.col(f).alias("text")) for f in FIELDS])).alias("x"))
     long = long.select("processid", "x.is_genus", "x.text").where(F.col("text").isNotNull())
-    named = None
-    for is_genus, reading in ((False, "genus"), (True, "genus_if_genus")):
-        part = long.where(F.col("is_genus") == is_genus)
-        known = map_texts(part.select("text"), listed, (reading,))
-        found = part.join(known, "text").select("processid", F.col(reading).alias("genus"))
-        named = found if named is None else named.unionByName(found)
-    return named.where(F.col("genus").isNotNull()).distinct()
+    read = keep(map_texts(long.select("text"), listed, READINGS).where(F.coalesce(*READINGS).isNotNull()))
+    named = keep(long.join(read, "text").select("processid", F.when(F.col("is_genus"), F.col("genus_if_genus")).otherwise(F.col("genus")).alias("genus"), F.when(~F.col("is_genus"), F.col("genus_if_met")).alias("perhaps")))
+    sure = named.select("processid", "genus").where("genus is not null").distinct()
+    met = named.select("processid", F.col("perhaps").alias("genus")).where("genus is not null").distinct().join(sure.select("genus").distinct(), "genus", "left_semi")
+    return sure.unionByName(met).distinct()
 
 
 def related_groups(records: DataFrame, listed: DataFrame) -> DataFrame:
@@ -41,34 +47,63 @@ def related_groups(records: DataFrame, listed: DataFrame) -> DataFrame:
     return first.join(roots, "node").select(F.col("root").alias("group_label"), "processid")
 
 
-def assign_splits(groups: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
+def placed_largest_first(sizes: Iterable[tuple[int, int]], want: dict[str, float]) -> dict[tuple[int, str], int]:
+    """(size, split) -> how many groups of that size go to the split, by the largest first to the split furthest below its target.
+
+    `sizes` are (size, number of groups), the largest size first. Of equal deficits the first split by name takes the group. The n
+    groups of one size take the n smallest values of the splits' excess, excess + size, excess + 2 size and so on; a level found by
+    bisection counts nearly all of them at once, and the few left are dealt one by one.
+    """
+    have, out = dict.fromkeys(want, 0), {}
+
+    def give(size: int, s: str, n: int) -> None:
+        have[s] += n * size
+        out[size, s] = out.get((size, s), 0) + n
+
+    for size, count in sizes:
+        if count > 4 * len(want):
+            over = {s: have[s] - want[s] for s in want}
+            below = lambda level: {s: max(0, math.ceil((level - v) / size)) for s, v in over.items()}  # noqa: E731, B023
+            low, high = min(over.values()), min(over.values()) + (count + 1) * size
+            for _ in range(80):
+                mid = (low + high) / 2
+                low, high = (mid, high) if sum(below(mid).values()) <= count - len(want) else (low, mid)
+            for s, n in below(low).items():
+                give(size, s, n)
+                count -= n
+        heap = [(have[s] - want[s], s) for s in sorted(want)]
+        heapq.heapify(heap)
+        for _ in range(count):
+            lack, s = heap[0]
+            give(size, s, 1)
+            heapq.heapreplace(heap, (lack + size, s))
+    return {k: n for k, n in out.items() if n}
+
+
+def assign_splits(groups: DataFrame, targets: DataFrame) -> DataFrame:
     """(group_label, n_records, split) so that the shares of `targets` (split, target_share) are met.
 
-    The EXACT_GROUPS largest groups go, one by one, to the split furthest below its target; of equal deficits the first
-    by name takes it. Smaller groups follow by the hash of their label, in proportion to what each split still lacks.
+    Groups go, the largest first, to the split furthest below its target. Groups of one size are alike to that rule: only the number of groups
+    of each size comes to the driver (of n records no more than the square root of 2 n sizes), and in each size the groups, by
+    label, fill the numbers of the splits, by name. No target, or none above 0, leaves split null.
     """
     spark = groups.sparkSession
     sizes = keep(groups.groupBy("group_label").agg(F.count(F.lit(1)).alias("n_records")))
-    total = sizes.agg(F.sum("n_records")).first()[0] or 0
+    by_size = [(r["n_records"], r["c"]) for r in sizes.groupBy("n_records").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n_records")).toLocalIterator()]
+    total = sum(n * c for n, c in by_size)
     want = {r["split"]: r["target_share"] * total for r in targets.where("target_share > 0").orderBy("split").collect()}
-    have = dict.fromkeys(want, 0)
-    big = sizes.orderBy(F.desc("n_records"), "group_label").limit(EXACT_GROUPS)
-    placed = []
-    for r in big.collect():
-        s = min(want, key=lambda k: (have[k] - want[k], k))
-        have[s] += r["n_records"]
-        placed.append((r["group_label"], s))
-    exact = spark.createDataFrame(placed, "group_label string, split string")
-    lack = {s: max(0.0, want[s] - have[s]) for s in want}
-    whole, at, ends = sum(lack.values()) or 1.0, 0.0, []
-    for s in sorted(lack):
-        at += lack[s] / whole
-        ends.append((at, s))
-    pick = F.lit(max(lack, key=lambda s: (lack[s], s)) if lack else None)
-    u = F.xxhash64(F.lit(seed), "group_label").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    for end, s in reversed(ends):
-        pick = F.when(u < end, F.lit(s)).otherwise(pick)
-    return sizes.join(exact, "group_label", "left").select("group_label", "n_records", F.coalesce("split", pick).alias("split"))
+    if not want:
+        return sizes.select("group_label", "n_records", F.lit(None).cast("string").alias("split"))
+    number = placed_largest_first(by_size, want)
+    ranges, at = [], 1
+    for size, _ in by_size:
+        for s in sorted(want):
+            if n := number.get((size, s), 0):
+                ranges.append((size, at, at + n - 1, s))
+                at += n
+    parts = F.broadcast(spark.createDataFrame(ranges, "n_records long, __from long, __to long, split string"))
+    placed = global_places(sizes, [F.desc("n_records"), F.asc("group_label")], "__place")
+    return placed.join(parts, "n_records").where("__place between __from and __to").select("group_label", "n_records", "split")
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:

@@ -26,8 +26,14 @@ def list_entries(listed: DataFrame) -> list[tuple]:
     return [tuple(r) for r in listed.select(*_LIST).distinct().collect()]
 
 
-#: What map_texts can tell of a text: the entry it means, the genus it names as a species or label, the genus it names as a genus.
-READINGS = {"label": lambda r, t: r.of.species(t), "genus": lambda r, t: r.from_name(t), "genus_if_genus": lambda r, t: r.from_genus(t)}
+#: What map_texts can tell of a text: the entry it means; the genus it names as a species or label, surely or if it is met elsewhere; the genus
+#: it names as a genus.
+READINGS = {
+    "label": lambda r, t: r.of.species(t),
+    "genus": lambda r, t: r.from_name(t),
+    "genus_if_met": lambda r, t: r.from_name_if_met(t),
+    "genus_if_genus": lambda r, t: r.from_genus(t),
+}
 
 
 def map_texts(texts: DataFrame, listed: DataFrame, readings: tuple[str, ...] = ("label",)) -> DataFrame:

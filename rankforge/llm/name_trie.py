@@ -58,8 +58,10 @@ def limit(n: int) -> int:
     return 0 if n < 5 else 1 if n < 8 else 2 if n < 13 else 3 if n < 20 else 4
 
 
-#: Texts of more words are searched for rightly written names only, not for damaged ones: they are no entries of a name field.
-MOST_WORDS = 64
+#: Share of the listed epithets that must end in the same two letters for these to tell an epithet from an ordinary word.
+ENDING_SHARE = 0.005
+#: Endings of Latin epithets, whatever the list.
+LATIN = ("us", "um", "is", "ii", "ae", "a")
 
 
 class Trie:
@@ -159,13 +161,16 @@ class Resolver:
         """entries: (label, species_name, genus_name, genus_from_label)."""
         self.full, self.genera, self.short = Trie(), Trie(), {}
         self.genus_of, self.memo, self.genus_memo, self.shorts = {}, {}, {}, Trie()
+        ends: dict[str, int] = {}
         for label, species, genus, label_genus in sorted(entries, key=lambda e: e[0] or ""):
             words = (species or "").lower().split()
             if not label or len(words) < 2:
                 continue
             self.full.add("".join(words), label)
             self.genus_of[label] = species.split()[0]
+            ends[words[1][-2:]] = ends.get(words[1][-2:], 0) + 1
             self.short.setdefault((words[0][0], words[1]), []).append(label)
+        self.endings = {e for e, n in ends.items() if n >= ENDING_SHARE * sum(ends.values())}
         known: dict[str, str] = {}
         for g in sorted({x for e in entries for x in (e[1].split()[0] if e[1] else None, e[2], e[3]) if not is_blank(x)}):
             known.setdefault(g.lower(), g)
@@ -175,6 +180,10 @@ class Resolver:
             for label in labels:
                 self.shorts.add(initial + epithet, label)
 
+    def epithet(self, word: str) -> bool:
+        """Whether a word ends as an epithet does."""
+        return word[-2:] in self.endings or word.endswith(LATIN)
+
     # -- species -------------------------------------------------------------------------------
 
     def species(self, raw: str | None) -> str | None:
@@ -214,8 +223,6 @@ class Resolver:
                     return hits[0] if len(hits) == 1 else None
                 near = self.shorts.within(w + words[i + 1], min(2, limit(len(words[i + 1]))))
                 return self._only({e: d for e, d in near.items() if self.genus_of[e][0].lower() == w})
-        if len(words) > MOST_WORDS:
-            return None
         # a genus written right: only its species are asked
         for i, w in enumerate(words[:-1]):
             if w in self.genera.exact and (node := self.full.below(w)) is not None:
@@ -249,12 +256,6 @@ class Resolver:
         return self.species(species) or self.species(label)
 
 
-#: Words of free text that look like names but name no genus.
-ORDINARY = {
-    "environmental", "sample", "unidentified", "uncultured", "unknown", "unassigned", "mixed", "template", "no", "hit", "bycatch", "ghost",
-    "silver", "goby", "drumfish", "eel", "chordata", "actinopterygii", "teleostei", "vertebrata", "metazoa", "bacteria", "negative", "positive",
-    "control", "blank", "other", "various", "several", "like", "red", "blue", "black", "white", "yellow", "spotted", "common", "small", "large",
-}
 _JOINED = re.compile(r"^[A-Z][a-z]+(?=[A-Z][a-z]+$)")
 
 
@@ -282,33 +283,48 @@ class GenusReader:
             self.memo[word] = hit
         return self.memo[word]
 
-    def from_name(self, raw: str | None) -> str | None:
-        """Genus of a species name or label."""
+    def named(self, raw: str | None) -> tuple[str | None, bool]:
+        """(genus of a species name or label, whether the text alone tells it).
+
+        An unlisted genus is told by a second word that ends as epithets of the list do; other pairs of words name one only if it is met
+        elsewhere too.
+        """
         if is_blank(raw):
-            return None
+            return None, False
         label = self.of.species(raw)
         if label:
-            return self.of.genus_of[label]
+            return self.of.genus_of[label], True
         joined = _JOINED.match(tidy(raw))
         words = [joined[0].lower()] if joined else []
         words += [w for w in tokens(raw) if w not in MARKS and not w.isdigit()]
         if "," in raw and len(words) == 2:
             words.reverse()
-        if not words or words[0] in ORDINARY or len(words[0]) < 4:
-            return None
+        if not words or len(words[0]) < 4:
+            return None, False
         hit = self.listed(words[0])
         if hit:
-            return hit
-        if (len(words) > 1 or joined) and words[0].isalpha() and not any(w in ORDINARY for w in words[:3]):
-            return words[0].capitalize()
-        return None
+            return hit, True
+        if (len(words) > 1 or joined) and words[0].isalpha():
+            return words[0].capitalize(), self.of.epithet(words[1])
+        return None, False
+
+    def from_name(self, raw: str | None) -> str | None:
+        """Genus of a species name or label, where the text alone tells it."""
+        genus, sure = self.named(raw)
+        return genus if sure else None
+
+    def from_name_if_met(self, raw: str | None) -> str | None:
+        """Genus that a text may name, if it is met elsewhere."""
+        genus, sure = self.named(raw)
+        return None if sure else genus
 
     def from_genus(self, raw: str | None) -> str | None:
         """Genus of a genus field."""
         if is_blank(raw):
             return None
         words = [w for w in tokens(raw) if w not in MARKS and not w.isdigit()]
-        if not words or words[0] in ORDINARY:
+        if not words:
             return None
         hit = self.listed(words[0])
-        return hit or (words[0].capitalize() if words[0].isalpha() and len(words[0]) > 3 else None)
+        alone = len(words) == 1 or self.of.epithet(words[1])
+        return hit or (words[0].capitalize() if alone and words[0].isalpha() and len(words[0]) > 3 else None)

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rankforge.llm.components import connected
-from rankforge.llm.group_split import assign_splits, related_groups, split_report
+from rankforge.llm.group_split import assign_splits, placed_largest_first, related_groups, split_report
 from rankforge.llm.name_mapping import map_names, unmatched_values
 from rankforge.llm.name_trie import GenusReader, Resolver, Trie, is_blank
 
@@ -83,6 +83,7 @@ def test_automaton_equals_the_table(words, q, k):
 
 
 def test_long_text_is_no_name(resolver):
+    assert resolver.species('and so ' * 70 + 'Gadus morhau') == resolver.species('Gadus morhau') is not None
     assert resolver.species("word " * 50_000) is None
     assert is_blank(None) and is_blank(" UNCLASSIFIED ") and not is_blank("x")
 
@@ -119,17 +120,40 @@ def test_related_records_share_a_split(spark):
     assert none.count() == 0 and {x["n_records"] for x in split_report(none, t).collect()} == {0}
 
 
-def test_shares_of_many_groups(spark, monkeypatch):
-    import rankforge.llm.group_split as G
-
-    groups = spark.range(20_000).select(F.concat(F.lit("g"), F.floor(F.sqrt("id")).cast("string")).alias("group_label"), F.col("id").cast("string").alias("processid"))
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 30), st.integers(1, 90)), max_size=6, unique_by=lambda x: x[0]), st.integers(1, 4))
+def test_dealing_by_size_equals_dealing_one_by_one(sizes, k):
+    sizes = sorted(sizes, reverse=True)
+    total = sum(n * c for n, c in sizes)
+    want = {f"s{i}": total * (i + 1) / (k * (k + 1) / 2) for i in range(k)}
+    have, out = dict.fromkeys(want, 0), {}
+    for size, count in sizes:
+        for _ in range(count):
+            s = min(want, key=lambda x: (have[x] - want[x], x))
+            have[s] += size
+            out[size, s] = out.get((size, s), 0) + 1
+    got = placed_largest_first(sizes, want)
+    assert {k: sum(n for (z, s), n in got.items() if s == k) for k in want}.keys() == want.keys()
+    assert got == out
+
+
+def test_shares_of_many_groups(spark):
+    """Far more groups than were once placed one by one: each share is met to a group."""
+    groups = spark.range(150_000).select(F.concat(F.lit("g"), (F.col("id") % 30_000 + F.floor(F.sqrt("id")) % 7).cast("string")).alias("group_label"), F.col("id").cast("string").alias("processid"))
     t = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split string, target_share double")
-    for exact in (20_000, 20):
-        monkeypatch.setattr(G, "EXACT_GROUPS", exact)
-        a = G.assign_splits(groups, t)
-        assert a.count() == 142 and a.where("split is null").count() == 0
-        for x in split_report(a, t).collect():
-            assert abs(x["actual_share"] - x["target_share"]) < (0.001 if exact > 20 else 0.06)
+    a = assign_splits(groups, t)
+    n = groups.select("group_label").distinct().count()
+    assert n > 20_000 and a.count() == n == a.select("group_label").distinct().count() and a.where("split is null").count() == 0
+    for x in split_report(a, t).collect():
+        assert abs(x["actual_share"] - x["target_share"]) < 0.0001
+    assert a.count() and assign_splits(groups.limit(0), t).count() == 0
+
+
+def test_ordinary_words_name_no_genus(spark):
+    """Two words of which the second is no epithet name a genus only if another record surely does."""
+    data = [("a", "Golden bream", None, None, 1), ("b", "ghost goby", None, None, 1), ("c", "Zyxwella bream", None, None, 1), ("d", "zyxwella morhuus", None, None, 1), ("e", None, None, "Golden", 1), ("f", "Mesh size", None, None, 1)]
+    g = {(x["processid"], x["group_label"]) for x in related_groups(_records(spark, data), _listed(spark)).collect()}
+    assert {("a", "Golden"), ("e", "Golden")} <= g and not {"b", "f"} & {p for p, _ in g}
 
 
 def test_connected_groups_by_forests(spark):
