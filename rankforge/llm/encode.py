@@ -16,12 +16,13 @@ CHUNK = 256
 _ENCODER: dict = {}
 
 
-def _encoder(ranks, words: str) -> ByteBpe:
-    """One encoder a worker process, so that words met in one batch are known in the next."""
-    if words not in _ENCODER:
+def _encoder(ranks, vocabulary: str, words: str) -> ByteBpe:
+    """One encoder a worker process for a vocabulary and word pattern, so that words met in one batch are known in the next."""
+    key = vocabulary, words
+    if key not in _ENCODER:
         _ENCODER.clear()
-        _ENCODER[words] = ByteBpe(ranks.value, words)
-    return _ENCODER[words]
+        _ENCODER[key] = ByteBpe(ranks.value, words)
+    return _ENCODER[key]
 
 
 def _mapped(docs: DataFrame, key: str, text: str, vocabulary: str, words: str, count_only: bool) -> DataFrame:
@@ -29,7 +30,7 @@ def _mapped(docs: DataFrame, key: str, text: str, vocabulary: str, words: str, c
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = _encoder(ranks, words)
+        coder = _encoder(ranks, vocabulary, words)
         for b in batches:
             for at in range(0, len(b), CHUNK):
                 part = b.iloc[at : at + CHUNK]

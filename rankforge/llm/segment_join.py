@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankforge.llm.barcode_kernels import UNKNOWN, banded_edits, blocks, canonical, compared, flip, matrix, pack, plain_bases, shifted, unpack, window_keys
-from rankforge.runtime import built_once, cut, keep, shuffle_partitions, spread
+from rankforge.runtime import bounded, built_once, cut, keep, shuffle_partitions, spread
 
 LEAST_BASES = 300
 #: Segments that class 1 and class 2 leave besides those which edits can hit, for the unknown bases of the other sequence.
@@ -32,6 +32,10 @@ SPARE = (0, 1, 2)
 BITS_EACH, MOST_BITS = 64, 1 << 29
 CHUNK_WORDS = 4_096
 PAIRS_AT_ONCE = 4_096
+#: Bytes of evaluation sequences up to which each worker holds their segments; more are joined by shuffle, with the same result.
+INDEX_BOUND = 32 * 1024 * 1024
+#: A window's or segment's numbers in one: (class + 4 x segments lost or held) x WIDE + length of its sequence.
+WIDE = 1 << 32
 
 
 @dataclass(frozen=True)
@@ -90,9 +94,9 @@ def _sid(seq: bytes) -> int:
 
 
 def segments(seqs: list[bytes], sid: np.ndarray, near: Nearness, classes: tuple[int, ...]) -> pd.DataFrame:
-    """(h, sid, place, n, len): segments of the sequences of the classes given, laid from the start of each stretch of known bases.
+    """(h, sid, place, info): segments of the sequences of the classes given, laid from the start of each stretch of known bases.
 
-    n is the number of segments of the sequence. h is the same for both strands; a place is negative where the other strand is the smaller.
+    info has the class, the number of segments and the length of the sequence. h is the same for both strands; a place is negative where the other strand is the smaller.
     """
     cls = np.array([class_of(s, near) for s in seqs], np.int64)
     out = []
@@ -110,8 +114,8 @@ def segments(seqs: list[bytes], sid: np.ndarray, near: Nearness, classes: tuple[
             row, at = np.nonzero(ok & ((col[: h.shape[1]] - start) % step == 0))
             n = np.bincount(row, minlength=len(part))
             length = np.array([len(seqs[i]) for i in part])
-            out.append(pd.DataFrame({"h": h[row, at].view(np.int64), "sid": sid[part[row]], "place": place[row, at], "tier": c, "n": n[row], "len": length[row]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: np.empty(0, np.int64) for k in ("h", "sid", "place", "tier", "n", "len")})
+            out.append(pd.DataFrame({"h": h[row, at].view(np.int64), "sid": sid[part[row]], "place": place[row, at], "info": (c + 4 * n[row]) * WIDE + length[row]}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: np.empty(0, np.int64) for k in ("h", "sid", "place", "info")})
 
 
 def _lost(seq: bytes, size: int, step: int) -> int:
@@ -128,7 +132,7 @@ def _lost(seq: bytes, size: int, step: int) -> int:
 
 
 def listed_windows(seqs: list[bytes], sid: np.ndarray, near: Nearness, table: tuple[np.ndarray, frozenset[int]], above: int) -> pd.DataFrame:
-    """(h, sid, place, tier, lost, len): windows of the sequences that may be a segment of a sequence of class `above` more or higher."""
+    """(h, sid, place, info): windows of the sequences that may be a segment of a sequence of class `above` more or higher."""
     cls = np.array([class_of(s, near) for s in seqs], np.int64)
     out = []
     for c, (size, step) in enumerate(near.tiers):
@@ -142,8 +146,8 @@ def listed_windows(seqs: list[bytes], sid: np.ndarray, near: Nearness, table: tu
             row, at = row[some], at[some]
             lost = np.array([_lost(seqs[i], size, step) for i in part])
             length = np.array([len(seqs[i]) for i in part])
-            out.append(pd.DataFrame({"h": hv[some].view(np.int64), "sid": sid[part[row]], "place": place[row, at], "tier": c, "lost": lost[row], "len": length[row]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: np.empty(0, np.int64) for k in ("h", "sid", "place", "tier", "lost", "len")})
+            out.append(pd.DataFrame({"h": hv[some].view(np.int64), "sid": sid[part[row]], "place": place[row, at], "info": (c + 4 * lost[row]) * WIDE + length[row]}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: np.empty(0, np.int64) for k in ("h", "sid", "place", "info")})
 
 
 def _marked(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -158,7 +162,7 @@ def _marked(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 def bit_table(segs: DataFrame) -> tuple[np.ndarray, frozenset[int]]:
     """(the bits of all segments, two each; the classes that occur). Words are combined on the executors, and only the table, of bounded size, comes to the driver."""
-    by_class = dict(segs.groupBy("tier").count().collect())
+    by_class = dict(segs.groupBy(F.pmod(F.floor(F.col("info") / WIDE), F.lit(4)).cast("int")).count().collect())
     count, size = sum(by_class.values()), 1 << 16
     while size < min(MOST_BITS, BITS_EACH * count):
         size <<= 1
@@ -207,44 +211,109 @@ def verify(a: list[bytes], b: list[bytes], sign: np.ndarray, shift: np.ndarray,
     return ok
 
 
+def _enough(near: Nearness, tier, sign, shift, hits, lost, la, n, lb, least, floor, where):
+    """Whether pairs have the overlap and the segments that the edits leave at least; of columns or arrays."""
+    size, step = tier
+    first = where(sign > 0, shift, shift - la + 1)
+    start = where(first > 0, first, 0)
+    end = where(first + la < lb, first + la, lb)
+    touch = -floor(-size / step)
+    outside = floor(start / step) + floor((lb - end) / step) + 2 * touch
+    edits = near.edits - floor(-near.share * (end - start))
+    need = n - outside - edits * touch - lost
+    return (end - start >= LEAST_BASES - edits) & (hits >= need) & (hits >= least)
+
+
 def candidates(scanned: DataFrame, cut_: DataFrame, near: Nearness) -> DataFrame:
     """(a, b, sign, shift): pairs of a scanned sequence a and a cut one b with as many common segments as the edits leave at least.
 
-    `scanned` is (h, sid, place, tier, lost, len, copies), each sequence `copies` times; `cut_` (h, sid, place, tier, n, len), once.
-    Where a pair's segments lie on diagonals too far from each other for one band, the outermost are candidates too.
+    Both sides are (h, sid, place, info). Where a pair's segments lie on diagonals too far from each other for one band, the outermost
+    are candidates too.
     """
     tiers = near.tiers
-    size, step = (F.element_at(F.array(*[F.lit(t[i]) for t in tiers]), F.col("tier") + 1) for i in (0, 1))
-    s = scanned.select("h", "tier", F.col("sid").alias("a"), F.col("place").alias("pa"), "lost", F.col("len").alias("la"))
-    c = cut_.select("h", F.col("sid").alias("b"), F.col("place").alias("pb"), "n", F.col("len").alias("lb"))
+    s = scanned.select("h", F.col("sid").alias("a"), F.col("place").alias("pa"), F.col("info").alias("ia"))
+    c = cut_.select("h", F.col("sid").alias("b"), F.col("place").alias("pb"), F.col("info").alias("ib"))
     hit = s.join(c, "h")
+    size, step = (F.element_at(F.array(*[F.lit(t[i]) for t in tiers]), F.pmod(F.floor(F.col("ia") / WIDE), F.lit(4)).cast("int") + 1) for i in (0, 1))
     xa, xb = F.when(F.col("pa") < 0, -F.col("pa") - 1).otherwise(F.col("pa")), F.when(F.col("pb") < 0, -F.col("pb") - 1).otherwise(F.col("pb"))
     same = (F.col("pa") < 0) == (F.col("pb") < 0)
-    hit = hit.select("a", "b", "tier", "lost", "la", "n", "lb", F.when(same, 1).otherwise(-1).alias("sign"), F.when(same, xb - xa).otherwise(xb + size - 1 + xa).alias("shift"))
-    keys = ["a", "b", "tier", "sign", "lost", "la", "n", "lb"]
-    one = hit.groupBy(*keys, "shift").agg(F.count(F.lit(1)).alias("c"))
-    pair = one.groupBy(*keys).agg(F.sum("c").alias("hits"), F.max_by("shift", F.struct("c", "shift")).alias("best"), F.min("shift").alias("lo"), F.max("shift").alias("hi"))
-    first = F.when(F.col("sign") > 0, F.col("best")).otherwise(F.col("best") - F.col("la") + 1)
-    start, end = F.greatest(F.lit(0), first), F.least(F.col("lb"), first + F.col("la"))
-    touch = F.ceil(size / step)
-    outside = F.floor(start / step) + F.floor((F.col("lb") - end) / step) + 2 * touch
-    edits = F.lit(near.edits) + F.ceil(F.lit(near.share) * (end - start))
-    need = F.col("n") - outside - edits * touch - F.col("lost")
-    least = F.when(F.col("tier") == len(tiers) - 1, 2).otherwise(1)
+    # shift and, in the last bit, whether the strands differ
+    one = hit.select("a", "b", "ia", "ib", F.when(same, 2 * (xb - xa)).otherwise(2 * (xb + size - 1 + xa) + 1).alias("rel")).groupBy("a", "b", "ia", "ib", "rel").agg(F.count(F.lit(1)).alias("c"))
+    one = one.withColumn("sign", F.when(F.pmod("rel", F.lit(2)) == 0, 1).otherwise(-1)).withColumn("shift", F.floor(F.col("rel") / 2).cast("int"))
+    pair = one.groupBy("a", "b", "ia", "ib", "sign").agg(F.sum("c").alias("hits"), F.max_by("shift", F.struct("c", "shift")).alias("best"), F.min("shift").alias("lo"), F.max("shift").alias("hi"))
+    held = lambda i: (F.floor(F.floor(F.col(i) / WIDE) / 4), F.pmod(F.col(i), F.lit(WIDE)))
+    (lost, la), (n, lb) = held("ia"), held("ib")
+    least = F.when(step < size, 2).otherwise(1)
+    pick = lambda cond, x, y: F.when(cond, x).otherwise(y)
+    pair = pair.where(_enough(near, (size, step), F.col("sign"), F.col("best"), F.col("hits"), lost, la, n, lb, least, F.floor, pick))
     far = 2 * int(near.allowed(LEAST_BASES))
-    pair = pair.where((end - start >= LEAST_BASES - edits) & (F.col("hits") >= F.greatest(need, least)))
     shifts = F.when(F.col("hi") - F.col("lo") <= far, F.array("best")).otherwise(F.array_distinct(F.array("best", "lo", "hi")))
     return pair.select("a", "b", "sign", F.explode(shifts).alias("shift"))
 
 
-#: kind 0: a record's sequence (processid, sid). 1: a window (h, sid, place, tier, lost, len). 2: a segment (h, sid, place, tier, n, len). 3: a sequence (sid, seq).
-_SCAN = "kind int, processid string, h long, sid long, place int, tier int, lost int, n int, len int, seq binary"
+class SegmentIndex:
+    """Segments of a bounded number of sequences, sorted by hash, with a table of their bits."""
+
+    def __init__(self, seqs: list[bytes], near: Nearness) -> None:
+        self.seqs, self.near = seqs, near
+        segs = segments(seqs, np.arange(len(seqs)), near, tuple(range(len(near.tiers)))).sort_values("h", kind="stable")
+        self.h, self.who, self.place, self.info = (segs[c].to_numpy(np.int64) for c in ("h", "sid", "place", "info"))
+        size = 1 << 16
+        while size < min(MOST_BITS, BITS_EACH * len(self.h)):
+            size <<= 1
+        bits, mask, h = np.zeros(size // 64, np.uint64), np.uint64(size - 1), self.h.view(np.uint64)
+        for probe in (h & mask, (h >> np.uint64(32)) & mask):
+            np.bitwise_or.at(bits, (probe >> np.uint64(6)).astype(np.int64), np.left_shift(np.uint64(1), probe & np.uint64(63)))
+        self.table = bits, frozenset(np.unique(self.info // WIDE % 4).tolist())
+
+    def pairs(self, seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the scanned sequence, number of the held one) of pairs almost the same, of which the held one is of the same class or a higher."""
+        w = listed_windows(seqs, np.arange(len(seqs)), self.near, self.table, 0)
+        h = w["h"].to_numpy(np.int64)
+        lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
+        n = hi - lo
+        if n.sum() == 0:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        a, pa, ia = (np.repeat(w[c].to_numpy(np.int64), n) for c in ("sid", "place", "info"))
+        b, pb, ib = self.who[at], self.place[at], self.info[at]
+        size, step = (np.array([t[i] for t in self.near.tiers])[ia // WIDE % 4] for i in (0, 1))
+        xa, xb, same = np.where(pa < 0, -pa - 1, pa), np.where(pb < 0, -pb - 1, pb), (pa < 0) == (pb < 0)
+        turned, shift = (~same).astype(np.int64), np.where(same, xb - xa, xb + size - 1 + xa)
+        order = np.lexsort((shift, turned, b, a))
+        a, b, turned, shift, ia, ib, size, step = (x[order] for x in (a, b, turned, shift, ia, ib, size, step))
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (turned[1:] != turned[:-1])]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(a)] - 1
+        hits = last - first + 1
+        # the diagonal of most segments of a pair, of equals the one furthest on
+        line = np.flatnonzero(new | np.r_[True, shift[1:] != shift[:-1]])
+        count, of = np.diff(np.r_[line, len(a)]), np.cumsum(new)[line] - 1
+        by = np.lexsort((count, of))
+        best = shift[line][by[np.r_[of[by][1:] != of[by][:-1], True]]]
+        sign, low, high = 1 - 2 * turned[first], shift[first], shift[last]
+        tier, one, other = (size[first], step[first]), ia[first], ib[first]
+        least = np.where(tier[1] < tier[0], 2, 1)
+        good = _enough(self.near, tier, sign, best, hits, one // WIDE // 4, one % WIDE, other // WIDE // 4, other % WIDE, least, np.floor, np.where)
+        a, b = a[first], b[first]
+        wide = good & (high - low > 2 * int(self.near.allowed(LEAST_BASES)))
+        a, b, sign, shift = (np.concatenate([x[good], x[wide], x[wide]]) for x in (a, b, sign, best))
+        shift[good.sum() :] = np.concatenate([low[wide], high[wide]])
+        ok = verify([seqs[i] for i in a], [self.seqs[i] for i in b], sign, shift, self.near)
+        return a[ok], b[ok]
+
+
+#: kind 0: a record's sequence (processid, sid). 1: a window, 2: a segment (h, sid, place, info). 3: a sequence (sid, seq). 4: a pair (sid, other in h).
+_SCAN = "kind int, processid string, h long, sid long, place int, info long, seq binary"
 _COLUMNS = [c.split()[0] for c in _SCAN.split(", ")]
 
 
 def _row_frame(df: pd.DataFrame, kind: int) -> pd.DataFrame:
     out = df.assign(kind=kind).reindex(columns=_COLUMNS)
-    return out.astype({c: "Int64" for c in ("h", "sid", "place", "tier", "lost", "n", "len")} | {"processid": object, "seq": object, "kind": "int32"}).where(lambda x: x.notna(), None)
+    for c in ("processid", "seq"):
+        if out[c].isna().all():
+            out[c] = pd.Series([None] * len(out), dtype=object)
+    return out.astype({c: "Int64" for c in ("h", "sid", "place", "info")} | {"kind": "int32"})
 
 
 def _prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,7 +327,7 @@ def _prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _cut_rows(near: Nearness):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield segments([unpack(x) for x in b["seq"]], b["sid"].to_numpy(np.int64), near, (0, 1, 2, 3))
+            yield segments([unpack(x) for x in b["seq"]], b["sid"].to_numpy(np.int64), near, tuple(range(len(near.tiers))))
 
     return run
 
@@ -266,16 +335,26 @@ def _cut_rows(near: Nearness):
 def sequence_pairs(evaluation: DataFrame, train: DataFrame, near: Nearness = CROSS_SPLIT) -> DataFrame:
     """(sid, train_processid): evaluation sequences with the training records that are almost the same.
 
-    `evaluation` has distinct (sid, seq). Both tables are scanned once. Shuffled are the segments, and the windows that the bit table lets
-    through; nothing but this table, of at most MOST_BITS, is brought to the driver or broadcast.
+    `evaluation` has distinct (sid, seq). Both tables are scanned once. Evaluation sequences of up to INDEX_BOUND bytes are held, cut, by
+    each worker of the scan of the training table, which verifies where it stands. Of more, segments and the windows that a bit table lets
+    through are joined by shuffle; nothing but this table, of at most MOST_BITS, comes to the driver.
     """
     spark = train.sparkSession
     context = spark.sparkContext
-    segs = keep(evaluation.mapInPandas(_cut_rows(near), "h long, sid long, place int, tier int, n int, len int"))
-    table, token = context.broadcast(bit_table(segs)), uuid.uuid4().hex
+    form = "h long, sid long, place int, info long"
+    n, letters = evaluation.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()
+    held = letters + 64 * n <= INDEX_BOUND
+    token = uuid.uuid4().hex
+    if held:
+        got = evaluation.select("sid", "seq").toPandas()
+        shipped = context.broadcast((got["sid"].to_numpy(np.int64), [bytes(x) for x in got["seq"]]))
+    else:
+        segs = keep(evaluation.mapInPandas(_cut_rows(near), form))
+        shipped = context.broadcast(bit_table(segs))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = built_once(token, lambda: table.value)
+        if held:
+            index = built_once(token, lambda: SegmentIndex([unpack(x) for x in shipped.value[1]], near))
         for b in batches:
             pids, rows, seen = [], [], {}
             for p, text in zip(b["processid"], b["nucleotides"]):
@@ -287,38 +366,44 @@ def sequence_pairs(evaluation: DataFrame, train: DataFrame, near: Nearness = CRO
                 continue
             seqs = list(seen)
             sid = np.array([_sid(s) for s in seqs], np.int64)
-            windows = listed_windows(seqs, sid, near, bits, 0)
-            own = segments(seqs, sid, near, (1, 2, 3))
-            used = np.flatnonzero(np.isin(sid, np.r_[windows["sid"].to_numpy(), own["sid"].to_numpy()]))
-            if len(used) == 0:
-                continue
+            own = segments(seqs, sid, near, tuple(range(1, len(near.tiers))))
+            used = np.isin(sid, own["sid"].to_numpy())
+            parts = [(own, 2)]
+            if held:
+                t, e = index.pairs(seqs)
+                parts.append((pd.DataFrame({"sid": sid[t], "h": shipped.value[0][e]}).drop_duplicates(), 4))
+                named = used.copy()
+                named[t] = True
+            else:
+                windows = listed_windows(seqs, sid, near, shipped.value, 0)
+                parts.append((windows, 1))
+                used |= np.isin(sid, windows["sid"].to_numpy())
+                named = used
             records = pd.DataFrame({"processid": pids, "sid": sid[rows]}).drop_duplicates()
-            yield _row_frame(records[np.isin(records["sid"], sid[used])], 0)
-            yield _row_frame(pd.DataFrame({"sid": sid[used], "seq": [pack(seqs[i]) for i in used]}), 3)
-            for part, kind in ((windows, 1), (own, 2)):
+            parts.append((records[np.isin(records["sid"], sid[named])], 0))
+            parts.append((pd.DataFrame({"sid": sid[used], "seq": [pack(s) for s, u in zip(seqs, used) if u]}), 3))
+            for part, kind in parts:
                 if len(part):
-                    yield _row_frame(part, kind)
+                    yield _row_frame(part.reset_index(drop=True), kind)
 
     usable = spread(train.select("processid", "nucleotides").where("processid is not null and nucleotides is not null"), "processid")
     read = keep(usable.mapInPandas(scan, _SCAN))
-    # a sequence met in several batches has its rows as often
     seqs = keep(read.where("kind = 3").groupBy("sid").agg(F.first("seq").alias("seq")))
-    windows = read.where("kind = 1").select("h", "sid", "place", "tier", "lost", "len")
-    found = candidates(windows, segs, near).select(F.col("a").alias("t"), F.col("b").alias("e"), "sign", "shift")
-    other = keep(read.where("kind = 2").select("h", "sid", "place", "tier", "n", "len").distinct())
-    back, back_token = context.broadcast(bit_table(other)), uuid.uuid4().hex
+    other = keep(read.where("kind = 2").select("h", "sid", "place", "info").distinct())
+    back = context.broadcast(bit_table(other))
 
     def scan_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = built_once(back_token, lambda: back.value)
         for b in batches:
-            yield listed_windows([unpack(x) for x in b["seq"]], b["sid"].to_numpy(np.int64), near, bits, 1)
+            yield listed_windows([unpack(x) for x in b["seq"]], b["sid"].to_numpy(np.int64), near, back.value, 1)
 
-    turned = evaluation.mapInPandas(scan_back, "h long, sid long, place int, tier int, lost int, len int")
-    other_way = candidates(turned, other, near)
     # position x of e at sign x + shift of t is position x of t at sign x - sign shift of e
-    other_way = other_way.select(F.col("b").alias("t"), F.col("a").alias("e"), "sign", (-F.col("sign") * F.col("shift")).cast("int").alias("shift"))
-    pairs = found.unionByName(other_way).distinct()
-    pairs = pairs.join(seqs.select(F.col("sid").alias("t"), F.col("seq").alias("ts")), "t").join(evaluation.select(F.col("sid").alias("e"), F.col("seq").alias("es")), "e")
+    pairs = candidates(evaluation.mapInPandas(scan_back, form), other, near)
+    pairs = pairs.select(F.col("b").alias("t"), F.col("a").alias("e"), "sign", (-F.col("sign") * F.col("shift")).cast("int").alias("shift"))
+    if not held:
+        # a sequence met in several batches has its windows as often, which only lets more pairs through
+        pairs = pairs.unionByName(candidates(read.where("kind = 1"), segs, near).select(F.col("a").alias("t"), F.col("b").alias("e"), "sign", "shift")).distinct()
+    small = bounded(evaluation, "seq")
+    pairs = pairs.join(seqs.select(F.col("sid").alias("t"), F.col("seq").alias("ts")), "t").join(small(evaluation.select(F.col("sid").alias("e"), F.col("seq").alias("es"))), "e")
 
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -327,9 +412,11 @@ def sequence_pairs(evaluation: DataFrame, train: DataFrame, near: Nearness = CRO
                 ok = verify([unpack(s) for s in x["ts"]], [unpack(s) for s in x["es"]], x["sign"].to_numpy(), x["shift"].to_numpy(), near)
                 yield pd.DataFrame({"t": x["t"].to_numpy()[ok], "sid": x["e"].to_numpy()[ok]})
 
-    good = pairs.mapInPandas(checked, "t long, sid long").distinct()
+    good = pairs.mapInPandas(checked, "t long, sid long")
+    if held:
+        good = good.unionByName(read.where("kind = 4").select(F.col("sid").alias("t"), F.col("h").alias("sid")))
     records = read.where("kind = 0").select("processid", F.col("sid").alias("t")).distinct()
-    return records.join(good, "t").select("sid", F.col("processid").alias("train_processid")).distinct()
+    return records.join(good.distinct(), "t").select("sid", F.col("processid").alias("train_processid")).distinct()
 
 
 def overlaps(splits: dict[str, DataFrame], train: DataFrame) -> DataFrame:

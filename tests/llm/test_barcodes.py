@@ -133,16 +133,19 @@ def test_overlaps_equal_brute_force(spark, tables):
     assert overlaps({"none": ev.limit(0)}, train).count() == 0 and overlaps({"eval": ev}, train.limit(0)).count() == 0
 
 
-def test_overlaps_with_a_table_of_bits_that_is_full(spark, tables, monkeypatch):
-    """A table of too few bits lets windows through that are no segments; the pairs are the same."""
+def test_overlaps_by_shuffle_with_a_table_of_bits_that_is_full(spark, tables, monkeypatch):
+    """More evaluation sequences than workers may hold, and a table of so few bits that windows come through which are no segments."""
     train, ev, want = tables
-    monkeypatch.setattr(J, "MOST_BITS", 1 << 10)
+    monkeypatch.setattr(J, "INDEX_BOUND", 0)
+    monkeypatch.setattr(J, "MOST_BITS", 1 << 17)
     found = overlaps({"eval": ev}, train)
     assert {(r["eval_processid"], r["train_processid"]) for r in found.where("by_sequence").collect()} == want
 
 
-def test_overlaps_with_unknown_bases_equal_brute_force(spark):
+@pytest.mark.parametrize("bound", [J.INDEX_BOUND, 0])
+def test_overlaps_with_unknown_bases_equal_brute_force(spark, monkeypatch, bound):
     """0 to 20 single unknown bases on each side and 0 to 5 edits, on either strand: no pair is lost, none is added."""
+    monkeypatch.setattr(J, "INDEX_BOUND", bound)
     rnd = random.Random(61)
     train, ev, want = [], [], set()
 
