@@ -9,7 +9,6 @@ import regex
 #: Fixed value: how a text is cut into words before the merges (the pattern of the public vocabulary).
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-DEFAULT_PATTERN_FROM = "public_tokenizers"
 
 
 def load_ranks(path: str = DEFAULT_VOCABULARY) -> dict[bytes, int]:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.llm.barcode_kernels import UNKNOWN, banded_edits, blocks, canonical, compared, flip, matrix, pack, plain_bases, shifted, unpack, window_keys
+from rankforge.llm.barcode_kernels import UNKNOWN, banded_edits, blocks, canonical, compared, flip, matrix, pack, plain_bases, shifted, touched_pieces, unpack, window_keys
 from rankforge.runtime import bounded, built_once, cut, keep, shuffle_partitions, spread
 
 LEAST_BASES = 300
@@ -204,6 +204,9 @@ def verify(a: list[bytes], b: list[bytes], sign: np.ndarray, shift: np.ndarray,
             good = (n >= LEAST_BASES) & (d <= near.allowed(n))
             reach = int(near.allowed(LEAST_BASES))
             rest = np.flatnonzero(~good & (n >= LEAST_BASES - 2 * reach))
+            if len(rest):
+                least = touched_pieces(ma[rest], mb[rest], -diag[rest], reach)
+                rest = rest[least <= near.allowed(n[rest] + 2 * reach)]
             if len(rest):
                 edits, m = banded_edits(ma[rest], la[rest], mb[rest], lb[rest], -diag[rest], reach)
                 good[rest] = (m >= LEAST_BASES) & (edits <= near.allowed(m))
@@ -240,7 +243,9 @@ def candidates(scanned: DataFrame, cut_: DataFrame, near: Nearness) -> DataFrame
     # shift and, in the last bit, whether the strands differ
     one = hit.select("a", "b", "ia", "ib", F.when(same, 2 * (xb - xa)).otherwise(2 * (xb + size - 1 + xa) + 1).alias("rel")).groupBy("a", "b", "ia", "ib", "rel").agg(F.count(F.lit(1)).alias("c"))
     one = one.withColumn("sign", F.when(F.pmod("rel", F.lit(2)) == 0, 1).otherwise(-1)).withColumn("shift", F.floor(F.col("rel") / 2).cast("int"))
-    pair = one.groupBy("a", "b", "ia", "ib", "sign").agg(F.sum("c").alias("hits"), F.max_by("shift", F.struct("c", "shift")).alias("best"), F.min("shift").alias("lo"), F.max("shift").alias("hi"))
+    pair = one.groupBy("a", "b", "ia", "ib", "sign").agg(F.sum("c").alias("hits"), F.max(F.col("c") * WIDE + F.col("shift") + WIDE // 2).alias("top"), F.min("shift").alias("lo"), F.max("shift").alias("hi"))
+    # the diagonal of most segments, of equals the one furthest on
+    pair = pair.withColumn("best", (F.pmod("top", F.lit(WIDE)) - WIDE // 2).cast("int"))
     held = lambda i: (F.floor(F.floor(F.col(i) / WIDE) / 4), F.pmod(F.col(i), F.lit(WIDE)))
     (lost, la), (n, lb) = held("ia"), held("ib")
     least = F.when(step < size, 2).otherwise(1)

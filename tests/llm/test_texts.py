@@ -52,10 +52,32 @@ def test_mix_meets_targets_and_caps(spark):
     assert m.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 4
     assert m.where("source = 'rare'").count() == 4 * 30 and sorted(m.collect()) == sorted(mix(docs, source_rates(docs, targets)).collect())
     used = {x["source"]: x["used_tokens"] / x["wanted_tokens"] for x in mix_report(docs, targets).join(source_rates(docs, targets).select("source", "wanted_tokens"), "source").collect()}
-    assert abs(used["big"] - 1) < 0.06 and abs(used["mid"] - 1) < 0.06
+    # rare and absent lack 0.15 and 0.05 of the size less what rare can give; big and mid make it up alike
+    whole = sum(x["wanted_tokens"] for x in r.values())
+    factor = (whole - 4 * r["rare"]["n_tokens"]) / (0.8 * whole)
+    assert abs(used["big"] - factor) < 0.06 and abs(used["mid"] - factor) < 0.06
+    shares = {x["source"]: x["actual_share"] for x in mix_report(docs, targets).collect()}
+    assert abs(sum(x or 0 for x in shares.values()) - 1) < 1e-9 and abs(shares["big"] - shares["mid"]) < 0.03
     assert sum(x["n_docs"] for x in source_rates(docs.limit(0), targets).collect()) == 0 and mix(docs, source_rates(docs, targets.limit(0))).count() == 0
 
 
+def test_limits_are_met_one_after_the_other(spark):
+    """a lacks much, b then reaches its limit too, c takes the rest; with every source at its limit the mix is smaller."""
+    docs = spark.createDataFrame([(i, "a", "one two") for i in range(10)] + [(10 + i, "b", "one two") for i in range(30)] + [(40 + i, "c", "one two") for i in range(60)], "doc_id long, source string, text string")
+    rate = lambda m: {x["source"]: round(x["rate"], 6) for x in source_rates(docs, spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, m), ("c", 0.2, 9)], "source string, target_share double, max_repeats int")).collect()}
+    assert rate(1) == {"a": 2.0, "b": 1.0, "c": round(50 / 60, 6)}
+    assert rate(3) == {"a": 2.0, "b": round(80 * 0.6 / 30, 6), "c": round(80 * 0.4 / 60, 6)}
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    assert {x["source"]: x["rate"] for x in source_rates(docs.where("source = 'a'"), t).collect()} == {"a": 1.0, "b": 0.0}
+
+
+def test_each_vocabulary_has_its_own_encoder(spark):
+    docs = spark.createDataFrame([(1, "Meereswasserproben und cod")], "doc_id long, text string").coalesce(1)
+    one, other = (encode(docs, vocabulary=P.path(f)).first()["ids"] for f in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"))
+    assert one == CODER.encode_batch(["Meereswasserproben und cod"])[0]
+    assert other == ByteBpe(load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))).encode_batch(["Meereswasserproben und cod"])[0]
+
+
 CASES = [
     ("en", "Dr. Storvik left at 5 p.m. The net tore. It is a G. morhua, not a shark.", ["Dr. Storvik left at 5 p.m.", "The net tore.", "It is a G. morhua, not a shark."]),
     ("en", 'He said: "It is gone." Nobody saw it.', ['He said: "It is gone."', "Nobody saw it."]),
