@@ -206,7 +206,9 @@ def verify(a: list[bytes], b: list[bytes], sign: np.ndarray, shift: np.ndarray,
             rest = np.flatnonzero(~good & (n >= LEAST_BASES - 2 * reach))
             if len(rest):
                 least = touched_pieces(ma[rest], mb[rest], -diag[rest], reach)
-                rest = rest[least <= near.allowed(n[rest] + 2 * reach)]
+                # a gap over an unknown base costs nothing, yet may touch a piece
+                holes = np.array([x[i].count(b"N") + y[i].count(b"N") for i in rest])
+                rest = rest[least <= near.allowed(n[rest] + 2 * reach) + holes]
             if len(rest):
                 edits, m = banded_edits(ma[rest], la[rest], mb[rest], lb[rest], -diag[rest], reach)
                 good[rest] = (m >= LEAST_BASES) & (edits <= near.allowed(m))
