@@ -2,7 +2,8 @@
 
 A rule is (break?, pattern before the position, pattern after it). Each script and language has its
 table; tables are asked in order, and the first rule whose two patterns match decides the position.
-Positions inside a paired quotation or bracket are closed before the tables are asked.
+Positions inside a paired quotation or bracket are closed before the tables are asked. All rules of a language are compiled into one
+pattern of look-behinds and look-aheads, which see the whole paragraph.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ ORDINAL_AFTER = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktob
 def _abbreviations(words: str, guard: str = r"(?<![\p{L}\p{N}])") -> str:
     """A pattern of abbreviations; inner full stops may be followed by a space."""
     one = [re.escape(w).replace(r"\.", r"\.\s?").replace(". ", r"\.\s?") for w in sorted(set(words.split()), key=len, reverse=True)]
-    return f"{guard}(?:{'|'.join(one)})\\.$"
+    return f"{guard}(?:{'|'.join(one)})\\."
 
 
 _OPEN = r"[\s\p{Cf}]*[¿¡«„“\"'‘(\[（「『—–\-•*]*[\s ]?"
@@ -56,34 +57,15 @@ UNCASED = r"[\p{Lo}]"
 
 Rule = tuple[bool, str, str]
 
+#: Letters that may follow a closing mark, after opening marks.
+CASED_NEXT = rf"{_OPEN}[\p{{Lu}}\p{{Ll}}]"
+CLOSING = r"[\p{Pe}\p{Pf}\"]*"
+THAI_WORD = r"\p{Thai}\p{Mn}*"
 
-def language_table(lang: str) -> list[Rule]:
-    """The table of one language."""
-    return special_rules(lang) + abbreviation_rules([lang])
 
-
-def special_rules(lang: str) -> list[Rule]:
-    rules: list[Rule] = []
-    if lang == "de":
-        rules += [
-            (False, rf"(?:{ORDINAL_BEFORE})\s+\d{{1,3}}\.$", r"\s"),
-            (False, r"\b\d{1,3}\.$", rf"\s+(?:{ORDINAL_AFTER})\b"),
-        ]
-    if lang == "en":
-        rules += [(False, r"\b[Nn]os?\.$", r"\s*\d")]
-    if lang == "ru":
-        rules += [(False, r"(?<!\p{L})т\.$", r"\s?[едкнп]\."), (False, r"(?<!\p{L})[гм]\.$", r"\s+\p{Ll}")]
-    if lang == "ar":
-        rules += [(False, r"[.؟!][»”\"]$", r"\s*(?:ثم|و|ف|أو)")]
-    return rules
-
-
-def abbreviation_rules(langs: list[str]) -> list[Rule]:
-    """Abbreviations of one language, or of several asked together."""
+def _abbreviation_rules(never: str, maybe: str) -> list[Rule]:
+    """Abbreviations after which a sentence never ends, and such as what follows decides for."""
     rules: list[Rule] = []
-    digits_only = ("No", "no", "Nos", "nos")
-    never = " ".join(w for x in langs for w in NEVER.get(x, "").split() if w not in digits_only)
-    maybe = " ".join(MAYBE.get(x, "") for x in langs)
     if never.strip():
         rules += [(False, _abbreviations(never), r"")]
     if maybe.strip():
@@ -92,85 +74,133 @@ def abbreviation_rules(langs: list[str]) -> list[Rule]:
     return rules
 
 
+#: Chinese and Japanese: a quotation that a particle takes up goes on.
+HAN: list[Rule] = [(False, r"[」』”\"»][^\S\n]*", r"\s*(?:と|という|って|の|は|が|を|に|是|的)"), (True, rf"[。！？｡]{CLOSING}", r"")]
+#: Rules that only one language has, before its abbreviations.
+SPECIAL: dict[str, list[Rule]] = {
+    "en": [(False, r"\b[Nn]os?\.", r"\s*\d")],
+    "de": [
+        (False, rf"(?:{ORDINAL_BEFORE})\s+\d{{1,3}}\.", r"\s"),
+        (False, r"\b\d{1,3}\.", rf"\s+(?:{ORDINAL_AFTER})\b"),
+    ],
+    "fr": [],
+    "es": [],
+    "ru": [(False, r"(?<!\p{L})т\.", r"\s?[едкнп]\."), (False, r"(?<!\p{L})[гм]\.", r"\s+\p{Ll}")],
+    "el": [(True, rf"\p{{Greek}}[;;]{CLOSING}", UPPER_NEXT), (True, r"\p{Greek}[;;]", r"\s+\p{Lo}"), (False, r"[;;]", r"")],
+    "ar": [(False, r"[.؟!][»”\"]", r"\s*(?:ثم|و|ف|أو)"), (True, rf"[؟۔⸮]{CLOSING}", r"")],
+    "hi": [(False, r"[”\"»][^\S\n]*", r"\s*(?:यही|यह|लिखा)"), (True, rf"[।॥]{CLOSING}", r"")],
+    "zh": HAN,
+    "ja": HAN,
+    "am": [(True, rf"[።፧]{CLOSING}", r"")],
+    "th": [
+        # a space ends a sentence before Thai or another script without case, and before running text; a species name or a number goes on
+        (True, THAI_WORD, r"[^\S\n]*\s+[\p{Thai}⺀-\U0010FFFF]"),
+        (False, THAI_WORD, r"\s+\p{Lu}\p{Ll}+ \p{Ll}+[\s.,]"),
+        (True, THAI_WORD, r"\s+(?:[^\W\d]+['’\-]?[^\W\d]*[,;:]?\s+){3}[^\W\d]"),
+        (False, THAI_WORD, r"\s"),
+    ],
+}
+
+#: Rules asked before any language's.
+FIRST: list[Rule] = [
+    # a mark or a comma after the mark: the sentence, or the run of marks, goes on
+    (False, r"\P{Thai}", rf"[{re.escape(TERMINATORS)},;:]"),
+    (False, r"(?:…+|\.{2,})", r"\p{Lo}"),
+    (True, r"[\p{L}\p{M}\p{N}\p{Pe}\p{Pf}\"]{2}[!?।॥؟]+", CAMEL_NEXT),
+]
 #: Rules asked after every language's.
 DEFAULT: list[Rule] = [
     # initials and abbreviated genera
-    (False, r"(?<![\p{L}\p{N}])\p{Lu}\.$", r"\s*\p{L}"),
+    (False, r"(?<![\p{L}\p{N}])\p{Lu}\.", r"\s*\p{L}"),
     # first halves of spaced abbreviations
-    (False, r"(?<!\p{L})z\.$", r"\s?[BT]\."),
-    (False, r"(?<!\p{L})[du]\.$", r"\s?[ha]\."),
-    (False, r"(?<!\p{L})[eia]\.$", r"\s?[gem]\."),
-    (False, r"(?<!\p{L})p\.$", r"\s?(?:ex|ej|m|s)\."),
-    (False, r"(?<!\p{L})π\.$", r"\s?χ\."),
+    (False, r"(?<!\p{L})z\.", r"\s?[BT]\."),
+    (False, r"(?<!\p{L})[du]\.", r"\s?[ha]\."),
+    (False, r"(?<!\p{L})[eia]\.", r"\s?[gem]\."),
+    (False, r"(?<!\p{L})p\.", r"\s?(?:ex|ej|m|s)\."),
+    (False, r"(?<!\p{L})π\.", r"\s?χ\."),
     # decimals, versions, addresses
-    (False, r"\p{N}\.$", r"\p{N}"),
-    (False, r"(?:^|\s)\.$", r"\p{N}"),
-    (False, r"(?:https?://|www\.)\S*$", r"\S"),
+    (False, r"\p{N}\.", r"\p{N}"),
+    (False, r"(?:^|\s)\.", r"\p{N}"),
+    (False, r"(?:https?://|www\.)\S*", r"\S"),
     # chains of single letters such as p.s.u. or U.S.B.
-    (False, r"(?<!\p{L})(?:\p{L}\.){2,}$", r"\s*\p{Ll}"),
+    (False, r"(?<!\p{L})(?:\p{L}\.){2,}", r"\s*\p{Ll}"),
     # a word that starts with a small letter by its nature (pH, eDNA) opens a sentence
-    (True, r"[.!?…][\p{Pe}\p{Pf}\"]*$", CAMEL_NEXT),
+    (True, rf"[.!?…]{CLOSING}", CAMEL_NEXT),
     # a small letter goes on with the sentence
     (False, r"", LOWER_NEXT),
     # white space before anything else parts sentences
     (True, r"", r"\s"),
     # lost space: a word or number, the mark, a capital or a letter without case
-    (True, r"(?:\p{L}{2}|\p{N}|[\p{Pe}\p{Pf}\"]|\s\p{Ll})[.!?…]+[\p{Pe}\p{Pf}\"]*$", r"[¿¡«„“\"(\[—]*(?:\p{Lu}\p{Ll}|\p{Lu}\s|\p{Lu}['’]|\p{Lu}\.\s|\p{Lu}{2}|\p{Lo})"),
-    (False, r"", r""),
-]
-UNCASED_TABLE: list[Rule] = [
-    (False, r"(?:…+|\.{2,})$", r"\p{Lo}"),
-    (True, r"[\p{L}\p{M}\p{N}\p{Pe}\p{Pf}\"]{2}[!?।॥።؟]+$", CAMEL_NEXT),
-    (False, r"[」』”\"»][^\S\n]*$", r"\s*(?:と|という|って|の|は|が|を|に|是|的|यही|यह|लिखा)"),
-    (True, r"[。！？｡।॥።፧؟۔⸮][\p{Pe}\p{Pf}\"]*$", r""),
+    (True, rf"(?:\p{{L}}{{2}}|\p{{N}}|[\p{{Pe}}\p{{Pf}}\"]|\s\p{{Ll}})[.!?…]+{CLOSING}", r"[¿¡«„“\"(\[—]*(?:\p{Lu}\p{Ll}|\p{Lu}\s|\p{Lu}['’]|\p{Lu}\.\s|\p{Lu}{2}|\p{Lo})"),
 ]
-GREEK_TABLE: list[Rule] = [(True, r"\p{Greek}[;;][\p{Pe}\p{Pf}\"]*$", UPPER_NEXT), (True, r"\p{Greek}[;;]$", r"\s+\p{Lo}"), (False, r"[;;]$", r"")]
+#: Asked before all others at the end of a bracket with which the sentence began.
+BRACKET_OPENED: list[Rule] = [FIRST[0], (False, r"", LOWER_NEXT), (True, r"", r"")]
+#: Asked before all others at the end of a quotation with which the sentence began: what is quoted there mostly goes on.
+QUOTATION_OPENED: list[Rule] = [FIRST[0], (True, r"”", rf"\s{CASED_NEXT}"), (False, r"”", r""), (False, r"", rf"(?!{CASED_NEXT})")]
 
-_ORDER = ["en", "de", "fr", "es", "ru", "el", "ar", "hi"]
-_BLANK_LINE = re.compile(r"(?:\r\n|[\n\r\v\f\x85 ])[^\S\n\r]*(?:\r\n|[\n\r\v\f\x85 ])\s*| \s*")
-_MARKS = re.compile(rf"[{re.escape(TERMINATORS)}]+|(?<=\p{{Greek}})[{GREEK_QUESTION}]|(?<=\p{{Thai}}[\p{{Mn}}]*)[^\S\n\r]+(?=\p{{Thai}})|(?<=\p{{Thai}}[\p{{Mn}}]*)\s+(?=\p{{Thai}})|(?<=\p{{Thai}}[\p{{Mn}}]*)\s+(?=[\p{{Lu}}\p{{Han}}\p{{Kana}}\p{{Hiragana}}])")
-_WORD_RUN = re.compile(r"\s*(?:[^\W\d]+['’\-]?[^\W\d]*[,;:]?\s+){3}[^\W\d]", re.UNICODE)
+_BLANK_LINE = re.compile(r"(?:\r\n|[\n\r\v\f\x85\u2028])[^\S\n\r]*(?:\r\n|[\n\r\v\f\x85\u2028])\s*|\u2029\s*")
+_MARKS = re.compile(rf"[{re.escape(TERMINATORS)}]+|(?<=\p{{Greek}})[{GREEK_QUESTION}]|(?<=\p{{Thai}}[\p{{Mn}}]*)\s+(?=[\p{{Thai}}\p{{Lu}}\p{{Han}}\p{{Kana}}\p{{Hiragana}}])")
+_CLOSERS = set(PAIRS.values())
+_PAIRED = re.compile("[" + re.escape('"' + "".join(sorted({*PAIRS, *_CLOSERS}))) + "]")
+_SOME_OPENER = re.compile("[" + re.escape('"' + "".join(sorted(PAIRS))) + "]")
+_BRACKETS = "(（[【"
+_LATE = ("No", "no", "Nos", "nos")
 
 
-_CLOSERS = set(PAIRS.values())
-_PAIRED = {'"', *PAIRS, *_CLOSERS}
+def tables(lang: str) -> list[Rule]:
+    """The cascade of a document's language: what holds everywhere, its own table, the other languages' tables, the default."""
+    own = lang if lang in SPECIAL else ""
+    rest = [x for x in SPECIAL if x != own]
+    rules = list(FIRST)
+    if own:
+        # "no." is a word too, so that only a number after it makes it an abbreviation
+        rules += SPECIAL[own] + _abbreviation_rules(" ".join(w for w in NEVER.get(own, "").split() if w not in _LATE), MAYBE.get(own, ""))
+    for x in rest:
+        rules += SPECIAL[x]
+    rules += _abbreviation_rules(" ".join(w for x in rest for w in NEVER.get(x, "").split() if w not in _LATE), " ".join(MAYBE.get(x, "") for x in rest))
+    return rules + DEFAULT
+
+
+def _compiled(rules: list[Rule]):
+    """One pattern of all rules in their order: the number of its group tells which rule decided."""
+    one = "|".join(f"{f'(?<={before})' if before else ''}{f'(?={after})' if after else ''}()" for _, before, after in rules)
+    return re.compile(one).match, (False, *[verdict for verdict, _, _ in rules])
 
 
 @lru_cache(maxsize=64)
 def cascade(lang: str) -> tuple:
-    """Tables for a document's language, first its own, then the others', then the default."""
-    own = (lang or "")[:2].lower()
-    first = [own] if own in _ORDER else []
-    rest = [x for x in _ORDER if x != own]
-    rules = GREEK_TABLE + UNCASED_TABLE + [r for x in first for r in language_table(x)]
-    rules += [r for x in rest for r in special_rules(x)] + abbreviation_rules(rest) + DEFAULT
-    return tuple((b, re.compile(p) if p else None, re.compile(a) if a else None) for b, p, a in rules)
+    """Compiled cascades of a language: in running text, after a bracket and after a quotation that opened the sentence."""
+    rules = tables(lang)
+    return _compiled(rules), _compiled(BRACKET_OPENED), _compiled(QUOTATION_OPENED + rules)
+
 
+def spans(s: str) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """Paired quotations and brackets of a paragraph: closing index to opening index, and the outer pairs.
 
-def spans(s: str, reach: int = 600) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Paired quotations and brackets of a paragraph: closing index to opening index, and the outer pairs."""
+    A straight quote after a space and before a letter opens, and then gives up an opened one that was never closed.
+    """
     stack: list[tuple[str, int]] = []
     closes: dict[int, int] = {}
-    for i, c in enumerate(s):
-        if c not in _PAIRED:
-            continue
-        while stack and i - stack[0][1] > reach:
-            stack.pop(0)
+    for m in _PAIRED.finditer(s):
+        i, c = m.start(), m[0]
         if c == '"':
-            if any(o == '"' for o, _ in stack):
-                while stack[-1][0] != '"':
-                    stack.pop()
-                closes[i] = stack.pop()[1]
-            elif i + 1 < len(s) and not s[i + 1].isspace():
+            opens = i + 1 < len(s) and not s[i + 1].isspace()
+            held = [k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"']
+            if held and opens and i and s[i - 1].isspace():
+                del stack[held[0] :]
+                stack.append(('"', i))
+            elif held:
+                closes[i] = stack[held[0]][1]
+                del stack[held[0] :]
+            elif opens:
                 stack.append(('"', i))
             continue
         wanted = [k for k in range(len(stack) - 1, -1, -1) if PAIRS.get(stack[k][0]) == c] if c in _CLOSERS else []
         if wanted and not (c == "“" and stack[wanted[0]][0] != "„"):
-            del stack[wanted[0] + 1 :]
-            closes[i] = stack.pop()[1]
+            closes[i] = stack[wanted[0]][1]
+            del stack[wanted[0] :]
         elif c in PAIRS:
             stack.append((c, i))
-    closes = {b: a for b, a in closes.items() if b - a <= reach}
     outer, end = [], -1
     for b, a in sorted(closes.items(), key=lambda x: (x[1], -x[0])):
         if a > end:
@@ -179,87 +209,45 @@ def spans(s: str, reach: int = 600) -> tuple[dict[int, int], list[tuple[int, int
     return closes, outer
 
 
-_SMALL_NEXT, _CAMEL_NEXT = re.compile(LOWER_NEXT), re.compile(CAMEL_NEXT)
-_LONG_WORD = re.compile(r"(?<![\p{L}\p{N}.])\p{L}{9,}[.!?]$")
-_CONTINUES = re.compile(rf"[{re.escape(TERMINATORS)},;:]")
-_FOLLOWS = re.compile(_OPEN + r"(.)")
-_CASED = re.compile(r"\p{Lu}|\p{Ll}")
-_BINOMIAL = re.compile(r"\p{Lu}\p{Ll}+ \p{Ll}+[\s.,]")
-_UPPER_AFTER_SPACE = re.compile(r"\s+\p{Lu}")
-
-
-def _decide(rules: tuple, before: str, after: str) -> bool:
-    """What the first matching rule says; two common cases, in which the tables agree, are told apart at once."""
-    if _SMALL_NEXT.match(after):
-        if not _CAMEL_NEXT.match(after):
-            return False
-    elif _UPPER_AFTER_SPACE.match(after) and _LONG_WORD.search(before):
-        return True
-    for verdict, p, a in rules:
-        if (a is None or a.match(after)) and (p is None or p.search(before)):
-            return verdict
-    return False
+def _first_visible(s: str, at: int) -> int:
+    while at < len(s) and (s[at].isspace() or s[at] in INVISIBLE):
+        at += 1
+    return at
 
 
-def _paragraph(s: str, base: int, rules: tuple, out: list[tuple[int, int]]) -> None:
-    closes, outer = spans(s) if any(c in s for c in '("（[【«„“「『‹《') else ({}, [])
-    start, k, first = 0, 0, -1
+def _paragraph(s: str, base: int, cascades: tuple, out: list[tuple[int, int]]) -> None:
+    """Sentences of a text without blank lines: each mark outside pairs, with the closing marks after it, is put to the tables."""
+    (decide, verdicts), bracket, quotation = cascades
+    closes, outer = spans(s) if _SOME_OPENER.search(s) else ({}, [])
+    start, k, visible = 0, 0, len(s.rstrip())
     for m in _MARKS.finditer(s):
         at = m.end()
         if at <= start:
             continue
-        thai = m[0].isspace()
-        while k < len(outer) and outer[k][1] < m.start():
-            k += 1
-        inside = k < len(outer) and outer[k][0] < m.start() <= outer[k][1]
-        if thai:
-            if inside:
-                continue
-            nxt = s[at]
-            if "฀" <= nxt <= "๿" or nxt > "⹿" or (_WORD_RUN.match(s, at) is not None and not _BINOMIAL.match(s[at : at + 60])):
-                _emit(s, base, start, m.start(), out)
-                start = at
-            continue
-        closed = None
-        end = at
-        while True:
-            gap = end
-            while gap < len(s) and s[gap] in "   " and gap - end < 1:
-                gap += 1
-            if end in closes:
-                closed, end = closes[end], end + 1
-            elif gap < len(s) and s[gap] == "»" and gap in closes:
-                closed, end = closes[gap], gap + 1
-            else:
-                break
+        if m[0].isspace():
+            end = m.start()
+        else:
+            end = at
+            while closes:
+                gap = end + 1 if end < len(s) and s[end] in " \xa0\u202f" else end
+                if end in closes:
+                    end += 1
+                elif gap < len(s) and s[gap] == "»" and gap in closes:
+                    end = gap + 1
+                else:
+                    break
         while k < len(outer) and outer[k][1] < end:
             k += 1
-        if k < len(outer) and outer[k][0] < end - 1 < outer[k][1]:
+        if k < len(outer) and outer[k][0] < end:
             continue
-        after = s[end : end + 24]
-        if not after.strip():
-            continue
-        if _CONTINUES.match(after):
-            continue
-        if closed is not None:
-            if first < start:
-                first = start
-                while first < len(s) and (s[first].isspace() or s[first] in INVISIBLE):
-                    first += 1
-            follows = _FOLLOWS.match(after)
-            cased = follows is not None and _CASED.match(follows[1])
-            if closed == first and s[closed] not in "(（[【":
-                # a quotation opens the sentence: it goes on unless a capital follows
-                verdict = bool(cased) and _decide(rules, s[max(0, end - 24) : end], after) and s[closed] != "“" or (s[closed] == '“' and bool(cased) and after[:1].isspace())
-            elif closed == first:
-                verdict = not (cased and _SMALL_NEXT.match(after))
-            elif cased:
-                verdict = _decide(rules, s[max(0, end - 24) : end], after) if s[closed] not in "(（[【" or end - 1 - closed > 0 else False
-            else:
-                verdict = _decide(rules, s[max(0, end - 24) : end], after)
-        else:
-            verdict = _decide(rules, s[max(0, end - 24) : end], after)
-        if verdict:
+        if end >= visible:
+            break
+        use, told = decide, verdicts
+        opened = closes.get(end - 1)
+        if opened is not None and opened == _first_visible(s, start):
+            use, told = bracket if s[opened] in _BRACKETS else quotation
+        hit = use(s, end)
+        if hit is not None and told[hit.lastindex]:
             _emit(s, base, start, end, out)
             start = end
     _emit(s, base, start, len(s), out)

@@ -106,6 +106,30 @@ def test_sentences_in_each_language(lang, text, want):
     assert [text[a:b] for a, b in sentences(text, lang)] == want
 
 
+LONG = "word " * 300
+FAR_CASES = [
+    ("en", "See https://example-archive.org/records/long/path/of/a/station/Station.Net now. It is there.", ["See https://example-archive.org/records/long/path/of/a/station/Station.Net now.", "It is there."]),
+    ("en", f'He read: "It was. {LONG}It is gone." Nobody saw it.', [f'He read: "It was. {LONG}It is gone."', "Nobody saw it."]),
+    ("en", f"A net (see p. 4. {LONG}It is here.) was lost. Good.", [f"A net (see p. 4. {LONG}It is here.) was lost.", "Good."]),
+    ("ja", "完了。note", ["完了。", "note"]),
+    ("en", 'It was 5" long. The net tore. "Gone." Nobody saw it.', ['It was 5" long.', "The net tore.", '"Gone."', "Nobody saw it."]),
+]
+
+
+@pytest.mark.parametrize("lang,text,want", FAR_CASES)
+def test_rules_see_the_whole_paragraph(lang, text, want):
+    assert [text[a:b] for a, b in sentences(text, lang)] == want
+
+
+def test_own_table_is_asked_first():
+    """St. is an abbreviation everywhere, usw. in German before the other tables; each language has a table."""
+    from rankforge.llm.sentence_rules import FIRST, SPECIAL, tables
+
+    assert set(SPECIAL) == {"en", "de", "fr", "es", "ru", "el", "ar", "hi", "zh", "ja", "am", "th"}
+    for lang in SPECIAL:
+        assert tables(lang)[len(FIRST) : len(FIRST) + len(SPECIAL[lang])] == SPECIAL[lang]
+
+
 @pytest.mark.parametrize("lang,text,want", CASES)
 def test_language_tag_may_lack(lang, text, want):
     assert [text[a:b] for a, b in sentences(text, None)] == want
