@@ -205,19 +205,21 @@ def compared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def touched_pieces(a: np.ndarray, b: np.ndarray, diag: np.ndarray, reach: int) -> np.ndarray:
-    """Pieces of 8 columns of `a` that differ from `b` wherever they are laid within `reach` of the diagonal.
+    """Pieces of 8 known columns of `a` that differ from `b` wherever they are laid within `reach` of the diagonal, where b is known too.
 
-    An edit touches one piece, so this is no more than the edits of any alignment that stays within `reach`.
+    An edit touches one piece, so this is no more than the edits of any alignment that stays within `reach`. Pieces near unknown bases do
+    not count, since gaps over these cost nothing.
     """
     width = -(-a.shape[1] // 8) * 8
     x = np.full((len(a), width), UNKNOWN, np.uint8)
     x[:, : a.shape[1]] = a
     wide = shifted(b, diag + reach, width + 2 * reach)
-    touched = np.ones((len(a), width // 8), bool)
+    touched = ~((x >= UNKNOWN).view(np.uint64) != 0)
+    holes = np.zeros((len(a), wide.shape[1] + 1), np.int32)
+    np.cumsum(wide >= UNKNOWN, axis=1, out=holes[:, 1:])
+    touched &= holes[:, 8 + 2 * reach :: 8] == holes[:, : width - 7 : 8]
     for d in range(2 * reach + 1):
-        s = wide[:, d : d + width]
-        differ = ((x | s) < UNKNOWN) & (x != s)
-        touched &= differ.view(np.uint64) != 0
+        touched &= (x != wide[:, d : d + width]).view(np.uint64) != 0
     return touched.sum(axis=1)
 
 

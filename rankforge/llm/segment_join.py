@@ -206,9 +206,7 @@ def verify(a: list[bytes], b: list[bytes], sign: np.ndarray, shift: np.ndarray,
             rest = np.flatnonzero(~good & (n >= LEAST_BASES - 2 * reach))
             if len(rest):
                 least = touched_pieces(ma[rest], mb[rest], -diag[rest], reach)
-                # a gap over an unknown base costs nothing, yet may touch a piece
-                holes = np.array([x[i].count(b"N") + y[i].count(b"N") for i in rest])
-                rest = rest[least <= near.allowed(n[rest] + 2 * reach) + holes]
+                rest = rest[least <= near.allowed(n[rest] + 2 * reach)]
             if len(rest):
                 edits, m = banded_edits(ma[rest], la[rest], mb[rest], lb[rest], -diag[rest], reach)
                 good[rest] = (m >= LEAST_BASES) & (edits <= near.allowed(m))
@@ -216,17 +214,22 @@ def verify(a: list[bytes], b: list[bytes], sign: np.ndarray, shift: np.ndarray,
     return ok
 
 
-def _enough(near: Nearness, tier, sign, shift, hits, lost, la, n, lb, least, floor, where):
-    """Whether pairs have the overlap and the segments that the edits leave at least; of columns or arrays."""
-    size, step = tier
-    first = where(sign > 0, shift, shift - la + 1)
-    start = where(first > 0, first, 0)
-    end = where(first + la < lb, first + la, lb)
-    touch = -floor(-size / step)
-    outside = floor(start / step) + floor((lb - end) / step) + 2 * touch
-    edits = near.edits - floor(-near.share * (end - start))
+def _enough(near: Nearness, ia, ib, sign, shift, hits):
+    """Whether pairs of a scanned sequence (info ia) and a cut one (ib) have the overlap and the segments that the edits leave at least."""
+    size, step = (np.array([t[i] for t in near.tiers])[ia // WIDE % 4] for i in (0, 1))
+    lost, la, n, lb = ia // WIDE // 4, ia % WIDE, ib // WIDE // 4, ib % WIDE
+    first = np.where(sign > 0, shift, shift - la + 1)
+    start, end = np.maximum(first, 0), np.minimum(first + la, lb)
+    touch = -(-size // step)
+    outside = start // step + (lb - end) // step + 2 * touch
+    edits = near.edits + np.ceil(near.share * (end - start))
     need = n - outside - edits * touch - lost
-    return (end - start >= LEAST_BASES - edits) & (hits >= need) & (hits >= least)
+    return (end - start >= LEAST_BASES - edits) & (hits >= need) & (hits >= np.where(step < size, 2, 1))
+
+
+def _outermost(near: Nearness, good, low, high):
+    """Pairs whose segments lie on diagonals too far from each other for one band."""
+    return good & (high - low > 2 * int(near.allowed(LEAST_BASES)))
 
 
 def candidates(scanned: DataFrame, cut_: DataFrame, near: Nearness) -> DataFrame:
@@ -239,23 +242,24 @@ def candidates(scanned: DataFrame, cut_: DataFrame, near: Nearness) -> DataFrame
     s = scanned.select("h", F.col("sid").alias("a"), F.col("place").alias("pa"), F.col("info").alias("ia"))
     c = cut_.select("h", F.col("sid").alias("b"), F.col("place").alias("pb"), F.col("info").alias("ib"))
     hit = s.join(c, "h")
-    size, step = (F.element_at(F.array(*[F.lit(t[i]) for t in tiers]), F.pmod(F.floor(F.col("ia") / WIDE), F.lit(4)).cast("int") + 1) for i in (0, 1))
+    size = F.element_at(F.array(*[F.lit(t[0]) for t in tiers]), F.pmod(F.floor(F.col("ia") / WIDE), F.lit(4)).cast("int") + 1)
     xa, xb = F.when(F.col("pa") < 0, -F.col("pa") - 1).otherwise(F.col("pa")), F.when(F.col("pb") < 0, -F.col("pb") - 1).otherwise(F.col("pb"))
     same = (F.col("pa") < 0) == (F.col("pb") < 0)
     # shift and, in the last bit, whether the strands differ
     one = hit.select("a", "b", "ia", "ib", F.when(same, 2 * (xb - xa)).otherwise(2 * (xb + size - 1 + xa) + 1).alias("rel")).groupBy("a", "b", "ia", "ib", "rel").agg(F.count(F.lit(1)).alias("c"))
     one = one.withColumn("sign", F.when(F.pmod("rel", F.lit(2)) == 0, 1).otherwise(-1)).withColumn("shift", F.floor(F.col("rel") / 2).cast("int"))
     pair = one.groupBy("a", "b", "ia", "ib", "sign").agg(F.sum("c").alias("hits"), F.max(F.col("c") * WIDE + F.col("shift") + WIDE // 2).alias("top"), F.min("shift").alias("lo"), F.max("shift").alias("hi"))
-    # the diagonal of most segments, of equals the one furthest on
-    pair = pair.withColumn("best", (F.pmod("top", F.lit(WIDE)) - WIDE // 2).cast("int"))
-    held = lambda i: (F.floor(F.floor(F.col(i) / WIDE) / 4), F.pmod(F.col(i), F.lit(WIDE)))
-    (lost, la), (n, lb) = held("ia"), held("ib")
-    least = F.when(step < size, 2).otherwise(1)
-    pick = lambda cond, x, y: F.when(cond, x).otherwise(y)
-    pair = pair.where(_enough(near, (size, step), F.col("sign"), F.col("best"), F.col("hits"), lost, la, n, lb, least, F.floor, pick))
-    far = 2 * int(near.allowed(LEAST_BASES))
-    shifts = F.when(F.col("hi") - F.col("lo") <= far, F.array("best")).otherwise(F.array_distinct(F.array("best", "lo", "hi")))
-    return pair.select("a", "b", "sign", F.explode(shifts).alias("shift"))
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            v = {c: x[c].to_numpy(np.int64) for c in ("ia", "ib", "sign", "hits", "top", "lo", "hi")}
+            best = v["top"] % WIDE - WIDE // 2  # the diagonal of most segments, of equals the one furthest on
+            good = _enough(near, v["ia"], v["ib"], v["sign"], best, v["hits"])
+            wide = _outermost(near, good, v["lo"], v["hi"])
+            for rows, shift in ((good, best), (wide, v["lo"]), (wide, v["hi"])):
+                yield x.loc[rows, ["a", "b", "sign"]].assign(shift=shift[rows])
+
+    return pair.mapInPandas(kept, "a long, b long, sign int, shift int")
 
 
 class SegmentIndex:
@@ -284,11 +288,11 @@ class SegmentIndex:
         at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         a, pa, ia = (np.repeat(w[c].to_numpy(np.int64), n) for c in ("sid", "place", "info"))
         b, pb, ib = self.who[at], self.place[at], self.info[at]
-        size, step = (np.array([t[i] for t in self.near.tiers])[ia // WIDE % 4] for i in (0, 1))
+        size = np.array([t[0] for t in self.near.tiers])[ia // WIDE % 4]
         xa, xb, same = np.where(pa < 0, -pa - 1, pa), np.where(pb < 0, -pb - 1, pb), (pa < 0) == (pb < 0)
         turned, shift = (~same).astype(np.int64), np.where(same, xb - xa, xb + size - 1 + xa)
         order = np.lexsort((shift, turned, b, a))
-        a, b, turned, shift, ia, ib, size, step = (x[order] for x in (a, b, turned, shift, ia, ib, size, step))
+        a, b, turned, shift, ia, ib = (x[order] for x in (a, b, turned, shift, ia, ib))
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (turned[1:] != turned[:-1])]
         first = np.flatnonzero(new)
         last = np.r_[first[1:], len(a)] - 1
@@ -299,11 +303,9 @@ class SegmentIndex:
         by = np.lexsort((count, of))
         best = shift[line][by[np.r_[of[by][1:] != of[by][:-1], True]]]
         sign, low, high = 1 - 2 * turned[first], shift[first], shift[last]
-        tier, one, other = (size[first], step[first]), ia[first], ib[first]
-        least = np.where(tier[1] < tier[0], 2, 1)
-        good = _enough(self.near, tier, sign, best, hits, one // WIDE // 4, one % WIDE, other // WIDE // 4, other % WIDE, least, np.floor, np.where)
+        good = _enough(self.near, ia[first], ib[first], sign, best, hits)
         a, b = a[first], b[first]
-        wide = good & (high - low > 2 * int(self.near.allowed(LEAST_BASES)))
+        wide = _outermost(self.near, good, low, high)
         a, b, sign, shift = (np.concatenate([x[good], x[wide], x[wide]]) for x in (a, b, sign, best))
         shift[good.sum() :] = np.concatenate([low[wide], high[wide]])
         ok = verify([seqs[i] for i in a], [self.seqs[i] for i in b], sign, shift, self.near)
