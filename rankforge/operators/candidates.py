@@ -150,8 +150,8 @@ def fit_thresholds(df: DataFrame, group: Sequence[str], confidence: str, correct
 def fit_thresholds_rowwise(df: DataFrame, group: Sequence[str], confidence: str, correct: str, tie: Sequence[str], targets: Sequence[float]) -> DataFrame:
     """As fit_thresholds, but row by row: the last row, in descending confidence and then `tie`, at which the running precision meets the target."""
     ok = df.where(finite(confidence).isNotNull() & F.col(correct).isNotNull())
-    w = Window.partitionBy(*group).orderBy(F.desc(finite(confidence)), *tie).rowsBetween(Window.unboundedPreceding, 0)
-    c = ok.select(*group, finite(confidence).alias("c"), F.count(F.lit(1)).over(w).alias("n"), F.sum(F.col(correct).cast("int")).over(w).alias("k"))
+    ok = ok.select(*group, finite(confidence).alias("c"), F.struct((-finite(confidence)).alias("__d"), *tie).alias("__o"), F.lit(1).alias("n"), F.col(correct).cast("int").alias("k"))
+    c = running_sums(ok, group, "__o", ["n", "k"]).select(*group, "c", F.col("run_n").alias("n"), F.col("run_k").alias("k"))
     grid = c.withColumn("target_precision", F.explode(F.array(*[F.lit(float(t)) for t in targets])))
     best = F.max(F.when(F.col("k") / F.col("n") >= F.col("target_precision"), F.struct("n", "c")))
     return grid.groupBy(*group, "target_precision").agg(best.alias("b")).select(*group, "target_precision", F.col("b.c").alias("threshold"), F.coalesce("b.n", F.lit(0)).alias("n_accepted"))
@@ -177,12 +177,17 @@ def policy_summary(df: DataFrame, group: Sequence[str], rank: str, correct: str)
 
 def coverage_curve(df: DataFrame, group: Sequence[str], confidence: str, correct: str, tie: Sequence[str], points: Sequence[float]) -> DataFrame:
     """(group, coverage, n_accepted, accuracy): accuracy of the most confident share of the rows, one row at least."""
-    w = Window.partitionBy(*group).orderBy(F.desc_nulls_last(finite(confidence)), *tie)
-    r = df.withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
-    grid = r.withColumn("coverage", F.explode(F.array(*[F.lit(float(p)) for p in points])))
+    value = finite(confidence)
+    r = df.select(*group, F.struct(value.isNull().alias("__v"), (-value).alias("__d"), *tie).alias("__o"), F.lit(1).alias("n"), F.col(correct).cast("int").alias("k"))
+    r = running_sums(r, group, "__o", ["n"])
+    total = r.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).select(*[F.col(g).alias(f"__g_{g}") for g in group], "__n")
+    on = F.lit(True)
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    grid = r.join(total, on).withColumn("coverage", F.explode(F.array(*[F.lit(float(p)) for p in points])))
     take = F.greatest(F.lit(1), F.bround(F.col("__n") * F.col("coverage"), 0).cast("int"))
-    acc = grid.where(F.col("__r") <= take)
-    return acc.groupBy(*group, "coverage").agg(F.count(F.lit(1)).alias("n_accepted"), F.avg(F.col(correct).cast("int")).alias("accuracy"))
+    acc = grid.where(F.col("run_n") <= take)
+    return acc.groupBy(*group, "coverage").agg(F.count(F.lit(1)).alias("n_accepted"), F.avg("k").alias("accuracy"))
 
 
 def threshold_sweep(df: DataFrame, value: str, correct: str, cuts: Sequence[float]) -> DataFrame:

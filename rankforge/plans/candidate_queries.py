@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.functions import exprs as X
+from rankforge.functions.exprs import RANKS
 from rankforge.operators import candidates as C
+from rankforge.operators import rank_policy as RP
 from rankforge.operators import statistics as S
-from rankforge.runtime import table
+from rankforge.runtime import keep, table
 
 K = list(C.KEYS)
 TARGETS = [0.5, 0.8, 0.9, 0.95]
 POINTS = [0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+POLICY_TARGETS = [0.5, 0.8, 0.9]
 SWEEP = [0.3, 0.5, 0.7, 0.8, 0.9, 0.95]
 
 
@@ -104,23 +107,53 @@ def c_fit_rowwise(spark, d):
     return C.fit_thresholds_rowwise(_first(spark, d), ["method"], "candidate_score", "right_species", ["sample_id", "query_processid"], TARGETS)
 
 
+def _ranked(spark, d):
+    """Places with the values of candidate and truth at four ranks."""
+    lineage = RP.lineages(table(spark, d, "candidate_species"))
+    t = _top(spark, d).where("truth is not null")
+    return RP.with_rank_values(RP.with_rank_values(t, "candidate_tree_label", lineage, "value"), "truth", lineage, "truth")
+
+
+def _features(spark, d):
+    part = _eco(spark, d).groupBy(*K).agg(F.min("calibration_split").alias("part"))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in K]
+    part = part.toDF(*[f"__{k}" for k in K], "part")
+    f = RP.rank_features(_ranked(spark, d), K, "candidate_score")
+    return keep(f.join(part, on).drop(*[f"__{k}" for k in K]))
+
+
 def _policy(spark, d):
-    x = _first(spark, d).join(C.consensus(_top(spark, d), K, "genus", "genus").select(*K, "genus_consensus"), K)
-    m = C.margins(_top(spark, d), K, "candidate_score", (2,)).select(*K, "relative_margin")
-    x = x.join(m, K)
-    rank = C.assign_rank(x, {"species": "relative_margin", "genus": "genus_consensus", "family": "candidate_score"}, {"species": 0.05, "genus": 0.6, "family": 0.5})
-    return x.withColumn("assigned_rank", rank).withColumn("right", F.when(F.col("assigned_rank") == "species", F.col("right_species")).when(F.col("assigned_rank") != "no_call", F.col("right_genus")))
+    """Thresholds fitted on the calibration part, method by method, and applied to the evaluation part."""
+    f = _features(spark, d)
+    fit = RP.fitted_policy(f.where("part = 'calibration'"), ["method"], POLICY_TARGETS)
+    return RP.applied_policy(f.where("part = 'evaluation'"), fit, ["method"])
+
+
+def c_policy_thresholds(spark, d):
+    x = RP.fitted_policy(_features(spark, d).where("part = 'calibration'"), ["method"], POLICY_TARGETS)
+    return x.withColumn("threshold", F.round("threshold", 6))
 
 
 def c_deepest_rank(spark, d):
-    return _policy(spark, d).select(*K, "assigned_rank", "right")
+    return _policy(spark, d).select(*K, "target_precision", "assigned_rank", "right")
 
 
 def a_policy_summary(spark, d):
-    x = C.policy_summary(_policy(spark, d), ["method"], "assigned_rank", "right")
+    x = C.policy_summary(_policy(spark, d), ["method", "target_precision"], "assigned_rank", "right")
     return x.withColumn("coverage", F.round("coverage", 6)).withColumn("precision", F.round("precision", 6))
 
 
+def a_rank_hits(spark, d):
+    """Top-k hit rates at four ranks."""
+    x = RP.rank_hits(_ranked(spark, d), K, ["method"], [1, 3, 5])
+    return x.select("method", "rank", F.col("k").cast("long").alias("k"), "n_queries", F.round("hit_rate", 6).alias("hit_rate"))
+
+
+def a_rank_consensus(spark, d):
+    """Agreement of the candidates with the first one at four ranks."""
+    return _features(spark, d).select(*K, *[c for r in RANKS for c in (F.col(f"first_{r}"), F.round(f"{r}_consensus", 6).alias(f"{r}_consensus"), F.col(f"right_{r}"))])
+
+
 def a_coverage_curve(spark, d):
     x = C.coverage_curve(_first(spark, d), ["method"], "candidate_score", "right_genus", ["sample_id", "query_processid"], POINTS)
     return x.select("method", "coverage", "n_accepted", F.round("accuracy", 6).alias("accuracy"))
@@ -155,8 +188,9 @@ def c_backoff(spark, d):
 
 
 def c_source_agreement(spark, d):
-    t = _first(spark, d).where("sample_id is not null and query_processid is not null")
-    one = lambda m, p: t.where(F.col("method") == m).select("sample_id", "query_processid", F.col("candidate_tree_label").alias(f"{p}_species"), F.col("genus").alias(f"{p}_genus"), F.lit(None).cast("string").alias(f"{p}_family"), F.lit(None).cast("string").alias(f"{p}_order"))
+    """Deepest rank at which the first candidates of two methods agree."""
+    t = _features(spark, d).where("sample_id is not null and query_processid is not null")
+    one = lambda m, p: t.where(F.col("method") == m).select("sample_id", "query_processid", *[F.col(f"first_{r}").alias(f"{p}_{r}") for r in RANKS])
     j = one("ssm_plain", "a").join(one("kmer_rls", "b"), ["sample_id", "query_processid"], "full")
     return j.withColumn("rank", C.agreeing_rank(j, "a", "b")).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
 
@@ -168,8 +202,8 @@ def c_set_valued(spark, d):
 
 def c_reason_codes(spark, d):
     x = _policy(spark, d)
-    codes = C.reason_codes([("species_supported", F.col("assigned_rank") == "species"), ("genus_supported", F.col("assigned_rank").isin("species", "genus")), ("genus_ambiguous", F.col("genus_consensus") < 0.8), ("low_score", F.col("candidate_score") < 0.5), ("no_second", F.col("relative_margin").isNull())])
-    return x.withColumn("reasons", codes).groupBy("method", "reasons").agg(F.count(F.lit(1)).alias("n"))
+    codes = C.reason_codes([("species_supported", F.col("assigned_rank") == "species"), ("genus_supported", F.col("assigned_rank").isin("species", "genus")), ("genus_ambiguous", F.col("genus_consensus") < 0.8), ("low_score", F.col("top_score") < 0.5), ("no_second", F.col("relative_margin").isNull())])
+    return x.withColumn("reasons", codes).groupBy("method", "target_precision", "reasons").agg(F.count(F.lit(1)).alias("n"))
 
 
 def t_rerank_window(spark, d):
@@ -266,11 +300,35 @@ _ECO = "eco_phylo_candidate_features_top5"
 _CONS = f"""cs AS (SELECT {_KS}, max(fg) AS top_genus, count(*) FILTER (genus = fg) / count(genus) AS genus_consensus, count(DISTINCT genus) AS genus_unique
     FROM (SELECT *, max(CASE WHEN place = 1 THEN genus END) OVER (PARTITION BY {_KS}) AS fg FROM t) GROUP BY ALL)"""
 _MARG = f"mg AS (SELECT {_KS}, max(s) FILTER (place = 1) AS s1, max(s) FILTER (place = 2) AS s2, max(s) FILTER (place = 5) AS s5 FROM t GROUP BY ALL)"
-_POL = f"""{_T}, {_CONS}, {_MARG}, pj AS (SELECT f.*, genus_consensus, (s1 - s2) / nullif(abs(s1), 0) AS rm FROM f
-        JOIN cs ON f.method = cs.method AND f.sample_id = cs.sample_id AND f.query_processid = cs.query_processid
-        JOIN mg ON f.method = mg.method AND f.sample_id = mg.sample_id AND f.query_processid = mg.query_processid),
-    pr AS (SELECT *, CASE WHEN coalesce(rm >= 0.05, false) THEN 'species' WHEN coalesce(genus_consensus >= 0.6, false) THEN 'genus' WHEN coalesce(s >= 0.5, false) THEN 'family' ELSE 'no_call' END AS assigned_rank FROM pj),
-    pp AS (SELECT *, CASE assigned_rank WHEN 'species' THEN right_species WHEN 'no_call' THEN NULL ELSE right_genus END AS rt FROM pr)"""
+_LIN = """li AS (SELECT tree_label AS l, min(genus_name) AS g, min(family_name) AS fa, min(order_name) AS o FROM candidate_species WHERE tree_label IS NOT NULL GROUP BY 1)"""
+_RV = f"""{_T}, {_LIN}, rv AS (SELECT t.method, t.sample_id, t.query_processid, t.place, t.s, candidate_tree_label AS v_species, coalesce(a.g, genus) AS v_genus, a.fa AS v_family, a.o AS v_order,
+        truth AS t_species, coalesce(b.g, true_genus) AS t_genus, b.fa AS t_family, b.o AS t_order FROM t LEFT JOIN li a ON a.l = candidate_tree_label LEFT JOIN li b ON b.l = truth WHERE truth IS NOT NULL)"""
+_PART = f"pt AS (SELECT {_KS}, min(calibration_split) AS part FROM {_ECO} GROUP BY ALL)"
+_FEAT = (
+    f"{_RV}, {_PART}, ra AS (SELECT *, "
+    + ", ".join(f"max(CASE WHEN place = 1 THEN v_{r} END) OVER (PARTITION BY {_KS}) AS f_{r}" for r in RANKS)
+    + f" FROM rv WHERE place <= 10), rb AS (SELECT {_KS}, max(s) FILTER (place = 1) AS s1, max(s) FILTER (place = 2) AS s2, "
+    + ", ".join(f"max(f_{r}) AS first_{r}, CASE WHEN max(f_{r}) IS NOT NULL THEN count(*) FILTER (v_{r} = f_{r}) / count(v_{r}) END AS c_{r}, CASE WHEN max(t_{r}) IS NOT NULL THEN coalesce(max(f_{r}) = max(t_{r}), false) END AS right_{r}" for r in RANKS)
+    + f""" FROM ra GROUP BY ALL), fe AS (SELECT rb.*, (s1 - s2) / nullif(abs(s1), 0) AS m_species, part FROM rb JOIN pt ON rb.method IS NOT DISTINCT FROM pt.method AND rb.sample_id IS NOT DISTINCT FROM pt.sample_id
+        AND rb.query_processid IS NOT DISTINCT FROM pt.query_processid)"""
+)
+_FIT = (
+    f"{_FEAT}, lo AS ("
+    + " UNION ALL ".join(f"SELECT method, '{r}' AS rank, {'m_species' if r == 'species' else 'c_' + r} AS feature, right_{r} AS ok FROM fe WHERE part = 'calibration' AND right_{r} IS NOT NULL" for r in RANKS)
+    + f"""), lg AS (SELECT method, rank, feature, count(*) AS n1, count(*) FILTER (ok) AS k1 FROM lo WHERE feature IS NOT NULL AND NOT isnan(feature) GROUP BY ALL),
+    lc AS (SELECT method, rank, feature, CAST(sum(n1) OVER w AS BIGINT) AS n, CAST(sum(k1) OVER w AS BIGINT) AS k FROM lg WINDOW w AS (PARTITION BY method, rank ORDER BY feature DESC ROWS UNBOUNDED PRECEDING)),
+    th AS (SELECT method, rank, target_precision, max_by(feature, n) FILTER (k / n >= target_precision) AS threshold, coalesce(max(n) FILTER (k / n >= target_precision), 0) AS n_accepted,
+        coalesce(max_by(k, n) FILTER (k / n >= target_precision), 0) AS n_correct FROM lc, (SELECT unnest({POLICY_TARGETS}::DOUBLE[]) AS target_precision) GROUP BY ALL)"""
+)
+_POL = (
+    f"{_FIT}, pv AS (SELECT method, target_precision, "
+    + ", ".join(f"max(threshold) FILTER (rank = '{r}') AS h_{r}" for r in RANKS)
+    + " FROM th GROUP BY ALL), pr AS (SELECT fe.*, target_precision, CASE "
+    + " ".join(f"WHEN coalesce({'m_species' if r == 'species' else 'c_' + r} >= h_{r}, false) THEN '{r}'" for r in RANKS)
+    + " ELSE 'no_call' END AS assigned_rank FROM fe JOIN pv ON fe.method = pv.method WHERE part = 'evaluation'), pp AS (SELECT *, CASE assigned_rank "
+    + " ".join(f"WHEN '{r}' THEN right_{r}" for r in RANKS)
+    + " END AS rt FROM pr)"
+)
 _CURVE = """g AS (SELECT method, s AS confidence, count(*) AS n1, count(*) FILTER (right_genus) AS k1 FROM f GROUP BY ALL),
     c AS (SELECT method, confidence, CAST(sum(n1) OVER w AS BIGINT) AS n, CAST(sum(k1) OVER w AS BIGINT) AS k FROM g WINDOW w AS (PARTITION BY method ORDER BY confidence DESC ROWS UNBOUNDED PRECEDING))"""
 _TG = f"(SELECT unnest({TARGETS}::DOUBLE[]) AS target_precision)"
@@ -313,10 +371,15 @@ ORACLE = {
     "c_fit_wilson": _fit(f"greatest(0, {_WL}) >= target_precision AND n >= 10"),
     "c_fit_rowwise": f"""WITH {_T}, c AS (SELECT method, s, count(*) OVER w AS n, count(*) FILTER (right_species) OVER w AS k FROM f WINDOW w AS (PARTITION BY method ORDER BY s DESC, sample_id NULLS FIRST, query_processid NULLS FIRST ROWS UNBOUNDED PRECEDING)),
         j AS (SELECT * FROM c, {_TG}) SELECT method, target_precision, max_by(s, n) FILTER (k / n >= target_precision) AS threshold, coalesce(max(n) FILTER (k / n >= target_precision), 0) AS n_accepted FROM j GROUP BY ALL""",
-    "c_deepest_rank": f"WITH {_POL} SELECT {_KS}, assigned_rank, rt AS right FROM pp",
-    "a_policy_summary": f"""WITH {_POL} SELECT method, count(*) AS n_queries, count(*) FILTER (assigned_rank <> 'no_call') AS n_assigned, round(avg(CASE WHEN assigned_rank <> 'no_call' THEN 1 ELSE 0 END), 6) AS coverage,
+    "c_deepest_rank": f"WITH {_POL} SELECT {_KS}, target_precision, assigned_rank, rt AS right FROM pp",
+    "c_policy_thresholds": f"WITH {_FIT} SELECT method, rank, target_precision, round(threshold, 6) AS threshold, n_accepted, n_correct FROM th",
+    "a_rank_hits": f"""WITH {_RV}, h AS ("""
+    + " UNION ALL ".join(f"SELECT method, sample_id, query_processid, '{r}' AS rank, coalesce(min(place) FILTER (v_{r} = t_{r}), 1000000) AS h FROM rv GROUP BY ALL" for r in RANKS)
+    + """) SELECT method, rank, k, count(*) AS n_queries, round(avg(CASE WHEN h <= k THEN 1 ELSE 0 END), 6) AS hit_rate FROM h, (SELECT unnest([1, 3, 5]::BIGINT[]) AS k) GROUP BY ALL""",
+    "a_rank_consensus": f"WITH {_FEAT} SELECT {_KS}, " + ", ".join(f"first_{r}, round(c_{r}, 6) AS {r}_consensus, right_{r}" for r in RANKS) + " FROM fe",
+    "a_policy_summary": f"""WITH {_POL} SELECT method, target_precision, count(*) AS n_queries, count(*) FILTER (assigned_rank <> 'no_call') AS n_assigned, round(avg(CASE WHEN assigned_rank <> 'no_call' THEN 1 ELSE 0 END), 6) AS coverage,
         round(avg(CASE WHEN assigned_rank <> 'no_call' THEN CAST(rt AS INT) END), 6) AS precision, count(*) FILTER (assigned_rank = 'species' AND NOT rt) AS n_false_species,
-        count(*) FILTER (assigned_rank = 'species') AS n_species, count(*) FILTER (assigned_rank = 'genus') AS n_genus, count(*) FILTER (assigned_rank = 'family') AS n_family, count(*) FILTER (assigned_rank = 'order') AS n_order FROM pp GROUP BY method""",
+        count(*) FILTER (assigned_rank = 'species') AS n_species, count(*) FILTER (assigned_rank = 'genus') AS n_genus, count(*) FILTER (assigned_rank = 'family') AS n_family, count(*) FILTER (assigned_rank = 'order') AS n_order FROM pp GROUP BY method, target_precision""",
     "a_coverage_curve": f"""WITH {_T}, r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY s DESC, sample_id NULLS FIRST, query_processid NULLS FIRST) AS rr, count(*) OVER (PARTITION BY method) AS nn FROM f),
         j AS (SELECT * FROM r, (SELECT unnest({POINTS}::DOUBLE[]) AS coverage)) SELECT method, coverage, count(*) AS n_accepted, round(avg(CAST(right_genus AS INT)), 6) AS accuracy FROM j
         WHERE rr <= greatest(1, CAST(round_even(nn * coverage, 0) AS BIGINT)) GROUP BY ALL""",
@@ -332,14 +395,14 @@ ORACLE = {
         SELECT CASE WHEN u < 0.5 THEN 'fit' WHEN u < 0.75 THEN 'threshold' ELSE 'evaluation' END AS part, count(*) AS n FROM u GROUP BY ALL""",
     "c_backoff": f"""WITH {_T}, c AS (SELECT method, sample_id, query_processid, 0 AS l, 'species' AS rank, candidate_tree_label AS call, s FROM f WHERE s >= 0.95 UNION ALL SELECT method, sample_id, query_processid, 1, 'genus', genus, s FROM f WHERE s >= 0.7)
         SELECT sample_id, query_processid, rank, call FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, query_processid ORDER BY l, s DESC, call) AS rr FROM c WHERE sample_id IS NOT NULL AND query_processid IS NOT NULL) WHERE rr = 1""",
-    "c_source_agreement": f"""WITH {_T}, x AS (SELECT * FROM f WHERE method = 'ssm_plain' AND sample_id IS NOT NULL AND query_processid IS NOT NULL), y AS (SELECT * FROM f WHERE method = 'kmer_rls' AND sample_id IS NOT NULL AND query_processid IS NOT NULL)
-        SELECT CASE WHEN x.candidate_tree_label = y.candidate_tree_label THEN 'species' WHEN x.genus = y.genus THEN 'genus' ELSE 'no_call' END AS rank, count(*) AS n
+    "c_source_agreement": f"""WITH {_FEAT}, x AS (SELECT * FROM fe WHERE method = 'ssm_plain' AND sample_id IS NOT NULL AND query_processid IS NOT NULL), y AS (SELECT * FROM fe WHERE method = 'kmer_rls' AND sample_id IS NOT NULL AND query_processid IS NOT NULL)
+        SELECT CASE WHEN x.first_species = y.first_species THEN 'species' WHEN x.first_genus = y.first_genus THEN 'genus' WHEN x.first_family = y.first_family THEN 'family' WHEN x.first_order = y.first_order THEN 'order' ELSE 'no_call' END AS rank, count(*) AS n
         FROM x FULL JOIN y ON x.sample_id = y.sample_id AND x.query_processid = y.query_processid GROUP BY ALL""",
     "c_set_valued": f"""WITH {_T}, h AS (SELECT {_KS}, min(place) FILTER (candidate_tree_label = truth) AS h, count(*) AS n FROM t WHERE truth IS NOT NULL GROUP BY ALL),
         g AS (SELECT method, size, avg(CASE WHEN coalesce(h, 1000000) <= size THEN 1 ELSE 0 END) AS coverage, avg(least(n, size)) AS mean_size FROM h, (SELECT unnest([1, 2, 3, 4, 5]) AS size) GROUP BY ALL)
         SELECT method, CAST(size AS BIGINT) AS size, round(coverage, 6) AS coverage, round(mean_size, 6) AS mean_size FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY mean_size, coverage DESC, size) AS rr FROM g WHERE coverage >= 0.5) WHERE rr = 1""",
-    "c_reason_codes": f"""WITH {_POL} SELECT method, coalesce(array_to_string([CASE WHEN assigned_rank = 'species' THEN 'species_supported' END, CASE WHEN assigned_rank IN ('species', 'genus') THEN 'genus_supported' END,
-        CASE WHEN genus_consensus < 0.8 THEN 'genus_ambiguous' END, CASE WHEN s < 0.5 THEN 'low_score' END, CASE WHEN rm IS NULL THEN 'no_second' END], ';'), '') AS reasons, count(*) AS n FROM pp GROUP BY ALL""",
+    "c_reason_codes": f"""WITH {_POL} SELECT method, target_precision, coalesce(array_to_string([CASE WHEN assigned_rank = 'species' THEN 'species_supported' END, CASE WHEN assigned_rank IN ('species', 'genus') THEN 'genus_supported' END,
+        CASE WHEN c_genus < 0.8 THEN 'genus_ambiguous' END, CASE WHEN s1 < 0.5 THEN 'low_score' END, CASE WHEN m_species IS NULL THEN 'no_second' END], ';'), '') AS reasons, count(*) AS n FROM pp GROUP BY ALL""",
     "t_rerank_window": f"""WITH {_T}, e AS (SELECT {_KS}, candidate_tree_label, max(blast_candidate_pident) AS p FROM {_ECO} WHERE blast_candidate_pident IS NOT NULL GROUP BY ALL),
         j AS (SELECT t.*, 100 - {_F1.format('p')} AS d FROM t LEFT JOIN e ON t.method = e.method AND t.sample_id = e.sample_id AND t.query_processid = e.query_processid AND t.candidate_tree_label = e.candidate_tree_label)
         SELECT {_KS}, candidate_tree_label, place, row_number() OVER (PARTITION BY {_KS} ORDER BY place > 3, CASE WHEN place <= 3 THEN coalesce(d, 'infinity'::DOUBLE) END NULLS LAST, place) AS new_place FROM j""",
