@@ -47,6 +47,12 @@ def parse_flag(c: Column | str) -> Column:
     return F.lower(strip(col(c).cast("string"))).isin("true", "1", "yes", "y")
 
 
+def record_key(c: Column | str) -> Column:
+    """One spelling of a record's id: capitals, letters and digits only, without the marker after a full stop; null where nothing is left."""
+    plain = F.regexp_replace(F.regexp_replace(F.upper(col(c)), r"\..*$", ""), r"[^A-Z0-9]", "")
+    return F.when(plain != "", plain)
+
+
 # -- sequences -----------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankforge.functions.exprs import clean_sequence, clean_taxon, count_of, first_value, genus_of_label, hash_fraction, n_fraction, tree_label
+from rankforge.operators.ordering import running_sums
 from rankforge.runtime import keep
 
 
@@ -65,11 +66,13 @@ def conflict_audit(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
 
     A null key is a group. Counted distinct values are not null.
     """
-    g = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.countDistinct(f).alias(f) for f in fields])
+    # the key may be a whole sequence: its digest is as good and short
+    several = [(F.min(f) != F.max(f)).alias(f) for f in fields]
+    g = df.groupBy(F.md5(F.col(key).cast("string")).alias("__k")).agg(F.count(F.lit(1)).alias("n"), *several)
     return g.agg(
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_in_duplicate_groups"),
         F.count(F.when(F.col("n") > 1, 1)).alias("duplicate_groups"),
-        *[F.count(F.when(F.col(f) > 1, 1)).alias(f"groups_with_several_{f}") for f in fields],
+        *[F.count(F.when(F.col(f), 1)).alias(f"groups_with_several_{f}") for f in fields],
     )
 
 
@@ -150,9 +153,9 @@ def held_out_members(df: DataFrame, group: str, member: str, per_group: int, sal
 def stratified_split(df: DataFrame, key: str, stratum: str, shares: dict[str, float], salt: str) -> DataFrame:
     """(key, stratum, split): within each stratum, keys in hash order are cut at the shares' running sums."""
     one = df.where(F.col(key).isNotNull() & F.col(stratum).isNotNull()).groupBy(key).agg(F.min(stratum).alias(stratum))
-    w = Window.partitionBy(stratum).orderBy(hash_fraction(key, salt), key)
-    pos = (F.row_number().over(w) - 1) / F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    one = one.withColumn("__p", pos)
+    r = running_sums(one.select(key, stratum, F.struct(hash_fraction(key, salt).alias("h"), F.col(key).alias("k")).alias("__o"), F.lit(1).alias("n")), [stratum], "__o", ["n"])
+    size = one.groupBy(F.col(stratum).alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    one = r.join(size, F.col(stratum) == F.col("__s")).withColumn("__p", (F.col("run_n") - 1) / F.col("__n"))
     out, at = F.lit(list(shares)[-1]), 0.0
     cuts = []
     for name, share in list(shares.items())[:-1]:
@@ -177,10 +180,11 @@ def hidden_reference(candidates: DataFrame, queries: DataFrame, rank: str) -> Da
 
 def exact_cluster_support(df: DataFrame, key: str, ranks: Sequence[str]) -> DataFrame:
     """(key, n_rows, supported_rank) of groups of equal sequence: the deepest rank with exactly one value that is not null."""
-    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), *[F.countDistinct(r).alias(r) for r in ranks])
+    # exactly one value: the least is the greatest
+    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), *[(F.min(r) == F.max(r)).alias(r) for r in ranks])
     out = F.lit("unresolved")
     for r in reversed(list(ranks)):
-        out = F.when(F.col(r) == 1, r.removesuffix("_name")).otherwise(out)
+        out = F.when(F.col(r), r.removesuffix("_name")).otherwise(out)
     return g.select(key, "n_rows", out.alias("supported_rank"))
 
 

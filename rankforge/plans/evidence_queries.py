@@ -13,7 +13,7 @@ from rankforge.operators import retrieval as V
 from rankforge.operators import statistics as S
 from rankforge.operators import trees as T
 from rankforge.plans.candidate_queries import K, _eco, _first, _T, _top
-from rankforge.plans.record_queries import TR, UN, _clean
+from rankforge.plans.record_queries import TR, _clean, _every_split, led
 from rankforge.runtime import keep, table
 from rankforge.sources.formats import manifest
 
@@ -25,58 +25,28 @@ LENGTHS = [3.0, 2.0, 1.5, 1.0]
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0")
-
-
-def _all_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A twentieth as queries, every row as the catalogue."""
+    """The query set, ids divisible by 20, and every row as the catalogue."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     return e.where("vec_id % 20 = 0"), e
 
 
 def r_cosine_topk(spark, d):
-    q, c = _vectors(spark, d)
-    return _places(V.cosine_topk(q, c, 10))
-
-
-def r_cosine_topk_all(spark, d):
     """Against every row but the query's own."""
-    q, c = _all_vectors(spark, d)
-    return _places(V.cosine_topk(q, c, 10, own=False))
-
-
-def _places(n: DataFrame) -> DataFrame:
-    return n.select("query_id", "place", "candidate_id", F.round("score", 4).alias("score"))
+    q, c = _vectors(spark, d)
+    return V.cosine_topk(q, c, 10, own=False).select("query_id", "place", "candidate_id", F.round("score", 4).alias("score"))
 
 
 def r_knn_labels(spark, d):
     """1-nearest-neighbour labels against the true ones."""
     q, c = _vectors(spark, d)
-    return _label_counts(spark, d, V.cosine_topk(q, c, 1))
-
-
-def r_knn_labels_all(spark, d):
-    """As r_knn_labels, against every row but the query's own."""
-    q, c = _all_vectors(spark, d)
-    return _label_counts(spark, d, V.cosine_topk(q, c, 1, own=False))
-
-
-def _label_counts(spark, d, nearest: DataFrame) -> DataFrame:
     lab = table(spark, d, "embeddings").select("vec_id", "label")
-    n = nearest.join(lab.withColumnRenamed("vec_id", "query_id").withColumnRenamed("label", "truth"), "query_id")
+    n = V.cosine_topk(q, c, 1, own=False).join(lab.withColumnRenamed("vec_id", "query_id").withColumnRenamed("label", "truth"), "query_id")
     n = n.join(lab.withColumnRenamed("vec_id", "candidate_id"), "candidate_id")
     return n.groupBy("truth").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("truth") == F.col("label"), 1)).alias("n_right"))
 
 
 def r_masked(spark, d):
-    """Nearest candidates where those of the query's own label are hidden."""
-    e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    return V.cosine_topk(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 <> 0"), 1).select("query_id", "candidate_id")
-
-
-def r_masked_all(spark, d):
-    """As r_masked, against every row."""
+    """Nearest candidates of all rows where those of the query's own label are hidden."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
     return V.cosine_topk(e.where("vec_id % 20 = 0"), e, 1, own=False).select("query_id", "candidate_id")
 
@@ -92,9 +62,10 @@ def r_nearest_prototype(spark, d):
     return n.select("vec_id", F.col("label").cast("long").alias("label"))
 
 
-def r_lsh_recall(spark, d):
-    q, c = _all_vectors(spark, d)
-    return V.recall_at(V.lsh_topk(q, c, 10, own=False), V.cosine_topk(q, c, 10, own=False))
+def r_cell_recall(spark, d):
+    """Recall at 10 of the index of cells, every row indexed, against the exact search."""
+    q, c = _vectors(spark, d)
+    return V.recall_at(V.cell_topk(q, c, 10, own=False), V.cosine_topk(q, c, 10, own=False))
 
 
 def _species_hits(spark, d, idf: bool) -> DataFrame:
@@ -112,11 +83,6 @@ def r_tfidf(spark, d):
     return _species_hits(spark, d, True)
 
 
-def j_kmer_blocking(spark, d):
-    q = _clean(spark, d, "unseen").where("seq_len >= 500").groupBy(F.col("processid").alias("id")).agg(F.max("nucleotides").alias("s"))
-    return V.rare_kmer_pairs(V.kmer_profile(q, "id", "s", 12), 4)
-
-
 def _barcodes(spark, d):
     return _clean(spark, d).select(F.col("processid").alias("id"), F.col("nucleotides").alias("s"))
 
@@ -145,15 +111,13 @@ def r_random_control(spark, d):
 
 
 def q_ungapped(spark, d):
-    x = _clean(spark, d, "unseen").where("genus_name is not null").groupBy("genus_name", "processid").agg(F.max("nucleotides").alias("s"))
-    lead = x.groupBy("genus_name").agg(F.min("processid").alias("lead_id"), F.min_by("s", "processid").alias("lead"))
-    return x.join(lead, "genus_name").where("processid <> lead_id").select("processid", "lead_id", best_ungapped("s", "lead").alias("b")).select("processid", "lead_id", "b.*")
+    """Each record laid without gaps on the smallest processid of its genus."""
+    return led(_every_split(spark, d), "genus_name").select("processid", "lead_id", best_ungapped("s", "lead").alias("b")).select("processid", "lead_id", "b.*")
 
 
 def q_edit_identity(spark, d):
-    x = table(spark, d, "zero_shot_queries").where("genus_name is not null and nucleotides is not null").groupBy("genus_name", "processid").agg(F.max("nucleotides").alias("s"))
-    lead = x.groupBy("genus_name").agg(F.min("processid").alias("lead_id"), F.min_by("s", "processid").alias("lead"))
-    return x.join(lead, "genus_name").where("processid <> lead_id").select("processid", "lead_id", edit_identity("s", "lead").alias("identity"))
+    x = table(spark, d, "zero_shot_queries").where("genus_name is not null and nucleotides is not null")
+    return led(x, "genus_name").select("processid", "lead_id", edit_identity("s", "lead").alias("identity"))
 
 
 # -- samples, sites, priors ----------------------------------------------------------------------
@@ -198,11 +162,6 @@ def e_geo_rerank(spark, d):
 
 
 def e_cooccurrence(spark, d):
-    t = _top(spark, d).where("method = 'ssm_plain'")
-    return P.shared_support(t, "sample_id", "query_processid", "candidate_tree_label")
-
-
-def e_cooccurrence_all(spark, d):
     """Support within each of the methods."""
     return P.shared_support(_top(spark, d), "sample_id", "query_processid", "candidate_tree_label", ["method"])
 
@@ -240,16 +199,7 @@ def g_nearest_reference(spark, d):
 
 
 def g_neighborhood(spark, d):
-    return _neighbourhood(spark, d, _top(spark, d).where("place <= 5 and method = 'ssm_plain'"))
-
-
-def g_neighborhood_all(spark, d):
-    """As g_neighborhood, of every method."""
-    return _neighbourhood(spark, d, _top(spark, d).where("place <= 5"))
-
-
-def _neighbourhood(spark, d, t: DataFrame) -> DataFrame:
-    x = T.neighbourhood(t, K, "candidate_tree_label", _closure(spark, d))
+    x = T.neighbourhood(_top(spark, d).where("place <= 5"), K, "candidate_tree_label", _closure(spark, d))
     return x.select(*K, "n_pairs", "min_distance", F.round("mean_distance", 6).alias("mean_distance"), "max_distance", F.round("mean_to_top", 6).alias("mean_to_top"))
 
 
@@ -289,6 +239,12 @@ def a_cluster_agreement(spark, d):
     return x.select("n", *[F.round(c, 5).alias(c) for c in ("homogeneity", "completeness", "mutual_information", "adjusted_rand")])
 
 
+def a_adjusted_information(spark, d):
+    """Adjusted mutual information of genus and family labels of the training records."""
+    v = S.adjusted_mutual_information(_clean(spark, d), "family_name", "genus_name")
+    return spark.createDataFrame([(v if v is None else round(v, 6),)], "adjusted_mutual_information double")
+
+
 def s_manifest(spark, d):
     return manifest(table(spark, d, "candidate_species")).withColumn("table", F.lit("candidate_species"))
 
@@ -306,7 +262,7 @@ def _dist(pairs: str) -> str:
 
 
 _SIM = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
-_NN = f"""nn AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, a.label AS truth, b.label AS label, {_SIM} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0),
+_NN = f"""nn AS (SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, a.label AS truth, b.label AS label, {_SIM} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
     rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS place FROM nn)"""
 _PROTO = """ex AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), mn AS (SELECT label, i, avg(x::DOUBLE) AS x FROM ex GROUP BY ALL),
     pr AS (SELECT label, list(x ORDER BY i) AS v FROM mn GROUP BY label), pn AS (SELECT label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM pr)"""
@@ -317,13 +273,10 @@ _PRIOR = "pc AS (SELECT site20, true_tree_label, CAST(sum(coalesce(read_count, 0
 ORACLE = {
     "r_cosine_topk": f"WITH {_NN} SELECT query_id, place, candidate_id, round(score, 4) AS score FROM rk WHERE place <= 10",
     "r_knn_labels": f"WITH {_NN} SELECT truth, count(*) AS n, count(*) FILTER (truth = label) AS n_right FROM rk WHERE place = 1 GROUP BY truth",
-    "r_masked": f"WITH {_NN}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS r FROM rk WHERE place <= 200 AND truth <> label) SELECT query_id, candidate_id FROM k WHERE r = 1",
+    "r_masked": f"WITH {_NN}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS r FROM rk WHERE truth <> label) SELECT query_id, candidate_id FROM k WHERE r = 1",
     "r_prototypes": f"WITH {_PROTO} SELECT label, len(v) AS dim, round(v[1], 5) AS first, round(v[len(v)], 5) AS last FROM pn",
     "r_nearest_prototype": f"""WITH {_PROTO}, s AS (SELECT e.vec_id, p.label, list_dot_product(e.embedding::DOUBLE[], p.v) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS score FROM embeddings e, pn p)
         SELECT vec_id, CAST(label AS BIGINT) AS label FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS r FROM s) WHERE r = 1""",
-    "j_kmer_blocking": f"""WITH q AS (SELECT processid AS id, max(nucleotides) AS s FROM {UN} WHERE seq_len >= 500 GROUP BY processid), k AS (SELECT DISTINCT id, kmer FROM (SELECT id, substr(s, i, 12) AS kmer FROM (SELECT id, s, unnest(range(1, length(s) - 10)) AS i FROM q)) WHERE NOT contains(kmer, 'N')),
-        d AS (SELECT kmer FROM k GROUP BY kmer HAVING count(*) BETWEEN 2 AND 4), s AS (SELECT * FROM k WHERE kmer IN (SELECT kmer FROM d))
-        SELECT a.id AS id_a, b.id AS id_b, count(*) AS n_shared FROM s a JOIN s b ON a.kmer = b.kmer AND a.id < b.id GROUP BY ALL""",
     "r_negative_control": f"""WITH {_T}, la AS (SELECT tree_label, row_number() OVER (ORDER BY tree_label) AS r FROM (SELECT DISTINCT tree_label FROM candidate_species WHERE tree_label IS NOT NULL)), lb AS (SELECT tree_label AS shuffled, row_number() OVER (ORDER BY sha1('control-1' || tree_label), tree_label) AS r FROM (SELECT DISTINCT tree_label FROM candidate_species WHERE tree_label IS NOT NULL)),
         m AS (SELECT tree_label, shuffled FROM la JOIN lb USING (r)) SELECT method, count(*) AS n, count(*) FILTER (shuffled = truth) AS n_right FROM f JOIN m ON candidate_tree_label = tree_label GROUP BY method""",
     "a_presence": """SELECT sample_id, true_tree_label, CAST(coalesce(sum(read_count), 0) AS BIGINT) AS read_count, CAST(coalesce(sum(asv_count), 0) AS BIGINT) AS asv_count, count(*) AS n_rows,
@@ -340,8 +293,8 @@ ORACLE = {
     "e_geo_rerank": f"""WITH {_T}, {_PRIOR}, si AS (SELECT sample_id, min(site20) AS site20 FROM sample_query_map WHERE site20 IS NOT NULL GROUP BY sample_id)
         SELECT method, t.sample_id, query_processid, candidate_tree_label, round(s + 0.05 * ln(1 + greatest(coalesce(occurrence_count, 0), 0)) - CASE WHEN coalesce(occurrence_count, 0) <= 0 THEN 0.03 ELSE 0 END, 6) AS combined_score
         FROM t LEFT JOIN si ON t.sample_id = si.sample_id LEFT JOIN pc ON si.site20 = pc.site20 AND t.candidate_tree_label = pc.true_tree_label""",
-    "e_cooccurrence": f"""WITH {_T}, o AS (SELECT DISTINCT sample_id, query_processid, candidate_tree_label FROM t WHERE method = 'ssm_plain'), n AS (SELECT sample_id, candidate_tree_label, count(*) AS n FROM o GROUP BY ALL)
-        SELECT o.sample_id, query_processid, o.candidate_tree_label, n - 1 AS support FROM o JOIN n ON o.sample_id = n.sample_id AND o.candidate_tree_label = n.candidate_tree_label""",
+    "e_cooccurrence": f"""WITH {_T}, o AS (SELECT DISTINCT method, sample_id, query_processid, candidate_tree_label FROM t), n AS (SELECT method, sample_id, candidate_tree_label, count(*) AS n FROM o GROUP BY ALL)
+        SELECT o.method, o.sample_id, query_processid, o.candidate_tree_label, n - 1 AS support FROM o JOIN n ON o.method = n.method AND o.sample_id = n.sample_id AND o.candidate_tree_label = n.candidate_tree_label""",
     "e_overlap_audit": """WITH x AS (SELECT DISTINCT true_tree_label AS l FROM sample_query_map WHERE true_tree_label IS NOT NULL), r AS (SELECT tree_label AS l, max(coalesce(has_reference_sequence, false)) AS f FROM candidate_species WHERE tree_label IS NOT NULL GROUP BY tree_label)
         SELECT count(*) AS n_labels, count(f) AS n_listed, count(*) FILTER (f) AS n_with_reference FROM x LEFT JOIN r USING (l)""",
     "a_lineage_rollup": f"""WITH {_T}, g AS (SELECT candidate_tree_label, count(*) AS n, avg(s) AS v FROM t WHERE place = 1 GROUP BY ALL), j AS (SELECT g.*, order_name, family_name, genus_from_label AS genus_name FROM g JOIN candidate_species c ON c.tree_label = candidate_tree_label),
@@ -352,7 +305,7 @@ ORACLE = {
     "g_nearest_reference": f"""WITH {_CL}, q AS (SELECT DISTINCT tree_label AS a FROM candidate_species WHERE coalesce(has_reference_sequence, false) = false), r AS (SELECT DISTINCT tree_label AS b FROM candidate_species WHERE has_reference_sequence),
         m AS (SELECT a, b, max(x.depth) AS m FROM q JOIN cl x ON x.tip = a JOIN cl y ON y.ancestor = x.ancestor JOIN r ON r.b = y.tip GROUP BY ALL)
         SELECT a AS tree_label, b AS nearest, CAST(15.0 - 2 * m AS DOUBLE) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY m DESC, b) AS rr FROM m) WHERE rr = 1""",
-    "g_neighborhood": f"""WITH {_T}, {_CL}, tt AS (SELECT * FROM t WHERE place <= 5 AND method = 'ssm_plain'), pairs AS (SELECT x.method, x.sample_id, x.query_processid, x.candidate_tree_label AS a, y.candidate_tree_label AS b, x.place AS pa FROM tt x JOIN tt y
+    "g_neighborhood": f"""WITH {_T}, {_CL}, tt AS (SELECT * FROM t WHERE place <= 5), pairs AS (SELECT x.method, x.sample_id, x.query_processid, x.candidate_tree_label AS a, y.candidate_tree_label AS b, x.place AS pa FROM tt x JOIN tt y
             ON x.method = y.method AND x.sample_id = y.sample_id AND x.query_processid = y.query_processid AND x.place < y.place), {_dist('pairs')}
         SELECT method, sample_id, query_processid, count(distance) AS n_pairs, min(distance) AS min_distance, round(avg(distance), 6) AS mean_distance, max(distance) AS max_distance, round(avg(distance) FILTER (pa = 1), 6) AS mean_to_top
         FROM pairs p JOIN dd ON p.a = dd.a AND p.b = dd.b GROUP BY ALL""",

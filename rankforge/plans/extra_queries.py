@@ -27,14 +27,6 @@ def p_gates(spark, d):
 
 
 def w_equal_bins(spark, d):
-    """Five bins of equal count by score, ties in the order of the keys."""
-    f = _first(spark, d).where("method = 'ssm_plain'")
-    p = keep(global_places(f, ["candidate_score", "sample_id", "query_processid"]))
-    b = p.withColumn("bin", F.floor((F.col("place") - 1) * 5 / F.lit(float(max(p.count(), 1)))).cast("long"))
-    return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("right_genus"), 1)).alias("n_right"))
-
-
-def w_equal_bins_all(spark, d):
     """Five bins of equal count by score within each method, ties in the order of the keys."""
     f = _first(spark, d)
     p = keep(global_places(f, ["method", "candidate_score", "sample_id", "query_processid"]))
@@ -124,8 +116,8 @@ QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and len(k) >
 _CLEANSP = f"(SELECT DISTINCT species_name FROM {TR} WHERE species_name IS NOT NULL)"
 ORACLE = {
     "p_gates": f"SELECT 'all_rows' AS gate, count(*) AS n_rows FROM {_ECO} " + " ".join(f"UNION ALL SELECT '{n}', count(*) FILTER ({_F1.format(c)} >= {t}) FROM {_ECO}" for n, c, t in GATES),
-    "w_equal_bins": f"""WITH {_T}, x AS (SELECT *, (row_number() OVER (ORDER BY s, sample_id NULLS FIRST, query_processid NULLS FIRST) - 1) * 5 / count(*) OVER () AS bb FROM f WHERE method = 'ssm_plain')
-        SELECT CAST(floor(bb) AS BIGINT) AS bin, count(*) AS n, count(*) FILTER (right_genus) AS n_right FROM x GROUP BY ALL""",
+    "w_equal_bins": f"""WITH {_T}, x AS (SELECT *, (row_number() OVER (PARTITION BY method ORDER BY s, sample_id NULLS FIRST, query_processid NULLS FIRST) - 1) * 5 / count(*) OVER (PARTITION BY method) AS bb FROM f)
+        SELECT method, CAST(floor(bb) AS BIGINT) AS bin, count(*) AS n, count(*) FILTER (right_genus) AS n_right FROM x GROUP BY ALL""",
     "b_random_split": f"""WITH p AS (SELECT species_name, (row_number() OVER (ORDER BY CAST(('0x' || substr(sha1('random-1:' || species_name), 1, 12)) AS BIGINT), species_name) - 1) / count(*) OVER () AS p FROM {_CLEANSP})
         SELECT species_name, CASE WHEN p < 0.7::DOUBLE THEN 'train' WHEN p < 0.85::DOUBLE THEN 'validation' ELSE 'test' END AS split FROM p""",
     "a_finite_stats": f"""WITH x AS (SELECT method, {_F1.format('blast_candidate_pident')} AS v FROM {_ECO}) SELECT method, count(v) AS n, min(v) AS least, round(avg(v) + 1e-9::DOUBLE, 5) AS mean, max(v) AS most, round(quantile_cont(v, 0.5) + 1e-9::DOUBLE, 5) AS median FROM x GROUP BY method""",

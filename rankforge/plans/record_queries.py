@@ -53,17 +53,30 @@ def p_lists(spark, d):
     return x.select("processid", F.size("parts").cast("long").alias("n_parts"), F.array_join("parts", "/").alias("parts"))
 
 
+def _every_split(spark, d):
+    """The cleaned records of all splits."""
+    x = None
+    for n in SPLITS:
+        y = _clean(spark, d, n).select("processid", "loaded_at", "nucleotides", "genus_name", "seq_len")
+        x = y if x is None else x.unionByName(y)
+    return x
+
+
+def led(rows: DataFrame, group: str) -> DataFrame:
+    """(processid, lead_id, s, lead) of the records of a group but its smallest processid, with that one's sequence; of a record's rows the greatest."""
+    x = rows.where(F.col(group).isNotNull() & F.col("processid").isNotNull()).groupBy(group, "processid").agg(F.max("nucleotides").alias("s"))
+    lead = x.groupBy(group).agg(F.min("processid").alias("lead_id"), F.min_by("s", "processid").alias("lead"))
+    return x.join(lead, group).where("processid <> lead_id").select("processid", "lead_id", "s", "lead")
+
+
 def q_revcomp(spark, d):
-    x = _clean(spark, d, "unseen")
-    return x.select("processid", _us(), X.reverse_complement("nucleotides").alias("reverse_complement"))
+    return _every_split(spark, d).select("processid", _us(), X.reverse_complement("nucleotides").alias("reverse_complement"))
 
 
 def q_pdistance(spark, d):
-    """Distance of each unseen record to the smallest processid of its genus in the table."""
-    x = _clean(spark, d, "unseen").where("seq_len >= 500 and genus_name is not null").groupBy("genus_name", "processid").agg(F.max("nucleotides").alias("s"))
-    lead = x.groupBy("genus_name").agg(F.min("processid").alias("lead_id"), F.min_by("s", "processid").alias("lead"))
-    j = x.join(lead, "genus_name").where("processid <> lead_id")
-    return j.select("processid", "lead_id", F.round(X.p_distance("s", "lead"), 6).alias("p_distance"))
+    """Distance of each record to the smallest processid of its genus, place by place of the padded form."""
+    j = led(_every_split(spark, d).where("seq_len > 0").withColumn("nucleotides", X.pad_left("nucleotides")), "genus_name")
+    return j.select("processid", "lead_id", F.round(X.p_distance("s", "lead"), 6).alias("p_distance")).where("p_distance is not null")
 
 
 def a_dup_conflict_audit(spark, d):
@@ -111,8 +124,8 @@ def u_overlap_matrix(spark, d):
 
 
 def b_leak_audit(spark, d):
-    """Overlap of processids over all splits and the query table."""
-    return R.split_overlaps({n: table(spark, d, n) for n in [*SPLITS, "zero_shot_queries"]}, "processid")
+    """Overlap of processids, however they are written, over all splits and the query table."""
+    return R.split_overlaps({n: table(spark, d, n).select(X.record_key("processid").alias("k")) for n in [*SPLITS, "zero_shot_queries"]}, "k")
 
 
 def u_union_sources(spark, d):
@@ -124,11 +137,7 @@ def u_union_sources(spark, d):
 
 
 def b_unseen_genera(spark, d):
-    return R.unseen_groups(_clean(spark, d), "genus_name", "species_name", 2, 50, 20, "genera-1")
-
-
-def b_unseen_genera_share(spark, d):
-    """Genera held out as the reference does: without the genera of most rows, max(20, a share) of the candidates."""
+    """Genera held out: not among the 50 of most rows, of 2 to 50 species, max(20, a tenth) of such by hash."""
     return R.unseen_groups_by_share(_clean(spark, d), "genus_name", "species_name", 2, 50, 50, 0.1, "genera-1")
 
 
@@ -228,8 +237,8 @@ ORACLE = {
     "p_lists": """WITH x AS (SELECT processid, CASE WHEN eventid IS NULL OR lower(trim(eventid)) IN ('', 'na', 'nan', 'none', 'unclassified') THEN []
             ELSE list_filter(string_split(replace(eventid, ':', '|'), '|'), lambda y: trim(y) <> '') END AS l FROM zero_shot_queries)
         SELECT processid, len(l) AS n_parts, coalesce(array_to_string(list_transform(l, lambda y: trim(y)), '/'), '') AS parts FROM x""",
-    "q_revcomp": f"SELECT processid, epoch_us(loaded_at) AS loaded_us, translate(reverse(nucleotides), 'ACGT', 'TGCA') AS reverse_complement FROM {UN}",
-    "q_pdistance": f"""WITH x AS (SELECT genus_name, processid, max(nucleotides) AS s FROM {UN} WHERE seq_len >= 500 AND genus_name IS NOT NULL GROUP BY ALL),
+    "q_revcomp": f"WITH x AS (SELECT * FROM {TR} UNION ALL SELECT * FROM {EV} UNION ALL SELECT * FROM {UN}) SELECT processid, epoch_us(loaded_at) AS loaded_us, translate(reverse(nucleotides), 'ACGT', 'TGCA') AS reverse_complement FROM x",
+    "q_pdistance": f"""WITH a AS (SELECT * FROM {TR} UNION ALL SELECT * FROM {EV} UNION ALL SELECT * FROM {UN}), x AS (SELECT genus_name, processid, max(lpad(nucleotides, 660, 'N')) AS s FROM a WHERE seq_len > 0 AND genus_name IS NOT NULL AND processid IS NOT NULL GROUP BY ALL),
         l AS (SELECT genus_name, min(processid) AS lead_id, min_by(s, processid) AS lead FROM x GROUP BY genus_name),
         p AS (SELECT x.processid, lead_id, unnest(range(1, least(length(s), length(lead)) + 1)) AS i, s, lead FROM x JOIN l USING (genus_name) WHERE x.processid <> lead_id),
         c AS (SELECT processid, lead_id, substr(s, i, 1) AS a, substr(lead, i, 1) AS b FROM p)
@@ -260,12 +269,12 @@ ORACLE = {
     "u_overlap_matrix": f"""WITH t AS (SELECT DISTINCT 'supervised_train' AS split, nucleotides AS k FROM {TR} WHERE seq_len >= 300 UNION SELECT 'eval_c_unseen_species', nucleotides FROM {EV} WHERE seq_len >= 300
             UNION SELECT 'unseen', nucleotides FROM {UN} WHERE seq_len >= 300)
         SELECT a.split AS split_a, b.split AS split_b, count(*) AS n_common FROM t a JOIN t b ON a.k = b.k AND a.split < b.split GROUP BY ALL""",
-    "b_leak_audit": """WITH t AS (SELECT 'supervised_train' AS split, processid AS k FROM supervised_train UNION SELECT 'eval_c_unseen_species', processid FROM eval_c_unseen_species
-            UNION SELECT 'unseen', processid FROM unseen UNION SELECT 'zero_shot_queries', processid FROM zero_shot_queries)
+    "b_leak_audit": "WITH t AS (" + " UNION ".join(f"SELECT '{n}' AS split, nullif(regexp_replace(regexp_replace(upper(processid), '\\..*$', ''), '[^A-Z0-9]', '', 'g'), '') AS k FROM {n}" for n in [*SPLITS, "zero_shot_queries"]) + """)
         SELECT a.split AS split_a, b.split AS split_b, count(*) AS n_common FROM t a JOIN t b ON a.k = b.k AND a.split < b.split GROUP BY ALL""",
     "u_union_sources": " UNION ALL ".join(f"SELECT '{n}' AS split, source, count(*) AS n_rows FROM {q} GROUP BY source" for n, q in zip(SPLITS, (TR, EV, UN))),
-    "b_unseen_genera": f"""SELECT genus_name, count(DISTINCT species_name) AS n_members FROM {TR} WHERE genus_name IS NOT NULL GROUP BY genus_name
-        HAVING count(DISTINCT species_name) BETWEEN 2 AND 50 ORDER BY {_frac('genus_name', 'genera-1')}, genus_name LIMIT 20""",
+    "b_unseen_genera": f"""WITH x AS (SELECT * FROM {TR} WHERE genus_name IS NOT NULL), big AS (SELECT genus_name FROM x GROUP BY genus_name ORDER BY count(*) DESC, genus_name LIMIT 50),
+        c AS (SELECT genus_name, count(DISTINCT species_name) AS n_members FROM x WHERE genus_name NOT IN (SELECT genus_name FROM big) GROUP BY genus_name HAVING count(DISTINCT species_name) BETWEEN 2 AND 50),
+        r AS (SELECT *, row_number() OVER (ORDER BY {_frac('genus_name', 'genera-1')}, genus_name) AS r, count(*) OVER () AS n FROM c) SELECT genus_name, n_members FROM r WHERE r <= greatest(20, CAST(floor(n * 0.1) AS BIGINT))""",
     "b_unseen_species": f"""WITH p AS (SELECT DISTINCT genus_name, species_name FROM {TR} WHERE genus_name IS NOT NULL AND species_name IS NOT NULL)
         SELECT genus_name, species_name FROM (SELECT *, row_number() OVER (PARTITION BY genus_name ORDER BY {_frac('species_name', 'species-1')}, species_name) AS r,
             count(*) OVER (PARTITION BY genus_name) AS n FROM p) WHERE r <= least(2, n - 1)""",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable
 from typing import Any
@@ -21,7 +22,7 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only in a local session without the setting."""
+    """The cluster's shared checkpoint folder; in a local session without the setting a temporary one, removed when the driver ends."""
     sc = spark.sparkContext
     own = sc._jsc.sc().getCheckpointDir()
     if own.isDefined():
@@ -30,7 +31,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not shared:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = os.path.join(tempfile.gettempdir(), f"rankforge-checkpoints-{os.getuid()}")
+        shared = tempfile.mkdtemp(prefix="rankforge-checkpoints-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)
     return shared
 
