@@ -56,8 +56,3 @@ def best_ungapped(q: pd.Series, r: pd.Series) -> pd.DataFrame:
 def edit_identity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([infix_identity(x, y) for x, y in zip(a, b)], dtype="float64")
 
-
-def register(spark) -> None:
-    """The functions under their SQL names."""
-    spark.udf.register("best_ungapped", best_ungapped)
-    spark.udf.register("edit_identity", edit_identity)
