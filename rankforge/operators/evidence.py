@@ -37,10 +37,12 @@ def lineage_coverage(listed: DataFrame, levels: dict[str, str], flag: str) -> Da
 def novelty_features(top: DataFrame, keys: Sequence[str], score: str, genus: str, k: int) -> DataFrame:
     """(keys, top_score, margin, modal_share, mean_top, n) over candidates that have a reference: the lead over the second (0 for a single one), the
     share of the most frequent genus, the mean of the first k."""
-    r = ranked(top, keys, [F.asc("place")], name="r")
-    per = r.groupBy(*keys, genus).agg(F.count(F.lit(1)).alias("g"), F.max(F.when(F.col("r") == 1, F.col(score))).alias("s1"), F.max(F.when(F.col("r") == 2, F.col(score))).alias("s2"), F.sum(F.when(F.col("r") <= k, F.col(score))).alias("s"), F.count(F.when(F.col("r") <= k, 1)).alias("m"))
-    g = per.groupBy(*keys).agg(F.max("s1").alias("top_score"), F.max("s2").alias("s2"), F.max(F.when(F.col(genus).isNotNull(), F.col("g"))).alias("mode"), F.sum("g").alias("n"), (F.sum("s") / F.sum("m")).alias("mean_top"))
-    return g.select(*keys, "top_score", F.coalesce(F.col("top_score") - F.col("s2"), F.lit(0.0)).alias("margin"), (F.coalesce("mode", F.lit(0)) / F.col("n")).alias("modal_share"), "mean_top", "n")
+    r = ranked(top.select(*keys, "place", F.col(score).alias("__s"), F.col(genus).alias("__g")), keys, [F.asc("place")], name="__r")
+    first, second, among = F.col("__r") == 1, F.col("__r") == 2, F.col("__r") <= k
+    per = r.groupBy(*keys, "__g").agg(F.count(F.lit(1)).alias("__c"), F.max(F.when(first, F.col("__s"))).alias("__s1"), F.max(F.when(second, F.col("__s"))).alias("__s2"), F.sum(F.when(among, F.col("__s"))).alias("__t"), F.count(F.when(among, 1)).alias("__m"))
+    most = F.max(F.when(F.col("__g").isNotNull(), F.col("__c")))
+    out = per.groupBy(*keys).agg(F.max("__s1").alias("top_score"), F.max("__s2").alias("__s2"), most.alias("__mode"), F.sum("__c").alias("n"), (F.sum("__t") / F.sum("__m")).alias("mean_top"))
+    return out.select(*keys, "top_score", F.coalesce(F.col("top_score") - F.col("__s2"), F.lit(0.0)).alias("margin"), (F.coalesce("__mode", F.lit(0)) / F.col("n")).alias("modal_share"), "mean_top", "n")
 
 
 def gap_targets(top: DataFrame, keys: Sequence[str], label: str, truth: str, references: DataFrame, ref: str) -> DataFrame:
