@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankforge.functions.exprs import clean_taxon
+from rankforge.functions.exprs import clean_taxon, tree_label
 
 #: Columns of tabular hit files, in their order.
 HIT_COLUMNS = "query_id string, ref_id string, pident double, alignment_length int, mismatch int, gapopen int, qstart int, qend int, sstart int, send int, evalue double, bitscore double"
@@ -16,13 +16,16 @@ HIT_COLUMNS = "query_id string, ref_id string, pident double, alignment_length i
 CLUSTER_COLUMNS = "type string, cluster int, length int, pident string, strand string, q1 string, q2 string, cigar string, record_id string, target string"
 #: Names under which query tables give their columns.
 QUERY_ALIASES = {
-    "processid": ("processid", "process_id", "query_id", "sequence_id", "id", "name"),
-    "nucleotides": ("nucleotides", "sequence", "seq", "nuc", "dna"),
+    "processid": ("processid", "process_id", "query_id", "sample_id", "sequence_id", "id", "name"),
+    "nucleotides": ("nucleotides", "sequence", "seq", "barcode", "nuc", "dna"),
+    "tree_label": ("tree_label", "species_tree_label"),
     "species_name": ("species_name", "species", "scientific_name", "scientificname"),
     "genus_name": ("genus_name", "genus"),
     "family_name": ("family_name", "family"),
     "order_name": ("order_name", "order"),
 }
+#: Files of an input pack.
+PACK_FILES = ("species_sequences.json", "train_species_sequences.json", "zero_shot_queries.csv", "candidate_species.csv", "manifest.json")
 
 
 def record_numbers(df: DataFrame, name: str) -> DataFrame:
@@ -66,19 +69,126 @@ def write_fasta(df: DataFrame, path: str, key: str, seq: str, width: int = 80) -
     df.where(F.col(seq).isNotNull()).select(F.concat(F.lit(">"), F.regexp_replace(key, r"\s+", "_"), F.lit("\n"), wrapped).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_queries(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def read_queries(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """A query table whose columns go by any of their known names, in any case.
 
-    Missing columns are null; a missing id is query_ and the record's number, one that comes again gets _2, _3 and so on.
+    Missing columns are null; a missing id is query_ and the record's number, one that comes again gets _2, _3 and so on. A blank
+    tree_label is made from the species.
     """
-    df = spark.read.csv(path, header=True, sep=sep)
+    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding)
     have = {c.lower().strip(): c for c in df.columns}
     out = []
     for name, aliases in QUERY_ALIASES.items():
         hit = next((have[a] for a in aliases if a in have), None)
         out.append((F.col(f"`{hit}`") if hit else F.lit(None)).cast("string").alias(name))
     x = record_numbers(df.select(*out), "n").withColumn("base", F.coalesce(clean_taxon("processid"), F.format_string("query_%06d", "n")))
-    return unique_ids(x, "base", "n").select(F.col("id").alias("processid"), *[c for c in QUERY_ALIASES if c != "processid"])
+    x = unique_ids(x, "base", "n").withColumn("tree_label", F.coalesce(clean_taxon("tree_label"), tree_label("species_name")))
+    return x.select(F.col("id").alias("processid"), *[c for c in QUERY_ALIASES if c != "processid"])
+
+
+def read_zipped_lines(spark: SparkSession, path: str, member: str, encoding: str = "utf-8") -> DataFrame:
+    """(file, line_number, line) of the members of zip archives whose name matches a pattern; an archive is read by one task, line by line."""
+    import fnmatch
+    import io
+    import zipfile
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for raw in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    for name in sorted(n for n in z.namelist() if fnmatch.fnmatch(n, member)):
+                        held: list[tuple] = []
+                        with z.open(name) as f:
+                            for i, line in enumerate(io.TextIOWrapper(f, encoding=encoding), 1):
+                                held.append((name, i, line.rstrip("\r\n")))
+                                if len(held) >= 8192:
+                                    yield pd.DataFrame(held, columns=["file", "line_number", "line"])
+                                    held = []
+                        if held:
+                            yield pd.DataFrame(held, columns=["file", "line_number", "line"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "file string, line_number long, line string")
+
+
+def write_nested_sequences(df: DataFrame, path: str, label: str, seq: str) -> None:
+    """A JSON object a line, from each label to its sequences in order; null labels and sequences are left out."""
+    x = df.where(F.col(label).isNotNull() & F.col(seq).isNotNull()).groupBy(label).agg(F.array_sort(F.collect_list(seq)).alias("s"))
+    x.select(F.to_json(F.create_map(label, "s")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_label_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(tree_label, sequence_index, nucleotides, seq_len) of the lines that write_nested_sequences writes."""
+    doc = spark.read.text(path).select(F.from_json("value", "map<string,array<string>>").alias("m"))
+    x = doc.select(F.explode("m").alias("tree_label", "s")).select("tree_label", F.posexplode("s").alias("sequence_index", "nucleotides"))
+    return x.withColumn("seq_len", F.length("nucleotides"))
+
+
+def write_pack(base: str, reference: DataFrame, queries: DataFrame, listed: DataFrame) -> None:
+    """The five parts of an input pack below `base`: sequences of all and of training labels, queries, candidates, and the manifest of row counts.
+
+    reference has (tree_label, nucleotides, train), queries and listed any columns.
+    """
+    write_nested_sequences(reference, f"{base}/{PACK_FILES[0]}", "tree_label", "nucleotides")
+    write_nested_sequences(reference.where("train"), f"{base}/{PACK_FILES[1]}", "tree_label", "nucleotides")
+    queries.write.mode("overwrite").csv(f"{base}/{PACK_FILES[2]}", header=True)
+    listed.write.mode("overwrite").csv(f"{base}/{PACK_FILES[3]}", header=True)
+    counts = None
+    for name, df in (("species_sequences", reference), ("zero_shot_queries", queries), ("candidate_species", listed)):
+        n = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("part"), "n_rows")
+        counts = n if counts is None else counts.unionByName(n)
+    counts.coalesce(1).write.mode("overwrite").json(f"{base}/{PACK_FILES[4]}")
+
+
+def read_pack(spark: SparkSession, base: str, train_only: bool = False) -> dict[str, DataFrame]:
+    """The parts of an input pack; an error names the parts that lack, and the columns that queries and candidates lack."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    missing = [f for f in PACK_FILES if not fs.exists(path(f"{base}/{f}"))]
+    if missing:
+        raise FileNotFoundError(f"input pack {base} lacks {missing}")
+    csv = lambda f: spark.read.csv(f"{base}/{f}", header=True)
+    return {
+        "species_sequences": read_label_lines(spark, f"{base}/{PACK_FILES[1 if train_only else 0]}"),
+        "zero_shot_queries": require_columns(csv(PACK_FILES[2]), ["processid", "nucleotides"]),
+        "candidate_species": require_columns(csv(PACK_FILES[3]), ["tree_label"]),
+        "manifest": spark.read.json(f"{base}/{PACK_FILES[4]}"),
+    }
+
+
+def write_embeddings(df: DataFrame, path: str, label: str, vector: str, rows: int = 65_536) -> int:
+    """.npz archives of labels and embeddings below `path`, at most `rows` each, written by the executors; the number of files.
+
+    The folder must be one that all executors share. A task that runs again writes its files again under their own names.
+    """
+    import os
+    import re
+
+    local = re.sub(r"^file:(//)?(?=/)", "", path)
+    os.makedirs(local, exist_ok=True)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+        from pyspark import TaskContext
+
+        task, n, held = TaskContext.get().partitionId(), 0, []
+
+        def put(parts: list[pd.DataFrame]) -> None:
+            x = pd.concat(parts, ignore_index=True)
+            np.savez(f"{local}/part-{task:05d}-{n:05d}.npz", labels=x["label"].astype(str).to_numpy(dtype=str), embeddings=np.array(x["v"].tolist(), np.float32))
+
+        for b in batches:
+            if len(b):
+                held.append(b)
+            if sum(map(len, held)) >= rows:
+                put(held)
+                n, held = n + 1, []
+        if held:
+            put(held)
+            n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    small = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
+    return small.mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
@@ -162,10 +272,15 @@ def read_newick(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value").mapInPandas(parse, "file string, " + _NODE)
 
 
-def read_placements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_placements_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """As read_placements, of files with one document a line."""
+    return read_placements(spark, path, False)
+
+
+def read_placements(spark: SparkSession, path: str, whole_files: bool = True) -> tuple[DataFrame, DataFrame]:
     """(placements, nodes) of jplace files: (query, multiplicity, fields as columns) and the tree's nodes with their edges."""
     schema = "tree string, fields array<string>, placements array<struct<p array<array<double>>, n array<string>, nm array<array<string>>>>"
-    doc = spark.read.schema(schema).json(path, multiLine=True)
+    doc = spark.read.schema(schema).json(path, multiLine=whole_files)
     one = doc.select("fields", F.explode("placements").alias("x"))
     names = F.coalesce(F.transform("x.n", lambda n: F.struct(n.alias("query"), F.lit(1.0).alias("multiplicity"))), F.transform("x.nm", lambda m: F.struct(m[0].alias("query"), m[1].cast("double").alias("multiplicity"))))
     flat = one.select("fields", F.explode(names).alias("q"), F.col("x.p").alias("p")).select("fields", "q.*", F.explode("p").alias("v"))
@@ -214,7 +329,7 @@ def read_wide_matrix(spark: SparkSession, path: str, keys: Sequence[str], sep: s
 
 def read_genbank_xml(spark: SparkSession, path: str) -> DataFrame:
     """(processid, organism, nucleotides) of GBSeq records."""
-    df = spark.read.format("xml").option("rowTag", "GBSeq").schema("`GBSeq_accession-version` string, GBSeq_organism string, GBSeq_sequence string").load(path)
+    df = spark.read.format("xml").option("rowTag", "GBSeq").option("ignoreSurroundingSpaces", "false").schema("`GBSeq_accession-version` string, GBSeq_organism string, GBSeq_sequence string").load(path)
     return df.select(F.col("`GBSeq_accession-version`").alias("processid"), F.col("GBSeq_organism").alias("organism"), F.upper("GBSeq_sequence").alias("nucleotides"))
 
 

@@ -71,3 +71,40 @@ def test_stream_counts_equal_the_batch(spark, small, tmp_path):
     got = spark.table("site_counts").agg({"reads": "sum"}).first()[0]
     want = spark.read.parquet(base).where("site20 is not null and sampled_at is not null").agg({"read_count": "sum"}).first()[0]
     assert got == want
+
+
+def test_zip_members_and_encodings(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("in/tax.txt", "a\tGadus\r\nb\tSölea\n".encode("latin-1"))
+        z.writestr("in/other.fasta", ">x\n")
+    got = sorted(map(tuple, S.read_zipped_lines(spark, str(tmp_path / "a.zip"), "*tax.txt", "latin-1").collect()))
+    assert got == [("in/tax.txt", 1, "a\tGadus"), ("in/tax.txt", 2, "b\tSölea")]
+    (tmp_path / "q.csv").write_bytes("Query_ID;Barcode;Species_Tree_Label;Species\nq;AC;;Sölea x\n".encode("latin-1"))
+    r = S.read_queries(spark, str(tmp_path / "q.csv"), ";", "ISO-8859-1").first()
+    assert (r["processid"], r["nucleotides"], r["tree_label"]) == ("q", "AC", "Sölea_x")
+
+
+def test_input_pack_lacks_a_part(spark, tmp_path):
+    import shutil
+
+    import pytest
+
+    ref = spark.createDataFrame([("A_b", "ACGT", True), ("A_b", "AC", False), (None, "A", True)], "tree_label string, nucleotides string, train boolean")
+    q = spark.createDataFrame([("p", "AC")], "processid string, nucleotides string")
+    base = str(tmp_path / "pack")
+    S.write_pack(base, ref, q, spark.createDataFrame([("A_b",)], "tree_label string"))
+    assert sorted(r["nucleotides"] for r in S.read_pack(spark, base)["species_sequences"].collect()) == ["AC", "ACGT"]
+    assert [r["nucleotides"] for r in S.read_pack(spark, base, True)["species_sequences"].collect()] == ["ACGT"]
+    S.write_pack(base, ref, q.withColumnRenamed("nucleotides", "n"), spark.createDataFrame([("A_b",)], "tree_label string"))
+    with pytest.raises(ValueError, match="nucleotides"):
+        S.read_pack(spark, base)
+    shutil.rmtree(f"{base}/manifest.json")
+    with pytest.raises(FileNotFoundError, match="manifest"):
+        S.read_pack(spark, base)
+
+
+def test_genbank_xml(spark, tmp_path):
+    (tmp_path / "g.xml").write_text("<GBSet><GBSeq><GBSeq_accession-version>X1.1</GBSeq_accession-version><GBSeq_organism>Gadus morhua</GBSeq_organism><GBSeq_sequence>acgt</GBSeq_sequence></GBSeq><GBSeq><GBSeq_accession-version>X2</GBSeq_accession-version></GBSeq></GBSet>")
+    assert sorted(map(tuple, S.read_genbank_xml(spark, str(tmp_path / "g.xml")).collect())) == [("X1.1", "Gadus morhua", "ACGT"), ("X2", None, None)]
