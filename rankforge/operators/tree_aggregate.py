@@ -13,19 +13,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a chunk; with more rows there are more chunks, and by their logarithm more rounds.
+CHUNK_ROWS = 65_536
+
+
+def chunks_for(rows: int, chunk_rows: int = CHUNK_ROWS) -> int:
+    """How many chunks of a fixed size the rows fill."""
+    return max(1, math.ceil(rows / chunk_rows))
+
+
 def tree_aggregate(
     df: DataFrame,
     keys: Sequence[str],
     sums: dict[str, Column],
     spread_by: Sequence[str],
-    chunks: int = 256,
+    chunks: int,
     fan_in: int = 16,
 ) -> DataFrame:
     """Sums per key by logarithmic fan-in rounds.
 
     Each row falls into one of `chunks` chunks by the hash of `spread_by` (a hash, not a partition
-    number, so that a task run again gives the same states). The first round combines the chunks
-    of a key on the map side, later rounds merge `fan_in` neighbouring chunks until one is left.
+    number, so that a task run again gives the same states); chunks_for gives the number that makes them of a fixed size. The first
+    round combines the chunks of a key on the map side, later rounds merge `fan_in` neighbouring chunks until one is left.
     Null keys form a group of their own; null summands are ignored, a key whose summands are all
     null has a null sum; an empty input gives no rows.
     """
@@ -46,7 +55,7 @@ def per_value_profile(
     fields: Sequence[str],
     record_id: str = "processid",
     measure: str = "seq_len",
-    chunks: int = 256,
+    chunks: int | None = None,
     fan_in: int = 16,
 ) -> DataFrame:
     """Rows, distinct records and mean of `measure` for each value of each field.
@@ -59,8 +68,8 @@ def per_value_profile(
     Rows are first combined per (field, value, record), whose hash spreads a hot value over all
     tasks; the tree then works on records.
     """
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("key_value")) for f in fields])
-    long = df.select(F.explode(pairs).alias("__p"), F.col(record_id).alias("__rec"), F.col(measure).cast("double").alias("__m"))
+    chunks = chunks or chunks_for(df.count() * len(fields))
+    long = df.select(F.explode(_pairs(fields)).alias("__p"), F.col(record_id).alias("__rec"), F.col(measure).cast("double").alias("__m"))
     per_record = (
         long.select("__p.field", "__p.key_value", "__rec", "__m")
         .groupBy("field", "key_value", "__rec")
@@ -77,6 +86,16 @@ def per_value_profile(
     return merged.select("field", "key_value", "n_rows", "n_records", (F.col("s") / F.when(F.col("c") > 0, F.col("c"))).alias(f"mean_{measure}"))
 
 
+def _pairs(fields: Sequence[str]) -> Column:
+    return F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("key_value")) for f in fields])
+
+
+def value_rows(df: DataFrame, fields: Sequence[str], spread_by: str, total_rows: int, fan_in: int = 16) -> DataFrame:
+    """(field, key_value, n_rows) of each value of each field, by the same tree without the records; only states are shuffled."""
+    long = df.select(F.explode(_pairs(fields)).alias("__p"), F.col(spread_by).alias("__rec")).select("__p.field", "__p.key_value", "__rec")
+    return tree_aggregate(long, ["field", "key_value"], {"n_rows": F.lit(1)}, ["__rec"], chunks_for(total_rows * len(fields)), fan_in)
+
+
 def heavy_values(profile: DataFrame, total_rows: int, share: float) -> DataFrame:
     """Values, not null, that hold at least `share` of `total_rows`; none where there are no rows."""
     least = max(1, math.ceil(total_rows * share - 1e-9))
