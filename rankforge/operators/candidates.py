@@ -248,11 +248,11 @@ def competition_rank(df: DataFrame, keys: Sequence[str], score: str, is_target:
 
 
 def feature_drift(df: DataFrame, cohort: str, baseline: str, features: Sequence[str]) -> DataFrame:
-    """(cohort, feature, n, missing_share, mean, std, delta): delta is the shift of the mean against the baseline cohort in its deviations."""
+    """(cohort, feature, n, missing_share, mean, std, median, p05, p95, delta): delta is the shift of the mean against the baseline cohort in its deviations."""
     long = df.select(cohort, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), finite(f).alias("v")) for f in features])).alias("x")).select(cohort, "x.feature", "x.v")
-    g = long.groupBy(cohort, "feature").agg(F.count(F.lit(1)).alias("n"), (1 - F.count("v") / F.count(F.lit(1))).alias("missing_share"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    g = long.groupBy(cohort, "feature").agg(F.count(F.lit(1)).alias("n"), (1 - F.count("v") / F.count(F.lit(1))).alias("missing_share"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.percentile("v", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95))).alias("q"))
     base = g.where(F.col(cohort) == baseline).select("feature", F.col("mean").alias("bm"), F.col("std").alias("bs"))
-    return g.join(base, "feature", "left").select(cohort, "feature", "n", "missing_share", "mean", "std", ((F.col("mean") - F.col("bm")) / F.nullif("bs", F.lit(0.0))).alias("delta"))
+    return g.join(base, "feature", "left").select(cohort, "feature", "n", "missing_share", "mean", "std", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("p05"), F.get("q", F.lit(2)).alias("p95"), ((F.col("mean") - F.col("bm")) / F.nullif("bs", F.lit(0.0))).alias("delta"))
 
 
 def union_sources(a: Column | str, b: Column | str) -> Column:

@@ -14,7 +14,7 @@ from rankforge.runtime import keep, table
 
 K = list(C.KEYS)
 TARGETS = [0.5, 0.8, 0.9, 0.95]
-POINTS = [0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+POINTS = [0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.0]
 POLICY_TARGETS = [0.5, 0.8, 0.9]
 SWEEP = [0.3, 0.5, 0.7, 0.8, 0.9, 0.95]
 
@@ -45,8 +45,8 @@ def a_consensus(spark, d):
 
 
 def w_margins(spark, d):
-    x = C.margins(_top(spark, d), K, "candidate_score", (2, 5))
-    return x.select(*K, *[F.round(c, 6).alias(c) for c in ("top_score", "margin_1_2", "margin_1_5", "relative_margin")])
+    x = C.margins(_top(spark, d), K, "candidate_score", (2, 5, 10))
+    return x.select(*K, *[F.round(c, 6).alias(c) for c in ("top_score", "margin_1_2", "margin_1_5", "margin_1_10", "relative_margin")])
 
 
 def w_deltas(spark, d):
@@ -164,10 +164,10 @@ def c_threshold_sweep(spark, d):
 
 
 def c_species_disjoint(spark, d):
-    """Thresholds fitted on one half of the true genera, applied to the other, for five draws."""
-    h = C.disjoint_halves(_first(spark, d), "true_genus", 5)
+    """Thresholds fitted on one half of the true genera, applied to the other, for thirty draws."""
+    h = C.disjoint_halves(_first(spark, d), "true_genus", 30)
     fit = C.fit_thresholds(h.where("half = 'fit'"), ["seed"], "candidate_score", "right_genus", [0.9])
-    a = h.where("half = 'apply'").join(F.broadcast(fit.select("seed", "threshold")), "seed")
+    a = h.where("half = 'apply'").join(F.broadcast(fit.select("seed", "threshold")), "seed")  # a row a draw
     hit = C.meets("candidate_score", "threshold")
     return a.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(hit, 1)).alias("n_accepted"), F.count(F.when(hit & F.col("right_genus"), 1)).alias("n_correct"))
 
@@ -224,9 +224,17 @@ def x_competition_rank(spark, d):
     return C.competition_rank(t, K, "candidate_score", F.col("genus") == F.col("true_genus"))
 
 
+DRIFT = ["candidate_score", "sequence_only_score", "rls_prior_count", "obis_prior_count"]
+
+
 def x_feature_drift(spark, d):
-    x = C.feature_drift(_eco(spark, d), "method", "ssm_plain", ["candidate_score", "sequence_only_score", "rls_prior_count", "obis_prior_count"])
-    return x.select("method", "feature", "n", *[F.round(c, 5).alias(c) for c in ("missing_share", "mean", "std", "delta")])
+    """At the level of rows, and of first candidates by the table's own rank."""
+    out = None
+    for level, rows in (("rows", _eco(spark, d)), ("first", _eco(spark, d).where("candidate_rank = 1"))):
+        x = C.feature_drift(rows, "method", "ssm_plain", DRIFT)
+        x = x.select(F.lit(level).alias("level"), "method", "feature", "n", *[F.round(c, 5).alias(c) for c in ("missing_share", "mean", "std", "median", "p05", "p95", "delta")])
+        out = x if out is None else out.unionByName(x)
+    return out
 
 
 def x_weighted_top_label(spark, d):
@@ -242,10 +250,15 @@ def p_method_parts(spark, d):
 
 
 def u_candidate_sets(spark, d):
-    """Sizes of the union and intersection of two methods' candidates of a query."""
-    one = lambda m, n: _top(spark, d).where((F.col("method") == m) & F.col("query_processid").isNotNull()).groupBy("query_processid").agg(F.collect_set("candidate_tree_label").alias(n))
+    """Union and intersection of two methods' candidates of a query, over its samples, in the order of the first method's best places."""
+
+    def one(m, n):
+        x = _top(spark, d).where((F.col("method") == m) & F.col("query_processid").isNotNull()).groupBy("query_processid", "candidate_tree_label").agg(F.min("place").alias("p"))
+        return x.groupBy("query_processid").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "candidate_tree_label"))), lambda s: s["candidate_tree_label"]).alias(n))
+
     j = one("ssm_plain", "a").join(one("cnn_cooc", "b"), "query_processid", "inner")
-    return j.select("query_processid", F.size(C.union_sources("a", "b")).cast("long").alias("n_union"), F.size(C.intersect_sources("a", "b")).cast("long").alias("n_common"))
+    u, i = C.union_sources("a", "b"), C.intersect_sources("a", "b")
+    return j.select("query_processid", F.size(u).cast("long").alias("n_union"), F.size(i).cast("long").alias("n_common"), F.array_join(u, "|").alias("all_labels"), F.array_join(i, "|").alias("common_labels"))
 
 
 def a_auroc(spark, d):
@@ -299,7 +312,7 @@ _KS = "method, sample_id, query_processid"
 _ECO = "eco_phylo_candidate_features_top5"
 _CONS = f"""cs AS (SELECT {_KS}, max(fg) AS top_genus, count(*) FILTER (genus = fg) / count(genus) AS genus_consensus, count(DISTINCT genus) AS genus_unique
     FROM (SELECT *, max(CASE WHEN place = 1 THEN genus END) OVER (PARTITION BY {_KS}) AS fg FROM t) GROUP BY ALL)"""
-_MARG = f"mg AS (SELECT {_KS}, max(s) FILTER (place = 1) AS s1, max(s) FILTER (place = 2) AS s2, max(s) FILTER (place = 5) AS s5 FROM t GROUP BY ALL)"
+_MARG = f"mg AS (SELECT {_KS}, max(s) FILTER (place = 1) AS s1, max(s) FILTER (place = 2) AS s2, max(s) FILTER (place = 5) AS s5, max(s) FILTER (place = 10) AS s10 FROM t GROUP BY ALL)"
 _LIN = """li AS (SELECT tree_label AS l, min(genus_name) AS g, min(family_name) AS fa, min(order_name) AS o FROM candidate_species WHERE tree_label IS NOT NULL GROUP BY 1)"""
 _RV = f"""{_T}, {_LIN}, rv AS (SELECT t.method, t.sample_id, t.query_processid, t.place, t.s, candidate_tree_label AS v_species, coalesce(a.g, genus) AS v_genus, a.fa AS v_family, a.o AS v_order,
         truth AS t_species, coalesce(b.g, true_genus) AS t_genus, b.fa AS t_family, b.o AS t_order FROM t LEFT JOIN li a ON a.l = candidate_tree_label LEFT JOIN li b ON b.l = truth WHERE truth IS NOT NULL)"""
@@ -349,7 +362,7 @@ def _fit(ok: str) -> str:
 _F1 = "(CASE WHEN {0} IS NOT NULL AND NOT isnan({0}) AND abs({0}) < 'infinity'::DOUBLE THEN {0} END)"
 ORACLE = {
     "a_consensus": f"WITH {_T}, {_CONS} SELECT {_KS}, top_genus, round(genus_consensus, 6) AS genus_consensus, genus_unique FROM cs",
-    "w_margins": f"WITH {_T}, {_MARG} SELECT {_KS}, round(s1, 6) AS top_score, round(s1 - s2, 6) AS margin_1_2, round(s1 - s5, 6) AS margin_1_5, round((s1 - s2) / nullif(abs(s1), 0), 6) AS relative_margin FROM mg",
+    "w_margins": f"WITH {_T}, {_MARG} SELECT {_KS}, round(s1, 6) AS top_score, round(s1 - s2, 6) AS margin_1_2, round(s1 - s5, 6) AS margin_1_5, round(s1 - s10, 6) AS margin_1_10, round((s1 - s2) / nullif(abs(s1), 0), 6) AS relative_margin FROM mg",
     "w_deltas": f"WITH {_T}, x AS (SELECT *, max(s) OVER (PARTITION BY {_KS}) AS m FROM t) SELECT {_KS}, candidate_tree_label, round(m - s, 6) AS delta_to_best, round(s / nullif(m, 0), 6) AS ratio_to_best FROM x",
     "w_topk_stats": f"WITH {_T} SELECT {_KS}, round(avg(s), 6) AS mean_score, round(stddev_pop(s), 6) AS std_score, count(s) AS n FROM t WHERE place <= 3 GROUP BY ALL",
     "w_cum_precision": f"WITH {_T}, {_CURVE} SELECT method, confidence, n, k FROM c",
@@ -384,7 +397,7 @@ ORACLE = {
         j AS (SELECT * FROM r, (SELECT unnest({POINTS}::DOUBLE[]) AS coverage)) SELECT method, coverage, count(*) AS n_accepted, round(avg(CAST(right_genus AS INT)), 6) AS accuracy FROM j
         WHERE rr <= greatest(1, CAST(round_even(nn * coverage, 0) AS BIGINT)) GROUP BY ALL""",
     "c_threshold_sweep": f"WITH {_T} SELECT cut, count(*) FILTER (s >= cut) AS n_accepted, count(*) FILTER (s >= cut AND right_genus) AS n_correct FROM f, (SELECT unnest({SWEEP}::DOUBLE[]) AS cut) GROUP BY cut",
-    "c_species_disjoint": f"""WITH {_T}, h AS (SELECT f.*, seed, CAST(('0x' || substr(sha1(seed || ':' || true_genus), 1, 12)) AS BIGINT) / 281474976710656.0 < 0.5 AS fit FROM f, (SELECT unnest(range(5)) AS seed)),
+    "c_species_disjoint": f"""WITH {_T}, h AS (SELECT f.*, seed, CAST(('0x' || substr(sha1(seed || ':' || true_genus), 1, 12)) AS BIGINT) / 281474976710656.0 < 0.5 AS fit FROM f, (SELECT unnest(range(30)) AS seed)),
         g AS (SELECT seed, s, count(*) AS n1, count(*) FILTER (right_genus) AS k1 FROM h WHERE fit GROUP BY ALL),
         c AS (SELECT seed, s, sum(n1) OVER w AS n, sum(k1) OVER w AS k FROM g WINDOW w AS (PARTITION BY seed ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
         th AS (SELECT seed, max_by(s, n) FILTER (k / n >= 0.9) AS th FROM c GROUP BY seed)
@@ -410,17 +423,18 @@ ORACLE = {
         SELECT t.method, t.sample_id, t.query_processid, t.candidate_tree_label, round(s + 0.05 * (ln(1 + greatest(coalesce(x, 0), 0)) + ln(1 + greatest(coalesce(y, 0), 0))) - CASE WHEN greatest(coalesce(x, 0), 0) <= 0 AND greatest(coalesce(y, 0), 0) <= 0 THEN 0.03 ELSE 0 END, 6) AS combined_score
         FROM t JOIN e ON t.method = e.method AND t.sample_id = e.sample_id AND t.query_processid = e.query_processid AND t.candidate_tree_label = e.candidate_tree_label""",
     "x_competition_rank": f"""WITH {_T}, x AS (SELECT *, max(s) FILTER (genus = true_genus) OVER (PARTITION BY {_KS}) AS bb FROM t) SELECT {_KS}, count(*) FILTER (s > bb) + 1 AS target_rank FROM x WHERE bb IS NOT NULL GROUP BY ALL""",
-    "x_feature_drift": "WITH l AS (" + " UNION ALL ".join(f"SELECT method, '{c}' AS feature, {_F1.format(c)} AS v FROM {_ECO}" for c in ("candidate_score", "sequence_only_score", "rls_prior_count", "obis_prior_count")) + """),
-        g AS (SELECT method, feature, count(*) AS n, 1 - count(v) / count(*) AS ms, avg(v) AS m, stddev_pop(v) AS sd FROM l GROUP BY ALL), b AS (SELECT feature, m AS bm, sd AS bs FROM g WHERE method = 'ssm_plain')
-        SELECT method, feature, n, round(ms, 5) AS missing_share, round(m, 5) AS mean, round(sd, 5) AS std, round((m - bm) / nullif(bs, 0), 5) AS delta FROM g LEFT JOIN b USING (feature)""",
+    "x_feature_drift": "WITH l AS (" + " UNION ALL ".join(f"SELECT '{lv}' AS level, method, '{c}' AS feature, {_F1.format(c)} AS v FROM {_ECO} WHERE {w}" for c in DRIFT for lv, w in (("rows", "true"), ("first", "candidate_rank = 1"))) + """),
+        g AS (SELECT level, method, feature, count(*) AS n, 1 - count(v) / count(*) AS ms, avg(v) AS m, stddev_pop(v) AS sd, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.95) AS p95 FROM l GROUP BY ALL), b AS (SELECT level, feature, m AS bm, sd AS bs FROM g WHERE method = 'ssm_plain')
+        SELECT level, method, feature, n, round(ms, 5) AS missing_share, round(m, 5) AS mean, round(sd, 5) AS std, round(p50, 5) AS median, round(p5, 5) AS p05, round(p95, 5) AS p95, round((m - bm) / nullif(bs, 0), 5) AS delta FROM g LEFT JOIN b USING (level, feature)""",
     "x_weighted_top_label": f"""WITH {_T}, g AS (SELECT query_processid, candidate_tree_label, round(sum(s), 6) AS weight FROM t WHERE query_processid IS NOT NULL GROUP BY ALL)
         SELECT query_processid, candidate_tree_label, weight FROM (SELECT *, row_number() OVER (PARTITION BY query_processid ORDER BY weight DESC, candidate_tree_label) AS rr FROM g) WHERE rr = 1""",
     "p_method_parts": f"""WITH m AS (SELECT DISTINCT method, lower(method) AS m FROM {_ECO}), p AS (SELECT *, CASE WHEN contains(m, 'rls_obis') THEN 'rls_obis' WHEN contains(m, 'rls') THEN 'rls' WHEN contains(m, 'obis') THEN 'obis' WHEN contains(m, 'cooc') THEN 'cooc' ELSE 'none' END AS prior_kind FROM m)
         SELECT method, CASE WHEN m LIKE 'kmer%' THEN 'kmer' WHEN m LIKE 'cnn%' THEN 'cnn' WHEN m LIKE 'ssm%' THEN 'ssm' WHEN m LIKE 'blast%' THEN 'blast' ELSE 'other' END AS encoder_kind, prior_kind,
         CASE WHEN contains(m, 'cooc') THEN 'sample' WHEN prior_kind <> 'none' THEN 'prior' ELSE 'sequence' END AS context_kind FROM p""",
-    "u_candidate_sets": f"""WITH {_T}, xa AS (SELECT DISTINCT query_processid, candidate_tree_label AS v FROM t WHERE method = 'ssm_plain'), xb AS (SELECT DISTINCT query_processid, candidate_tree_label AS v FROM t WHERE method = 'cnn_cooc'),
-        na AS (SELECT query_processid, count(*) AS n FROM xa GROUP BY ALL), nb AS (SELECT query_processid, count(*) AS n FROM xb GROUP BY ALL), i AS (SELECT xa.query_processid, count(*) AS n FROM xa JOIN xb ON xa.query_processid = xb.query_processid AND xa.v = xb.v GROUP BY ALL)
-        SELECT na.query_processid, na.n + nb.n - coalesce(i.n, 0) AS n_union, coalesce(i.n, 0) AS n_common FROM na JOIN nb ON na.query_processid = nb.query_processid LEFT JOIN i ON na.query_processid = i.query_processid""",
+    "u_candidate_sets": f"""WITH {_T}, xx AS (SELECT method, query_processid, candidate_tree_label AS v, min(place) AS p FROM t WHERE method IN ('ssm_plain', 'cnn_cooc') AND query_processid IS NOT NULL GROUP BY ALL),
+        ll AS (SELECT method, query_processid, list(v ORDER BY p, v) AS l FROM xx GROUP BY ALL), jj AS (SELECT x.query_processid, x.l AS a, y.l AS b FROM ll x JOIN ll y ON x.method = 'ssm_plain' AND y.method = 'cnn_cooc' AND x.query_processid = y.query_processid),
+        uu AS (SELECT query_processid, list_concat(a, list_filter(b, lambda z: NOT list_contains(a, z))) AS u, list_filter(a, lambda z: list_contains(b, z)) AS i FROM jj)
+        SELECT query_processid, len(u) AS n_union, len(i) AS n_common, array_to_string(u, '|') AS all_labels, coalesce(array_to_string(i, '|'), '') AS common_labels FROM uu""",
     "a_auroc": f"""WITH {_T}, g AS (SELECT method, s, count(*) FILTER (right_genus) AS p, count(*) AS n FROM f GROUP BY ALL),
         r AS (SELECT *, sum(n) OVER (PARTITION BY method ORDER BY s ROWS UNBOUNDED PRECEDING) - n + (n + 1) / 2 AS rk FROM g),
         z AS (SELECT method, CAST(sum(p) AS BIGINT) AS np, CAST(sum(n - p) AS BIGINT) AS nn, sum(rk * p) AS rs FROM r GROUP BY method)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.functions.exprs import finite
+from rankforge.runtime import bounded
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
@@ -15,7 +16,8 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> D
 
 def accepted(stream: DataFrame, thresholds: DataFrame, score: str, key: str = "method") -> DataFrame:
     """Rows whose score meets the threshold of their key: a stateless join of the stream with a small fixed table."""
-    return stream.join(F.broadcast(thresholds.select(key, "threshold")), key).where(finite(score) >= F.col("threshold")).drop("threshold")
+    small = thresholds.select(key, "threshold")
+    return stream.join(bounded(small.withColumn("__w", F.col(key).cast("string")), "__w")(small), key).where(finite(score) >= F.col("threshold")).drop("threshold")
 
 
 def site_counts(stream: DataFrame, at: str = "sampled_at", late: str = "30 days", window: str = "90 days") -> DataFrame:
