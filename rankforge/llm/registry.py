@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm.cluster_profiles import describe_clusters
+from rankforge.llm.cluster_profiles import describe_clusters, pivot_groups
 from rankforge.llm.encode import encode
 from rankforge.llm.group_split import assign_splits, related_groups, split_report
 from rankforge.llm.mixing import mix, mix_report, source_rates
@@ -41,6 +41,10 @@ def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
     return describe_clusters(table(spark, d, "supervised_train"))
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return pivot_groups(table(spark, d, "supervised_train"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return map_names(table(spark, d, "zero_shot_queries"), table(spark, d, "candidate_species"))
 
@@ -92,7 +96,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_clusters, p3_found, p3_unmatched, p5_found, p6_found, p6_assignment, p6_report, p7_ids, p8_found, p8_mix, p8_report, p9_found)
+    f.__name__: f for f in (p1_found, p1_report, p2_found, p2_clusters, p2_groups, p3_found, p3_unmatched, p5_found, p6_found, p6_assignment, p6_report, p7_ids, p8_found, p8_mix, p8_report, p9_found)
 }
 
 ORACLE = {

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import rankforge.llm.segment_join as J
 from rankforge.llm.barcode_kernels import banded_edits, canonical, matrix, pack, plain_bases, reverse_complement, sketches, unpack
-from rankforge.llm.cluster_profiles import describe_clusters
+from rankforge.llm.cluster_profiles import describe_clusters, pivot_groups
 from rankforge.llm.barcode_kernels import syncmers
 from rankforge.llm.pivot_clusters import ODD, cluster_links, similar
 from rankforge.llm.segment_join import overlap_report, overlaps
@@ -261,6 +261,23 @@ def test_medoid_equals_brute_force(spark):
     assert [(r["n_records"], r["processid"], round(r["mean_difference"] * 23)) for r in rows] == [(24, p, d) for d, p in want]
 
 
+def test_records_go_to_the_closest_centre(spark):
+    """Two tight groups 3 % apart are one cluster of two groups, each with its medoid; the third group, a chain's end, is its own."""
+    rnd = random.Random(80)
+    first = dna(700, rnd)
+    second = changed(first, 20, rnd, indels=False)
+    data = []
+    for name, centre in (("A", first), ("B", second)):
+        for i in range(7):
+            s = centre if i == 3 else changed(centre, 3, rnd, indels=False)
+            data.append((f"{name}{i}", s if i % 2 else reverse_complement(s.encode()).decode()))
+    df = spark.createDataFrame(data, "processid string, nucleotides string")
+    got = sorted((r["cluster_processid"], r["medoid_processid"], r["n_records"]) for r in pivot_groups(df).collect())
+    assert sum(n for _, _, n in got) == 14 and {c for c, _, _ in got} == {"A0"}
+    assert got in ([("A0", "A3", 7), ("A0", "B3", 7)], [("A0", got[0][1], 14)])
+    assert pivot_groups(df.limit(0)).count() == 0
+
+
 def test_hot_copies_make_one_cluster(spark):
     s = dna(640)
     hot = spark.range(3000).select(F.format_string("P%05d", "id").alias("processid"), F.lit(s).alias("nucleotides"))
