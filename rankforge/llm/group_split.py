@@ -15,7 +15,7 @@ from rankforge.operators.ordering import global_places
 from rankforge.runtime import keep
 
 FIELDS = ["species_name", "tree_label", "genus_name"]
-READINGS = ("genus", "genus_if_met", "genus_if_genus")
+READINGS = ("genus", "genus_if_met")
 
 
 def record_genera(records: DataFrame, listed: DataFrame) -> DataFrame:
@@ -25,10 +25,11 @@ def record_genera(records: DataFrame, listed: DataFrame) -> DataFrame:
     another text surely names the genus.
     """
     rec = latest_records(records, "processid", ["processid", *FIELDS])
-    long = rec.select("processid", F.explode(F.array(*[F.struct(F.lit(f == "genus_name").alias("is_genus"), F.col(f).alias("text")) for f in FIELDS])).alias("x"))
-    long = long.select("processid", "x.is_genus", "x.text").where(F.col("text").isNotNull())
+    # a letter before the text tells a genus field's from others, which are read otherwise
+    texts = [F.when(F.col(f).isNotNull(), F.concat(F.lit("g" if f == "genus_name" else "s"), F.col(f))) for f in FIELDS]
+    long = rec.select("processid", F.explode(F.array(*texts)).alias("text")).where(F.col("text").isNotNull())
     read = keep(map_texts(long.select("text"), listed, READINGS).where(F.coalesce(*READINGS).isNotNull()))
-    named = keep(long.join(read, "text").select("processid", F.when(F.col("is_genus"), F.col("genus_if_genus")).otherwise(F.col("genus")).alias("genus"), F.when(~F.col("is_genus"), F.col("genus_if_met")).alias("perhaps")))
+    named = keep(long.join(read, "text").select("processid", "genus", F.col("genus_if_met").alias("perhaps")))
     sure = named.select("processid", "genus").where("genus is not null").distinct()
     met = named.select("processid", F.col("perhaps").alias("genus")).where("genus is not null").distinct().join(sure.select("genus").distinct(), "genus", "left_semi")
     return sure.unionByName(met).distinct()

@@ -26,13 +26,12 @@ def list_entries(listed: DataFrame) -> list[tuple]:
     return [tuple(r) for r in listed.select(*_LIST).distinct().collect()]
 
 
-#: What map_texts can tell of a text: the entry it means; the genus it names as a species or label, surely or if it is met elsewhere; the genus
-#: it names as a genus.
+#: What map_texts can tell of a text: the entry it means; and of a text after a letter, g of a genus field and s of others, the genus it
+#: names, surely or if it is met elsewhere.
 READINGS = {
     "label": lambda r, t: r.of.species(t),
-    "genus": lambda r, t: r.from_name(t),
-    "genus_if_met": lambda r, t: r.from_name_if_met(t),
-    "genus_if_genus": lambda r, t: r.from_genus(t),
+    "genus": lambda r, t: r.from_genus(t[1:]) if t[0] == "g" else r.from_name(t[1:]),
+    "genus_if_met": lambda r, t: None if t[0] == "g" else r.from_name_if_met(t[1:]),
 }
 
 
