@@ -42,11 +42,6 @@ def first_value(*columns: Column | str) -> Column:
     return F.coalesce(*[clean_taxon(c) for c in columns])
 
 
-def parse_flag(c: Column | str) -> Column:
-    """True for true, 1, yes, y in any case; false for other texts; null for null."""
-    return F.lower(strip(col(c).cast("string"))).isin("true", "1", "yes", "y")
-
-
 def record_key(c: Column | str) -> Column:
     """One spelling of a record's id: capitals, letters and digits only, without the marker after a full stop; null where nothing is left."""
     plain = F.regexp_replace(F.regexp_replace(F.upper(col(c)), r"\..*$", ""), r"[^A-Z0-9]", "")
@@ -120,10 +115,6 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 # -- statistics ----------------------------------------------------------------------------------
 
 
-def safe_div(a: Column | str, b: Column | str) -> Column:
-    return F.when(col(b) != 0, col(a) / col(b))
-
-
 def wilson(k: Column | str, n: Column | str, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson bounds of k out of n, within 0 and 1; null where n is 0."""
     k, n = col(k).cast("double"), col(n).cast("double")

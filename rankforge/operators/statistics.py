@@ -118,13 +118,6 @@ def bin_residuals(df: DataFrame, x: str, y: str, edges: Sequence[float]) -> Data
     return ok.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.avg(r).alias("mean_residual"))
 
 
-def quantile_edges(df: DataFrame, value: str, n: int) -> list[float]:
-    """Inner edges of n bins of equal count, each edge once."""
-    q = [i / n for i in range(1, n)]
-    got = df.where(finite(value).isNotNull()).agg(F.percentile(finite(value), F.array(*[F.lit(x) for x in q])).alias("e")).first()["e"] or []
-    return sorted(set(got))
-
-
 def bootstrap(df: DataFrame, unit: str, value: str, group: Sequence[str], resamples: int, salt: str) -> DataFrame:
     """(group, mean, low, high): mean and its 95 % interval over resamples, in each of which a unit has a Poisson weight drawn by hash.
 

@@ -106,11 +106,6 @@ def stratified_quota(df: DataFrame, key: str, stratum: str, share: float, salt:
     return one.join(quota, stratum).withColumn("r", F.row_number().over(w)).where("r <= quota").select(key, stratum)
 
 
-def clade_tips(closure: DataFrame) -> DataFrame:
-    """(ancestor, n_tips) below every node."""
-    return closure.groupBy("ancestor").agg(F.count(F.lit(1)).alias("n_tips"))
-
-
 def best_placement(placements: DataFrame, query: str, edge: str, weight: str) -> DataFrame:
     """Each query's edge of the greatest likelihood weight, ties to the smaller edge, with the sum of all its weights."""
     g = placements.groupBy(query).agg(F.max(F.struct(F.col(weight).alias("w"), (-F.col(edge)).alias("e"))).alias("x"), F.sum(weight).alias("total"))

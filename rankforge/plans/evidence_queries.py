@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.functions import exprs as X
 from rankforge.functions.pairwise import best_ungapped, edit_identity
 from rankforge.operators import candidates as C
 from rankforge.operators import places as P
 from rankforge.operators import retrieval as V
 from rankforge.operators import statistics as S
 from rankforge.operators import trees as T
-from rankforge.plans.candidate_queries import K, _eco, _first, _T, _top
+from rankforge.plans.candidate_queries import K, _first, _T, _top
 from rankforge.plans.record_queries import TR, _clean, _every_split, led
 from rankforge.runtime import keep, table
 from rankforge.sources.formats import manifest

@@ -9,7 +9,7 @@ from rankforge.operators import candidates as C
 from rankforge.operators import records as R
 from rankforge.operators import statistics as S
 from rankforge.operators import trees as T
-from rankforge.plans.candidate_queries import _ECO, _F1, _T, K, _eco, _first, _top
+from rankforge.plans.candidate_queries import _ECO, _F1, _T, _eco, _first, _top
 from rankforge.plans.evidence_queries import _CL, _closure, _dist
 from rankforge.plans.record_queries import TR, UN, _clean
 from rankforge.operators.ordering import global_places

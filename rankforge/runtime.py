@@ -59,13 +59,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, ordered: bool = False) -> DataFrame:
     """The rows over at least as many tasks as there are cores, for work that costs far more than moving them.
 
-    Only an input of few partitions, so a small one, is shuffled; a large one stays as it is read.
+    Only an input of few partitions, so a small one, is shuffled; a large one stays as it is read. Work whose result depends on the order of
+    rows asks for `ordered`: shuffled rows are sorted then, so that a task that runs again sees the same.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, *keys)
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    moved = df.repartition(n, *keys)
+    return moved.sortWithinPartitions(*df.columns) if ordered else moved
 
 
 _BUILT: dict[str, Any] = {}
