@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.plans import candidate_queries, evidence_queries, extra_queries, handoff_queries, record_queries, skew_queries, source_queries
+from rankforge.plans import candidate_queries, detail_queries, evidence_queries, extra_queries, handoff_queries, record_queries, skew_queries, source_queries
 
-MODULES = [skew_queries, record_queries, candidate_queries, evidence_queries, extra_queries, handoff_queries, source_queries]
+MODULES = [skew_queries, record_queries, candidate_queries, evidence_queries, extra_queries, handoff_queries, detail_queries, source_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
