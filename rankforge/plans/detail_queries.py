@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import exprs as X
 from rankforge.operators import candidates as C
-from rankforge.plans.candidate_queries import _ECO, _F1, _KS, _RV, _T, K, _eco, _ranked, _top
+from rankforge.operators import records as R
+from rankforge.plans.candidate_queries import _ECO, _F1, _KS, _POL, _RV, _T, K, _eco, _first, _policy, _ranked, _top
 from rankforge.plans.record_queries import TR, UN, _clean, _frac
 from rankforge.runtime import table
 
@@ -96,6 +97,40 @@ def w_place_share(spark, d):
     return g.select("method", (F.col("score") + 0.0).alias("score"), F.round(F.sum("n").over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(w), 6).alias("share"))
 
 
+def a_dedup_id_then_sequence(spark, d):
+    """First load of each id, then of each sequence among these."""
+    x = _clean(spark, d).where("processid is not null and seq_len > 0").select("processid", "nucleotides", "loaded_at")
+    one = R.keep_first(x, ["processid"], [F.asc("loaded_at"), F.asc("nucleotides")])
+    return R.keep_first(one, ["nucleotides"], [F.asc("loaded_at"), F.asc("processid")]).select("processid", F.unix_micros("loaded_at").alias("loaded_us"))
+
+
+def a_event_abundance(spark, d):
+    """Labels of each sample with their quantity, a read count that is not above 0 counting as 1, as one text in the order of the labels."""
+    q = F.when(F.col("read_count") > 0, F.col("read_count")).otherwise(1)
+    x = table(spark, d, "sample_query_map").where("sample_id is not null and true_tree_label is not null").groupBy("sample_id", "true_tree_label").agg(F.sum(q).alias("q"))
+    m = x.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("true_tree_label", "q"))).alias("m"))
+    return m.select("sample_id", F.size("m").cast("long").alias("n_labels"), F.array_join(F.transform("m", lambda e: F.concat_ws("=", e["true_tree_label"], e["q"].cast("string"))), ";").alias("abundance"))
+
+
+def a_repeat_targets(spark, d):
+    """Precision of thirty draws of half the genera, fitted for 0.7: mean, spread, and the share of draws that meet the target on the other half."""
+    h = C.disjoint_halves(_first(spark, d), "true_genus", 30)
+    fit = C.fit_thresholds(h.where("half = 'fit'"), ["seed"], "candidate_score", "right_genus", [0.7]).where("threshold is not null").select("seed", "threshold")
+    a = h.where("half = 'apply'").join(F.broadcast(fit), "seed").where(C.meets("candidate_score", "threshold"))  # a row a draw
+    p = a.groupBy("seed").agg(F.avg(F.col("right_genus").cast("int")).alias("p"))
+    return p.agg(F.count(F.lit(1)).alias("n"), *[F.round(f("p"), 6).alias(n) for n, f in (("mean", F.avg), ("least", F.min), ("most", F.max))], F.round(F.percentile("p", 0.05), 6).alias("p05"), F.round(F.percentile("p", 0.95), 6).alias("p95"), F.round(F.avg((F.col("p") >= 0.7).cast("int")), 6).alias("met"))
+
+
+def a_lineage_dominant(spark, d):
+    """Per first candidate's family: calls, the rank assigned most, and its five species called most."""
+    p = _policy(spark, d).where("target_precision = 0.8 and first_family is not null")
+    act = C.ranked(p.groupBy("first_family", "assigned_rank").agg(F.count(F.lit(1)).alias("n")), ["first_family"], [F.desc("n"), F.asc("assigned_rank")], 1, "r").select("first_family", F.col("assigned_rank").alias("dominant"))
+    sp = C.ranked(p.groupBy("first_family", "first_species").agg(F.count(F.lit(1)).alias("n")), ["first_family"], [F.desc("n"), F.asc("first_species")], 5, "r")
+    top = sp.groupBy("first_family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "first_species"))), lambda e: e["first_species"]), ";").alias("top_species"))
+    n = p.groupBy("first_family").agg(F.count(F.lit(1)).alias("n_calls"))
+    return n.join(act, "first_family").join(top, "first_family").withColumnRenamed("first_family", "family")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and len(k) > 2 and k[1] == "_" and k[0] in "pxacrguw"}
 
 _S = _F1.format("candidate_score")
@@ -122,4 +157,15 @@ ORACLE = {
             (SELECT count(*) FROM c WHERE g NOT IN (SELECT g FROM a) AND g NOT IN (SELECT g FROM b)) AS n_complement""",
     "w_place_share": f"""WITH {_T}, g AS (SELECT method, round(s, 2) + 0.0::DOUBLE AS score, count(*) AS n FROM t WHERE place = 1 GROUP BY ALL)
         SELECT method, score, round(sum(n) OVER (PARTITION BY method ORDER BY score ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY method), 6) AS share FROM g""",
+    "a_dedup_id_then_sequence": f"""WITH x AS (SELECT processid, nucleotides AS s, loaded_at AS l FROM {TR} WHERE processid IS NOT NULL AND seq_len > 0), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY processid ORDER BY l ASC NULLS FIRST, s) AS r1 FROM x) WHERE r1 = 1)
+        SELECT processid, epoch_us(l) AS loaded_us FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY l ASC NULLS FIRST, processid) AS r2 FROM a) WHERE r2 = 1""",
+    "a_event_abundance": """WITH x AS (SELECT sample_id, true_tree_label AS l, CAST(sum(CASE WHEN read_count > 0 THEN read_count ELSE 1 END) AS BIGINT) AS q FROM sample_query_map WHERE sample_id IS NOT NULL AND true_tree_label IS NOT NULL GROUP BY ALL)
+        SELECT sample_id, count(*) AS n_labels, string_agg(l || '=' || q, ';' ORDER BY l) AS abundance FROM x GROUP BY sample_id""",
+    "a_repeat_targets": f"""WITH {_T}, h AS (SELECT f.*, seed, CAST(('0x' || substr(sha1(seed || ':' || true_genus), 1, 12)) AS BIGINT) / 281474976710656.0 < 0.5 AS fit FROM f, (SELECT unnest(range(30)) AS seed)), g AS (SELECT seed, s, count(*) AS n1, count(*) FILTER (right_genus) AS k1 FROM h WHERE fit GROUP BY ALL),
+        c AS (SELECT seed, s, sum(n1) OVER w AS n, sum(k1) OVER w AS k FROM g WINDOW w AS (PARTITION BY seed ORDER BY s DESC ROWS UNBOUNDED PRECEDING)), th AS (SELECT seed, min(s) FILTER (k / n >= 0.7::DOUBLE) AS th FROM c GROUP BY seed),
+        p AS (SELECT h.seed, avg(CASE WHEN right_genus THEN 1.0 ELSE 0.0 END) AS p FROM h JOIN th ON h.seed = th.seed WHERE NOT fit AND s >= th GROUP BY 1)
+        SELECT count(*) AS n, round(avg(p), 6) AS mean, round(min(p), 6) AS least, round(max(p), 6) AS most, round(quantile_cont(p, 0.05), 6) AS p05, round(quantile_cont(p, 0.95), 6) AS p95, round(avg(CASE WHEN p >= 0.7::DOUBLE THEN 1 ELSE 0 END), 6) AS met FROM p""",
+    "a_lineage_dominant": f"""WITH {_POL}, pf AS (SELECT * FROM pp WHERE target_precision = 0.8 AND first_family IS NOT NULL), ac AS (SELECT first_family, assigned_rank FROM (SELECT first_family, assigned_rank, row_number() OVER (PARTITION BY first_family ORDER BY count(*) DESC, assigned_rank) AS q FROM pf GROUP BY first_family, assigned_rank) WHERE q = 1),
+        ts AS (SELECT first_family, string_agg(first_species, ';' ORDER BY q) AS top_species FROM (SELECT first_family, first_species, row_number() OVER (PARTITION BY first_family ORDER BY count(*) DESC, first_species) AS q FROM pf GROUP BY first_family, first_species) WHERE q <= 5 GROUP BY 1)
+        SELECT n.first_family AS family, n_calls, assigned_rank AS dominant, top_species FROM (SELECT first_family, count(*) AS n_calls FROM pf GROUP BY 1) n JOIN ac ON ac.first_family = n.first_family JOIN ts ON ts.first_family = n.first_family""",
 }
