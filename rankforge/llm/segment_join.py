@@ -1,9 +1,10 @@
 """The same or almost the same records across splits, by an edit-distance segment join (p1).
 
 A sequence is cut into segments so short that edits leave some of them untouched in any sequence almost the same. A scan of
-the other table looks up all windows of its sequences in a bit table of these segments and sends on those that may be one; the
-join of both by the segment counts them for each pair, pairs with too few for their overlap are dropped, and the rest is verified by
-comparison on the diagonal and, failing that, by banded dynamic programming.
+the other table looks up all windows of its sequences in an index of these segments and counts them for each pair; pairs with too few
+for their overlap are dropped, and the rest is verified by comparison on the diagonal and, failing that, by banded dynamic programming.
+The index is sorted files in the shared folder that workers map, so that hits, far more than pairs, are neither moved nor held; where
+the shared folder is no path of the machine, segments and windows are joined by shuffle.
 
 Unknown bases hide segments. A sequence is of the first class whose segments, laid between its stretches of unknown bases, leave enough of
 them in any LEAST_BASES known bases; the segments of each class are shorter than those of the class before. Of a pair, the
@@ -13,17 +14,20 @@ the training sequences of the higher classes for one of the evaluation table.
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.llm.barcode_kernels import UNKNOWN, banded_edits, blocks, canonical, compared, flip, matrix, pack, plain_bases, shifted, touched_pieces, unpack, window_keys
-from rankforge.runtime import bounded, built_once, cut, keep, shuffle_partitions, spread
+from rankforge.runtime import bounded, built_once, cut, ensure_checkpoint_dir, keep, shuffle_partitions, spread
 
 LEAST_BASES = 300
 #: Segments that class 1 and class 2 leave besides those which edits can hit, for the unknown bases of the other sequence.
@@ -32,8 +36,10 @@ SPARE = (0, 1, 2)
 BITS_EACH, MOST_BITS = 64, 1 << 29
 CHUNK_WORDS = 4_096
 PAIRS_AT_ONCE = 4_096
-#: Bytes of evaluation sequences up to which each worker holds their segments; more are joined by shuffle, with the same result.
+#: Bytes of evaluation sequences up to which each worker holds their segments; those of more are mapped from files, with the same result.
 INDEX_BOUND = 32 * 1024 * 1024
+#: Bases of the sequences of one file of a mapped index (about a million segments), and hits that a worker compares at once.
+FILE_BASES, HITS_AT_ONCE = 1 << 24, 1 << 19
 #: A window's or segment's numbers in one: (class + 4 x segments lost or held) x WIDE + length of its sequence.
 WIDE = 1 << 32
 
@@ -131,7 +137,7 @@ def _lost(seq: bytes, size: int, step: int) -> int:
     return out
 
 
-def listed_windows(seqs: list[bytes], sid: np.ndarray, near: Nearness, table: tuple[np.ndarray, frozenset[int]], above: int) -> pd.DataFrame:
+def listed_windows(seqs: list[bytes], sid: np.ndarray, near: Nearness, table: tuple[np.ndarray, frozenset[int]], above: int, parts: int = 1) -> pd.DataFrame:
     """(h, sid, place, info): windows of the sequences that may be a segment of a sequence of class `above` more or higher."""
     cls = np.array([class_of(s, near) for s in seqs], np.int64)
     out = []
@@ -142,7 +148,7 @@ def listed_windows(seqs: list[bytes], sid: np.ndarray, near: Nearness, table: tu
             h, place, ok = window_keys(matrix([seqs[i] for i in part]), size, c)
             row, at = np.nonzero(ok)
             hv = h[row, at]
-            some = np.flatnonzero(_marked(hv, table[0]))
+            some = np.flatnonzero(_marked(hv, table[0], parts))
             row, at = row[some], at[some]
             lost = np.array([_lost(seqs[i], size, step) for i in part])
             length = np.array([len(seqs[i]) for i in part])
@@ -150,10 +156,13 @@ def listed_windows(seqs: list[bytes], sid: np.ndarray, near: Nearness, table: tu
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({k: np.empty(0, np.int64) for k in ("h", "sid", "place", "info")})
 
 
-def _marked(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    mask = np.uint64(len(bits) * 64 - 1)
+def _marked(h: np.ndarray, bits: np.ndarray, parts: int = 1) -> np.ndarray:
+    """Whether both bits of each number are set; with `parts`, a power of 2, its first bits say in which of so many equal tables they lie."""
+    size = len(bits) * 64 // parts
+    mask = np.uint64(size - 1)
+    base = (h >> np.uint64(65 - parts.bit_length())) * np.uint64(size) if parts > 1 else np.uint64(0)
     hit = np.ones(len(h), bool)
-    for probe in (h & mask, (h >> np.uint64(32)) & mask):
+    for probe in ((h & mask) + base, ((h >> np.uint64(32)) & mask) + base):
         at = np.flatnonzero(hit)
         p = probe[at]
         hit[at] = (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
@@ -262,6 +271,31 @@ def candidates(scanned: DataFrame, cut_: DataFrame, near: Nearness) -> DataFrame
     return pair.mapInPandas(kept, "a long, b long, sign int, shift int")
 
 
+def _counted(near: Nearness, a, pa, ia, b, pb, ib):
+    """(a, b, sign, shift) of the pairs with enough hits, of window (place pa, info ia) of a on segment (pb, ib) of b, as candidates() has them."""
+    size = np.array([t[0] for t in near.tiers])[ia // WIDE % 4]
+    xa, xb, same = np.where(pa < 0, -pa - 1, pa), np.where(pb < 0, -pb - 1, pb), (pa < 0) == (pb < 0)
+    turned, shift = (~same).astype(np.int64), np.where(same, xb - xa, xb + size - 1 + xa)
+    order = np.lexsort((shift, turned, b, a))
+    a, b, turned, shift, ia, ib = (x[order] for x in (a, b, turned, shift, ia, ib))
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (turned[1:] != turned[:-1])]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(a)] - 1
+    hits = last - first + 1
+    # the diagonal of most segments of a pair, of equals the one furthest on
+    line = np.flatnonzero(new | np.r_[True, shift[1:] != shift[:-1]])
+    count, of = np.diff(np.r_[line, len(a)]), np.cumsum(new)[line] - 1
+    by = np.lexsort((count, of))
+    best = shift[line][by[np.r_[of[by][1:] != of[by][:-1], True]]]
+    sign, low, high = 1 - 2 * turned[first], shift[first], shift[last]
+    good = _enough(near, ia[first], ib[first], sign, best, hits)
+    a, b = a[first], b[first]
+    wide = _outermost(near, good, low, high)
+    a, b, sign, shift = (np.concatenate([x[good], x[wide], x[wide]]) for x in (a, b, sign, best))
+    shift[good.sum() :] = np.concatenate([low[wide], high[wide]])
+    return a, b, sign, shift
+
+
 class SegmentIndex:
     """Segments of a bounded number of sequences, sorted by hash, with a table of their bits."""
 
@@ -288,30 +322,156 @@ class SegmentIndex:
         at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         a, pa, ia = (np.repeat(w[c].to_numpy(np.int64), n) for c in ("sid", "place", "info"))
         b, pb, ib = self.who[at], self.place[at], self.info[at]
-        size = np.array([t[0] for t in self.near.tiers])[ia // WIDE % 4]
-        xa, xb, same = np.where(pa < 0, -pa - 1, pa), np.where(pb < 0, -pb - 1, pb), (pa < 0) == (pb < 0)
-        turned, shift = (~same).astype(np.int64), np.where(same, xb - xa, xb + size - 1 + xa)
-        order = np.lexsort((shift, turned, b, a))
-        a, b, turned, shift, ia, ib = (x[order] for x in (a, b, turned, shift, ia, ib))
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (turned[1:] != turned[:-1])]
-        first = np.flatnonzero(new)
-        last = np.r_[first[1:], len(a)] - 1
-        hits = last - first + 1
-        # the diagonal of most segments of a pair, of equals the one furthest on
-        line = np.flatnonzero(new | np.r_[True, shift[1:] != shift[:-1]])
-        count, of = np.diff(np.r_[line, len(a)]), np.cumsum(new)[line] - 1
-        by = np.lexsort((count, of))
-        best = shift[line][by[np.r_[of[by][1:] != of[by][:-1], True]]]
-        sign, low, high = 1 - 2 * turned[first], shift[first], shift[last]
-        good = _enough(self.near, ia[first], ib[first], sign, best, hits)
-        a, b = a[first], b[first]
-        wide = _outermost(self.near, good, low, high)
-        a, b, sign, shift = (np.concatenate([x[good], x[wide], x[wide]]) for x in (a, b, sign, best))
-        shift[good.sum() :] = np.concatenate([low[wide], high[wide]])
+        a, b, sign, shift = _counted(self.near, a, pa, ia, b, pb, ib)
         ok = verify([seqs[i] for i in a], [self.seqs[i] for i in b], sign, shift, self.near)
         return a[ok], b[ok]
 
 
+def shared_path(spark: SparkSession) -> str | None:
+    """The shared checkpoint folder as a path of this machine, None where it is none."""
+    local = re.sub(r"^file:(//)?(?=/)", "", ensure_checkpoint_dir(spark))
+    return local if local.startswith("/") else None
+
+
+def _save(path: str, data: bytes | np.ndarray) -> None:
+    """Written aside and renamed: a task run twice leaves one whole file."""
+    with open(aside := f"{path}.{uuid.uuid4().hex}", "wb") as f:
+        f.write(data)
+    os.replace(aside, path)
+
+
+def _mapped(path: str, kind: type) -> np.ndarray:
+    return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.empty(0, kind)
+
+
+def write_index(sequences: DataFrame, near: Nearness, classes: tuple[int, ...], folder: str) -> tuple[str, int, frozenset[int]]:
+    """(folder, number of parts, classes that occur) of an index of the distinct (sid, seq), for MappedIndex.
+
+    Part i has the segments, and the sequences, whose hash begins with the bits of i: files of the segments sorted by h, of their bits,
+    and of the sequences sorted by sid. Each is written by one task; only the classes come to the driver.
+    """
+    os.makedirs(folder, exist_ok=True)
+    letters = sequences.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
+    parts = 1 << max(0, int(4 * letters / FILE_BASES - 1e-9)).bit_length()
+    first, size = 65 - parts.bit_length(), 1 << 16
+    while size < min(MOST_BITS, BITS_EACH * 4 * letters // 16):
+        size <<= 1
+    size = max(64, size // parts)
+
+    def cut_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield segments([unpack(x) for x in b["seq"]], b["sid"].to_numpy(np.int64), near, classes)
+
+    def part_of(x: np.ndarray) -> np.ndarray:
+        return (x.view(np.uint64) >> np.uint64(first)).astype(np.int64) if parts > 1 else np.zeros(len(x), np.int64)
+
+    def save_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some = [np.stack([b[c].to_numpy(np.int64) for c in ("h", "sid", "place", "info")]) for b in batches]
+        if not sum(x.shape[1] for x in some):
+            return
+        all_ = np.concatenate(some, axis=1)
+        all_ = all_[:, np.argsort(all_[0].view(np.uint64), kind="stable")]
+        own = part_of(all_[0])
+        for p in np.unique(own).tolist():
+            x = all_[:, slice(*np.searchsorted(own, [p, p + 1]))]
+            _save(f"{folder}/segments-{p}", np.ascontiguousarray(x))
+            h, bits, mask = x[0].view(np.uint64), np.zeros(size // 64, np.uint64), np.uint64(size - 1)
+            for probe in (h & mask, (h >> np.uint64(32)) & mask):
+                np.bitwise_or.at(bits, (probe >> np.uint64(6)).astype(np.int64), np.left_shift(np.uint64(1), probe & np.uint64(63)))
+            _save(f"{folder}/bits-{p}", bits)
+        yield pd.DataFrame({"c": np.unique(all_[3] // WIDE % 4)})
+
+    def save_sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some = [(b["sid"].to_numpy(np.int64), list(b["seq"])) for b in batches]
+        sid = np.concatenate([np.empty(0, np.int64), *(x for x, _ in some)])
+        seqs = [bytes(x) for _, xs in some for x in xs]
+        order = np.argsort(sid.view(np.uint64), kind="stable")
+        own = part_of(sid[order])
+        for p in np.unique(own).tolist():
+            at = order[slice(*np.searchsorted(own, [p, p + 1]))]
+            begin = np.cumsum([0, *(len(seqs[i]) for i in at)])
+            _save(f"{folder}/sequences-{p}", np.int64([len(at)]).tobytes() + sid[at].tobytes() + begin.astype(np.int64).tobytes() + b"".join(seqs[i] for i in at))
+        yield pd.DataFrame({"c": np.empty(0, np.int64)})
+
+    def by(c: str) -> Column:
+        return F.shiftrightunsigned(c, first) if parts > 1 else F.lit(0)
+
+    cut_ = sequences.mapInPandas(cut_rows, "h long, sid long, place int, info long")
+    found = {r["c"] for r in cut_.repartition(parts, by("h")).mapInPandas(save_segments, "c long").distinct().collect()}
+    sequences.select("sid", "seq").repartition(parts, by("sid")).mapInPandas(save_sequences, "c long").count()
+    return folder, parts, frozenset(found)
+
+
+class MappedIndex:
+    """An index of write_index, mapped from its files: of any number of sequences, of which a worker holds the bits alone."""
+
+    def __init__(self, written: tuple[str, int, frozenset[int]], near: Nearness) -> None:
+        folder, self.parts, classes = written
+        self.near, every = near, range(self.parts)
+        self.segments = [_mapped(f"{folder}/segments-{p}", np.int64).reshape(4, -1) for p in every]
+        bits = [_mapped(f"{folder}/bits-{p}", np.uint64) for p in every]
+        size = max([1, *map(len, bits)])
+        self.table = np.concatenate([b if len(b) else np.zeros(size, np.uint64) for b in bits]), classes
+        self.sequences = []
+        for p in every:
+            x = _mapped(f"{folder}/sequences-{p}", np.uint8)
+            n = int(x[:8].view(np.int64)[0]) if len(x) else 0
+            self.sequences.append((x[8 : 8 + 8 * n].view(np.uint64), x[8 + 8 * n : 16 + 16 * n].view(np.int64), x[16 + 16 * n :]))
+
+    def _by_part(self, h: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """(part, its rows) of sorted hashes."""
+        first = (h >> np.uint64(65 - self.parts.bit_length())).astype(np.int64) if self.parts > 1 else np.zeros(len(h), np.int64)
+        edge = np.searchsorted(first, np.arange(self.parts + 1))
+        return ((p, slice(edge[p], edge[p + 1])) for p in range(self.parts) if edge[p] < edge[p + 1])
+
+    def _held(self, sid: np.ndarray) -> dict[int, bytes]:
+        """The sequences of sorted distinct ids, which are all there."""
+        out = {}
+        for p, rows in self._by_part(sid.view(np.uint64)):
+            ids, begin, letters = self.sequences[p]
+            at = np.searchsorted(ids, sid[rows].view(np.uint64))
+            for s, i, j in zip(sid[rows].tolist(), begin[at].tolist(), begin[at + 1].tolist()):
+                out[s] = unpack(letters[i:j].tobytes())
+        return out
+
+    def pairs(self, seqs: list[bytes], above: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the scanned sequence, sid of the held one) of pairs almost the same, of which the held one is of class `above` more or higher."""
+        w = listed_windows(seqs, np.arange(len(seqs)), self.near, self.table, above, self.parts)
+        h = w["h"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(h, kind="stable")
+        h, lo, n, part = h[order], np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        for p, rows in self._by_part(h):
+            keys = self.segments[p][0].view(np.uint64)
+            lo[rows], part[rows] = np.searchsorted(keys, h[rows], "left"), p
+            n[rows] = np.searchsorted(keys, h[rows], "right") - lo[rows]
+        who, pa, ia = (w[c].to_numpy(np.int64)[order] for c in ("sid", "place", "info"))
+        some = np.flatnonzero(n)
+        some = some[np.argsort(who[some], kind="stable")]
+        who, pa, ia, lo, n, part = (x[some] for x in (who, pa, ia, lo, n, part))
+        # whole scanned sequences at a time, as many as make HITS_AT_ONCE hits
+        ends = np.flatnonzero(np.r_[who[1:] != who[:-1], True]) + 1 if len(who) else np.empty(0, np.int64)
+        hits = np.cumsum(n)[ends - 1] if len(ends) else ends
+        out, begin, k = [], 0, 0
+        while k < len(ends):
+            k = max(k + 1, int(np.searchsorted(hits, (hits[k - 1] if k else 0) + HITS_AT_ONCE, "right")))
+            x = slice(begin, ends[k - 1])
+            begin = ends[k - 1]
+            by = np.argsort(part[x], kind="stable") + x.start
+            m = n[by]
+            at = np.repeat(lo[by] - np.r_[0, np.cumsum(m)[:-1]], m) + np.arange(m.sum())
+            b, pb, ib = (np.empty(len(at), np.int64) for _ in range(3))
+            last = np.cumsum(m)
+            edge = np.searchsorted(part[by], np.arange(self.parts + 1))
+            for p in np.unique(part[by]).tolist():
+                rows = slice(last[edge[p] - 1] if edge[p] else 0, last[edge[p + 1] - 1])
+                b[rows], pb[rows], ib[rows] = (self.segments[p][c][at[rows]] for c in (1, 2, 3))
+            a, b, sign, shift = _counted(self.near, *(np.repeat(v[by], m) for v in (who, pa, ia)), b, pb, ib)
+            held = self._held(np.unique(b.view(np.uint64)).view(np.int64))
+            ok = verify([seqs[i] for i in a], [held[i] for i in b.tolist()], sign, shift, self.near)
+            out.append((a[ok], b[ok]))
+        return tuple(np.concatenate([np.empty(0, np.int64), *(o[i] for o in out)]) for i in (0, 1))
+
+
 #: kind 0: a record's sequence (processid, sid). 1: a window, 2: a segment (h, sid, place, info). 3: a sequence (sid, seq). 4: a pair (sid, other in h).
 _SCAN = "kind int, processid string, h long, sid long, place int, info long, seq binary"
 _COLUMNS = [c.split()[0] for c in _SCAN.split(", ")]
@@ -344,9 +504,12 @@ def _cut_rows(near: Nearness):
 def sequence_pairs(evaluation: DataFrame, train: DataFrame, near: Nearness = CROSS_SPLIT) -> DataFrame:
     """(sid, train_processid): evaluation sequences with the training records that are almost the same.
 
-    `evaluation` has distinct (sid, seq). Both tables are scanned once. Evaluation sequences of up to INDEX_BOUND bytes are held, cut, by
-    each worker of the scan of the training table, which verifies where it stands. Of more, segments and the windows that a bit table lets
-    through are joined by shuffle; nothing but this table, of at most MOST_BITS, comes to the driver.
+    `evaluation` has distinct (sid, seq). Both tables are scanned once, and pairs verified where the scan stands. Evaluation sequences of up
+    to INDEX_BOUND bytes are held, cut, by each worker of the scan of the training table; those of more, and the training sequences of the
+    higher classes, are mapped from files in the shared folder, which go when the pairs are written.
+
+    Where that folder is no path of the machine, segments and the windows that a bit table lets through are joined by shuffle instead;
+    nothing but this table, of at most MOST_BITS, comes to the driver.
     """
     spark = train.sparkSession
     context = spark.sparkContext
@@ -354,7 +517,11 @@ def sequence_pairs(evaluation: DataFrame, train: DataFrame, near: Nearness = CRO
     n, letters = evaluation.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()
     held = letters + 64 * n <= INDEX_BOUND
     token = uuid.uuid4().hex
-    if held:
+    shared = shared_path(spark)
+    folder = shared and f"{shared}/rankforge-segments-{token}"
+    if not held and folder:
+        shipped = context.broadcast(write_index(evaluation, near, tuple(range(len(near.tiers))), f"{folder}/evaluation"))
+    elif held:
         got = evaluation.select("sid", "seq").toPandas()
         shipped = context.broadcast((got["sid"].to_numpy(np.int64), [bytes(x) for x in got["seq"]]))
     else:
@@ -364,6 +531,8 @@ def sequence_pairs(evaluation: DataFrame, train: DataFrame, near: Nearness = CRO
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if held:
             index = built_once(token, lambda: SegmentIndex([unpack(x) for x in shipped.value[1]], near))
+        elif folder:
+            index = built_once(token, lambda: MappedIndex(shipped.value, near))
         for b in batches:
             pids, rows, seen = [], [], {}
             for p, text in zip(b["processid"], b["nucleotides"]):
@@ -375,12 +544,14 @@ def sequence_pairs(evaluation: DataFrame, train: DataFrame, near: Nearness = CRO
                 continue
             seqs = list(seen)
             sid = np.array([_sid(s) for s in seqs], np.int64)
-            own = segments(seqs, sid, near, tuple(range(1, len(near.tiers))))
-            used = np.isin(sid, own["sid"].to_numpy())
-            parts = [(own, 2)]
-            if held:
+            if folder:
+                used, parts = np.array([class_of(s, near) for s in seqs]) > 0, []
+            else:
+                own = segments(seqs, sid, near, tuple(range(1, len(near.tiers))))
+                used, parts = np.isin(sid, own["sid"].to_numpy()), [(own, 2)]
+            if held or folder:
                 t, e = index.pairs(seqs)
-                parts.append((pd.DataFrame({"sid": sid[t], "h": shipped.value[0][e]}).drop_duplicates(), 4))
+                parts.append((pd.DataFrame({"sid": sid[t], "h": shipped.value[0][e] if held else e}).drop_duplicates(), 4))
                 named = used.copy()
                 named[t] = True
             else:
@@ -396,7 +567,22 @@ def sequence_pairs(evaluation: DataFrame, train: DataFrame, near: Nearness = CRO
                     yield _row_frame(part.reset_index(drop=True), kind)
 
     usable = spread(train.select("processid", "nucleotides").where("processid is not null and nucleotides is not null"), "processid")
-    read = keep(usable.mapInPandas(scan, _SCAN))
+    read = usable.mapInPandas(scan, _SCAN)
+    if folder:
+        read = cut(read)
+        shipped.unpersist()
+        written = write_index(read.where("kind = 3").select("sid", "seq").dropDuplicates(["sid"]), near, tuple(range(1, len(near.tiers))), f"{folder}/train")
+
+        def scan_mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = built_once(f"{token}-back", lambda: MappedIndex(written, near))
+            for b in batches:
+                e, t = index.pairs([unpack(x) for x in b["seq"]], 1)
+                yield pd.DataFrame({"t": t, "sid": b["sid"].to_numpy(np.int64)[e]})
+
+        good = cut(spread(evaluation, "sid").mapInPandas(scan_mapped, "t long, sid long"))
+        shutil.rmtree(folder, ignore_errors=True)
+        return _named(read, good.unionByName(read.where("kind = 4").select(F.col("sid").alias("t"), F.col("h").alias("sid"))))
+    read = keep(read)
     seqs = keep(read.where("kind = 3").groupBy("sid").agg(F.first("seq").alias("seq")))
     other = keep(read.where("kind = 2").select("h", "sid", "place", "info").distinct())
     back = context.broadcast(bit_table(other))
@@ -424,6 +610,11 @@ def sequence_pairs(evaluation: DataFrame, train: DataFrame, near: Nearness = CRO
     good = pairs.mapInPandas(checked, "t long, sid long")
     if held:
         good = good.unionByName(read.where("kind = 4").select(F.col("sid").alias("t"), F.col("h").alias("sid")))
+    return _named(read, good)
+
+
+def _named(read: DataFrame, good: DataFrame) -> DataFrame:
+    """(sid, train_processid) of pairs (t, sid) of sequences."""
     records = read.where("kind = 0").select("processid", F.col("sid").alias("t")).distinct()
     return records.join(good.distinct(), "t").select("sid", F.col("processid").alias("train_processid")).distinct()
 
