@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.llm.barcode_kernels import UNKNOWN, banded_edits, blocks, canonical, compared, flip, matrix, pack, plain_bases, shifted, touched_pieces, unpack, window_keys
-from rankforge.runtime import bounded, built_once, cut, ensure_checkpoint_dir, keep, shuffle_partitions, spread
+from rankforge.runtime import bounded, built_once, cut, ensure_checkpoint_dir, forget_built, keep, shuffle_partitions, spread
 
 LEAST_BASES = 300
 #: Segments that class 1 and class 2 leave besides those which edits can hit, for the unknown bases of the other sequence.
@@ -348,7 +348,8 @@ def write_index(sequences: DataFrame, near: Nearness, classes: tuple[int, ...],
     """(folder, number of parts, classes that occur) of an index of the distinct (sid, seq), for MappedIndex.
 
     Part i has the segments, and the sequences, whose hash begins with the bits of i: files of the segments sorted by h, of their bits,
-    and of the sequences sorted by sid. Each is written by one task; only the classes come to the driver.
+    and of the sequences sorted by sid. Each is written by one task; only the classes come to the driver. The sequences are read three times.
+    An index that workers held before is let go, so that its files give their disk back.
     """
     os.makedirs(folder, exist_ok=True)
     letters = sequences.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
@@ -359,6 +360,7 @@ def write_index(sequences: DataFrame, near: Nearness, classes: tuple[int, ...],
     size = max(64, size // parts)
 
     def cut_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_built()
         for b in batches:
             yield segments([unpack(x) for x in b["seq"]], b["sid"].to_numpy(np.int64), near, classes)
 
@@ -502,7 +504,7 @@ def _cut_rows(near: Nearness):
 
 
 def sequence_pairs(evaluation: DataFrame, train: DataFrame, near: Nearness = CROSS_SPLIT) -> DataFrame:
-    """(sid, train_processid): evaluation sequences with the training records that are almost the same.
+    """(sid, train_processid): evaluation sequences with the training records that are almost the same, more than once where a record's rows are.
 
     `evaluation` has distinct (sid, seq). Both tables are scanned once, and pairs verified where the scan stands. Evaluation sequences of up
     to INDEX_BOUND bytes are held, cut, by each worker of the scan of the training table; those of more, and the training sequences of the
@@ -571,7 +573,10 @@ def sequence_pairs(evaluation: DataFrame, train: DataFrame, near: Nearness = CRO
     if folder:
         read = cut(read)
         shipped.unpersist()
-        written = write_index(read.where("kind = 3").select("sid", "seq").dropDuplicates(["sid"]), near, tuple(range(1, len(near.tiers))), f"{folder}/train")
+        shutil.rmtree(f"{folder}/evaluation", ignore_errors=True)
+        own = keep(read.where("kind = 3").select("sid", "seq").dropDuplicates(["sid"]))
+        written = write_index(own, near, tuple(range(1, len(near.tiers))), f"{folder}/train")
+        own.unpersist()
 
         def scan_mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = built_once(f"{token}-back", lambda: MappedIndex(written, near))
@@ -616,28 +621,45 @@ def sequence_pairs(evaluation: DataFrame, train: DataFrame, near: Nearness = CRO
 def _named(read: DataFrame, good: DataFrame) -> DataFrame:
     """(sid, train_processid) of pairs (t, sid) of sequences."""
     records = read.where("kind = 0").select("processid", F.col("sid").alias("t")).distinct()
-    return records.join(good.distinct(), "t").select("sid", F.col("processid").alias("train_processid")).distinct()
+    return records.join(good.distinct(), "t").select("sid", F.col("processid").alias("train_processid"))
 
 
-def overlaps(splits: dict[str, DataFrame], train: DataFrame) -> DataFrame:
-    """(split, source, eval_processid, train_processid, by_id, by_sequence): each pair of an evaluation and a training record
-    with the same process id, however written, or almost the same sequence.
-
-    source is the evaluation record's, the smallest where its rows differ. Null process ids are no records and pair with nothing;
-    unusable sequences pair by id only. Empty tables give no rows.
-    """
+def _rows(splits: dict[str, DataFrame]) -> DataFrame:
+    """(split, processid, source, nucleotides) of the evaluation rows that have a process id."""
     rows = None
     for name, df in splits.items():
         x = df.where("processid is not null").select(F.lit(name).alias("split"), "processid", "source", "nucleotides")
         rows = x if rows is None else rows.unionByName(x)
-    records = rows.groupBy("split", "processid").agg(F.min("source").alias("source"))
+    return rows
+
+
+def _matches(rows: DataFrame, train: DataFrame) -> DataFrame:
+    """(processid, train_processid, i, s): pairs by id (i) and by sequence (s), each at least once. What is moved is one side of each join; pairs are not."""
     prepared = keep(rows.select("processid", "nucleotides").distinct().mapInPandas(_prepared, "processid string, sid long, seq binary"))
     usable = prepared.where("seq is not null")
     near = sequence_pairs(cut(usable.select("sid", "seq").dropDuplicates(["sid"])), train)
     by_sequence = usable.select("sid", "processid").distinct().join(near, "sid").select("processid", "train_processid", F.lit(False).alias("i"), F.lit(True).alias("s"))
-    ids = train.where("processid is not null").select(F.col("processid").alias("train_processid"), same_id(F.col("processid")).alias("k")).where("k <> ''").distinct()
-    by_id = records.select("processid").distinct().withColumn("k", same_id(F.col("processid"))).join(ids, "k").select("processid", "train_processid", F.lit(True).alias("i"), F.lit(False).alias("s"))
-    pairs = by_sequence.unionByName(by_id).groupBy("processid", "train_processid").agg(F.max("i").alias("by_id"), F.max("s").alias("by_sequence"))
+    ids = train.where("processid is not null").select(F.col("processid").alias("train_processid"), same_id(F.col("processid")).alias("k")).where("k <> ''")
+    by_id = rows.select("processid").distinct().withColumn("k", same_id(F.col("processid"))).join(ids, "k").select("processid", "train_processid", F.lit(True).alias("i"), F.lit(False).alias("s"))
+    return by_sequence.unionByName(by_id)
+
+
+def overlap_pairs(splits: dict[str, DataFrame], train: DataFrame) -> DataFrame:
+    """(processid_a, processid_b): the process ids of the pairs of overlaps(), each pair once, the smaller first. Pairs are moved once."""
+    a, b = F.col("processid"), F.col("train_processid")
+    return _matches(_rows(splits), train).select(F.least(a, b).alias("processid_a"), F.greatest(a, b).alias("processid_b")).distinct()
+
+
+def overlaps(splits: dict[str, DataFrame], train: DataFrame) -> DataFrame:
+    """(split, source, eval_processid, train_processid, by_id, by_sequence): each pair of an evaluation and a training record
+    with the same process id, however written, or almost the same sequence.
+
+    source is the evaluation record's, the smallest where its rows differ. Null process ids are no records and pair with nothing;
+    unusable sequences pair by id only. Empty tables give no rows.
+    """
+    rows = _rows(splits)
+    records = rows.groupBy("split", "processid").agg(F.min("source").alias("source"))
+    pairs = _matches(rows, train).groupBy("processid", "train_processid").agg(F.max("i").alias("by_id"), F.max("s").alias("by_sequence"))
     return records.join(pairs, "processid").select("split", "source", F.col("processid").alias("eval_processid"), "train_processid", "by_id", "by_sequence")
 
 

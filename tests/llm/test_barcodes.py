@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ from rankforge.llm.barcode_kernels import banded_edits, canonical, matrix, pack,
 from rankforge.llm.cluster_profiles import describe_clusters, pivot_groups
 from rankforge.llm.barcode_kernels import syncmers
 from rankforge.llm.pivot_clusters import ODD, cluster_links, similar
-from rankforge.llm.segment_join import overlap_report, overlaps
+from rankforge.llm.segment_join import overlap_pairs, overlap_report, overlaps
 
 RND = random.Random(11)
 
@@ -142,6 +143,28 @@ def test_overlaps_by_shuffle_with_a_table_of_bits_that_is_full(spark, tables, mo
     assert {(r["eval_processid"], r["train_processid"]) for r in found.where("by_sequence").collect()} == want
 
 
+@pytest.mark.parametrize("bound", [J.INDEX_BOUND, 0])
+def test_found_pairs_take_little_disk(spark, tables, monkeypatch, bound):
+    """The pairs of overlaps(), which no more than one exchange moves; the index of one table is gone before that of the other is written."""
+    train, ev, _ = tables
+    monkeypatch.setattr(J, "INDEX_BOUND", bound)
+    write, before = J.write_index, []
+
+    def written(sequences, near, classes, folder):
+        before.append(os.path.exists(f"{os.path.dirname(folder)}/evaluation"))
+        return write(sequences, near, classes, folder)
+
+    monkeypatch.setattr(J, "write_index", written)
+    splits = {"eval": ev, "again": ev.limit(5)}
+    found = overlap_pairs(splits, train)
+    got = [tuple(r) for r in found.collect()]
+    assert before == ([False, False] if bound == 0 else [False])
+    assert len(got) == len(set(got)) and set(got) == {tuple(sorted(r)) for r in overlaps(splits, train).select("eval_processid", "train_processid").collect()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Union")]
+    assert "Join" not in above and above.count("Aggregate") == 1
+
+
 @pytest.mark.parametrize("bound", [J.INDEX_BOUND, 0])
 def test_overlaps_with_unknown_bases_equal_brute_force(spark, monkeypatch, bound):
     """0 to 20 single unknown bases on each side and 0 to 5 edits, on either strand: no pair is lost, none is added."""
