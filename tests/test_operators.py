@@ -328,6 +328,47 @@ def test_kmer_search_by_groups(spark, idf):
         assert sorted((x["query_id"], x["place"], x["group"], round(x["score"], 6)) for x in got) == want
 
 
+@pytest.mark.parametrize("idf", [False])
+def test_kmer_groups_compare_few_rows(spark, idf):
+    """Bounds pass over most of the catalogue and change no result, in several blocks of queries and slabs of the catalogue."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(8)
+    base = ["".join(r.choice("ACGT") for _ in range(400)) for _ in range(60)]
+    change = lambda s, n: "".join(r.choice("ACGTN") if r.random() < n else x for x in s)
+    c = [(f"c{g:02}-{i}", change(b, 0.02), f"g{g:02}") for g, b in enumerate(base) for i in range(3 if g else 90)] + [("short", base[0][:60], "g00"), ("none", "N" * 9, "g99")]
+    q = [(f"q{i:02}", change(base[i % 3], 0.03) + change(base[i % 5 + 3], 0.03) + change(base[i % 7 + 8], 0.03)) for i in range(24)] + [("copy", q0 := base[4][:200]), ("copy2", q0), ("tiny", "ACGTAC"), ("gone", "NNN")]
+    w = np.ones(4**6)
+    docs = V.dense_profiles([s for _, s in q] + [s for _, s, _ in c], 6)
+    if idf:
+        w = np.log((1 + len(docs)) / (1 + (docs > 0).sum(axis=0))) + 1
+    m = docs * w
+    m = m / np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)[:, None]
+    score = np.round(m[: len(q)] @ m[len(q) :].T, 9)
+    want = []
+    for (i, s), row in zip(q, score):
+        best: dict = {}
+        for (cid, t, g), x in zip(c, row):
+            if t != "N" * 9:
+                best[g] = min(best.get(g, (1, "")), (-x, cid))
+        want += [(i, p + 1, g, cid, round(-x, 6)) for p, (x, g, cid) in enumerate(sorted((x, g, cid) for g, (x, cid) in best.items())[:3]) if s != "NNN"]
+    a, b = spark.createDataFrame(q, "id string, s string"), spark.createDataFrame(c, "id string, s string, g string")
+    for cells in (V.GROUP_CELLS, 4**6 * 10):
+        got = V.kmer_topk_groups(a, b, 6, 3, idf, cells).collect()
+        assert sorted((x["query_id"], x["place"], x["group"], x["candidate_id"], round(x["score"], 6)) for x in got) == sorted(want)
+    one = V.Profiles([s for _, s, g in c], 6, w)
+    probe = V.Profiles([s for i, s in q[:24]], 6, w)
+    third = np.sort(np.stack([score[:24, [k for k, x in enumerate(c) if x[2] == g]].max(axis=1) for g in sorted({x[2] for x in c})]), axis=0)[-3]
+    seen, exact = [], V.Profiles.exact
+    V.Profiles.exact = lambda self, x, other, y: seen.append(len(x)) or exact(self, x, other, y)
+    try:
+        assert sum(len(x[0]) for x in V._search_slab(probe, third, one, np.array([x[2] for x in c]), 3)) == sum(seen) < 24 * len(c) / 20
+    finally:
+        V.Profiles.exact = exact
+
+
 def test_species_hits_take_every_query(spark, small):
     from rankforge.plans import evidence_queries as E
 
